@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, token_files
+from . import jaccard, langid, mixing, packing, rules, token_files, warc
 from .common import new_path
 
 
@@ -35,6 +35,27 @@ def op3_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark, sf_dir):
+    folder = warc.package_folder(spark)
+    manifest = warc.write_packages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_packages(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()), vocabulary("piece_bpe_32k.model"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+def op9_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_passes=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 

@@ -26,18 +26,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     keep one row each, next to each other in an order that is fixed by the file.
     """
     ranged = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def as_array(batches):
-        for b in batches:
-            blob = b.column(4)
-            flat = pa.array(np.frombuffer(b"".join(blob.to_pylist()), "<i4"))
-            ends = np.concatenate([[0], np.cumsum(b.column(3).to_numpy())]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(pa.array(ends), flat)], ["part", "local_start", id_col, "n_tokens", "ids"])
-
     (
-        tokenise(ranged, tokenizer_path, end_id, id_col, text_col)
-        .mapInArrow(as_array, f"part int, local_start long, `{id_col}` {kind}, n_tokens long, ids array<int>")
+        tokenise(ranged, tokenizer_path, end_id, id_col, text_col, as_array=True)
         .write.option("orc.bloom.filter.columns", id_col)
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")

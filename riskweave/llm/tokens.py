@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CACHE_WORDS
-
 #: Trailing signs that every supported pre-tokeniser splits off a run of letters.
 TAIL = ".,;:!?)#*$%&|"
+#: Signs on whose class libraries may differ (controls, rare spaces, late scripts): such texts go whole.
+ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u0130\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\U00010000-\U0010ffff]")
+#: Words and runs of letters whose ids a worker remembers before it starts afresh.
+KNOWN_WORDS, KNOWN_CORES = 300_000, 600_000
 
 
 class WordTokenizer:
@@ -21,7 +25,7 @@ class WordTokenizer:
     In the supported vocabularies (byte-level BPE and BPE with word ends) no token crosses the
     place before a space that stands between two non-spaces, nor the place between letters and
     signs, so the ids of a text are those of its parts, one after the other. Texts with other
-    runs of spaces go to the library whole.
+    runs of spaces, odd signs or combining marks that compose go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -31,42 +35,58 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, cores: list[str], step: int = 1000) -> list[bytes]:
+        """Ids of runs of letters that begin with a space each, many in one call."""
+        out = []
+        for i in range(0, len(cores), step):
+            part = cores[i : i + step]
+            e = self.model.encode("".join(part), add_special_tokens=False)
+            ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cut = [0, *((np.flatnonzero(np.diff(word)) + 1) * 4).tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(cut, cut[1:])] if len(cut) == len(part) + 1 else self._whole(part)
+        return out
+
     def _learn(self, words: Iterable[str]) -> None:
-        known, split, new = self.known, {}, {}
+        known, cores = self.known, self.cores
+        if len(cores) > KNOWN_CORES:
+            cores.clear()
+        split, letters, rest = {}, {}, []
         for w in words:
             if w not in known:
                 core = w.rstrip(TAIL)
-                if core and len(core) < len(w) and core.lstrip(" ").isalpha():
-                    split[w] = (core, w[len(core) :])
-                    new.update({x: None for x in split[w] if x not in known})
+                if core[1:].isalpha() and core[0] == " ":
+                    split[w] = core
+                    if core not in cores:
+                        letters[core] = None
+                    if (tail := w[len(core) :]) and tail not in cores:
+                        cores[tail] = self._whole([tail])[0]
                 else:
-                    new[w] = None
-        if new:
-            known.update(zip(new, self._whole(list(new)), strict=True))
-        known.update({w: known[a] + known[b] for w, (a, b) in split.items()})
+                    rest.append(w)
+        cores.update(zip(letters, self._letters(list(letters)), strict=True))
+        known.update({w: cores[core] + cores[w[len(core) :]] if len(core) < len(w) else cores[core] for w, core in split.items()})
+        known.update(zip(rest, self._whole(rest), strict=True))
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """The little-endian unsigned 32-bit ids of each text; of none for null."""
         for text in texts:
             if not text:
                 yield b""
-                continue
-            words = text.split(" ")
-            if any(not w or w[0].isspace() for w in words[1:]) or words[0][-1:].isspace() or any(w[-1].isspace() for w in words[1:-1]):
+            elif ODD.search(text) or "  " in text or " \n" in text or "\n " in text or " \t" in text or "\t " in text or not unicodedata.is_normalized("NFC", text):
                 yield self._whole([text])[0]
-                continue
-            words[1:] = [f" {w}" for w in words[1:]]
-            try:
-                yield b"".join([self.known[w] for w in words])
-            except KeyError:
-                if len(self.known) > CACHE_WORDS:
-                    self.known.clear()
-                self._learn(dict.fromkeys(words))
-                yield b"".join([self.known[w] for w in words])
+            else:
+                words = text.replace(" ", "\0 ").split("\0")
+                try:
+                    yield b"".join(map(self.known.__getitem__, words))
+                except KeyError:
+                    if len(self.known) > KNOWN_WORDS:
+                        self.known.clear()
+                    self._learn(dict.fromkeys(words))
+                    yield b"".join(map(self.known.__getitem__, words))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -79,12 +99,13 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(part int, local_start long, <id>, n_tokens long, ids binary)`` of every row, in row order.
+def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", as_array: bool = False, rows: int = 512) -> DataFrame:
+    """``(part int, local_start long, <id>, n_tokens long, ids)`` of every row, in row order.
 
-    ``ids`` holds little-endian unsigned 32-bit ids, ``end_id`` last. ``part`` is the task's
-    partition and ``local_start`` counts its ids before the row, so that written output gives
-    global offsets with one sum for each partition.
+    ``ids`` holds little-endian unsigned 32-bit ids as binary, or ``array<int>``, ``end_id`` last.
+    ``part`` is the task's partition and ``local_start`` counts its ids before the row, so that
+    written output gives global offsets with one sum for each partition. Rows leave the worker
+    ``rows`` at a time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -93,11 +114,14 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
 
         part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         tok = tokenizer(path)
-        for b in batches:
-            ids = [x + end for x in tok.ids(b.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            start = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(start), b.column(0), pa.array(n), pa.array(ids, pa.binary())], ["part", "local_start", id_col, "n_tokens", "ids"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"part int, local_start long, `{id_col}` {kind}, n_tokens long, ids binary")
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                ids = [x + end for x in tok.ids(b.column(1).to_pylist())]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                ends = np.cumsum(n)
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))) if as_array else pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), b.column(0), pa.array(n), column], ["part", "local_start", id_col, "n_tokens", "ids"])
+                at += int(ends[-1])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"part int, local_start long, `{id_col}` {kind}, n_tokens long, ids {'array<int>' if as_array else 'binary'}")
