@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame
 TAIL = ".,;:!?)#*$%&|"
 #: Signs on whose class libraries may differ (controls, rare spaces, late scripts): such texts go whole.
 ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u0130\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\U00010000-\U0010ffff]")
+#: A full stop or comma beside another sign, or after a space: it may belong to a longer run of signs.
+RUN = re.compile(r"[.,](?:(?<=[\W_][.,])|(?=[^\w\s]|_))")
 #: Words and runs of letters whose ids a worker remembers before it starts afresh.
 KNOWN_WORDS, KNOWN_CORES = 300_000, 600_000
 
@@ -51,42 +52,51 @@ class WordTokenizer:
             out += [ids[a:b] for a, b in zip(cut, cut[1:])] if len(cut) == len(part) + 1 else self._whole(part)
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         known, cores = self.known, self.cores
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        split, rest = {}, []
+        for w in words.difference(known):
+            core = w.rstrip(TAIL)
+            if core[1:].isalpha() and core[0] == " ":
+                split[w] = core
+            else:
+                rest.append(w)
+        self._learn_cores({*split.values(), *[w[len(c) :] for w, c in split.items()]})
+        known.update({w: cores[core] + cores[w[len(core) :]] for w, core in split.items()})
+        known.update(zip(rest, self._whole(rest), strict=True))
+
+    def _learn_cores(self, parts: set[str]) -> None:
+        cores = self.cores
         if len(cores) > KNOWN_CORES:
             cores.clear()
-        split, letters, rest = {}, {}, []
-        for w in words:
-            if w not in known:
-                core = w.rstrip(TAIL)
-                if core[1:].isalpha() and core[0] == " ":
-                    split[w] = core
-                    if core not in cores:
-                        letters[core] = None
-                    if (tail := w[len(core) :]) and tail not in cores:
-                        cores[tail] = self._whole([tail])[0]
-                else:
-                    rest.append(w)
-        cores.update(zip(letters, self._letters(list(letters)), strict=True))
-        known.update({w: cores[core] + cores[w[len(core) :]] if len(core) < len(w) else cores[core] for w, core in split.items()})
-        known.update(zip(rest, self._whole(rest), strict=True))
+        new = parts.difference(cores)
+        letters = [x for x in new if x[:1] == " " and x[1:].isalpha()]
+        rest = [x for x in new if x[:1] != " " or not x[1:].isalpha()]
+        cores.update(zip(letters, self._letters(letters), strict=True))
+        cores.update(zip(rest, self._whole(rest), strict=True))
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each text; of none for null."""
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        whole, by_word, by_core = [], [], []
+        for i, text in enumerate(texts):
             if not text:
-                yield b""
-            elif ODD.search(text) or "  " in text or " \n" in text or "\n " in text or " \t" in text or "\t " in text or not unicodedata.is_normalized("NFC", text):
-                yield self._whole([text])[0]
+                continue
+            if ODD.search(text) or any(x in text for x in ("  ", " \n", "\n ", "\t", "\n\n\n")) or text.endswith("\n\n") or not unicodedata.is_normalized("NFC", text):
+                whole.append(i)
+            elif RUN.search(text):
+                by_word.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
             else:
-                words = text.replace(" ", "\0 ").split("\0")
-                try:
-                    yield b"".join(map(self.known.__getitem__, words))
-                except KeyError:
-                    if len(self.known) > KNOWN_WORDS:
-                        self.known.clear()
-                    self._learn(dict.fromkeys(words))
-                    yield b"".join(map(self.known.__getitem__, words))
+                by_core.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0").split("\0")))
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        for found, known, learn in ((by_word, self.known, self._learn), (by_core, self.cores, self._learn_cores)):
+            learn(set().union(*[parts for _, parts in found]))
+            for i, parts in found:
+                out[i] = b"".join(map(known.__getitem__, parts))
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}
