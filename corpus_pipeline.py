@@ -1,11 +1,76 @@
-"""From raw documents to packed sequences, as stages that each call one operator."""
+"""From raw documents to packed sequences: five stages, each calling one operator on all that its
+predecessor kept. The first four return the columns of documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskweave.llm import jaccard, langid, mixing, packing, rules
+from riskweave.llm.common import materialise
+from riskweave.llm.queries import vocabulary
+
+#: A document whose most probable language is less sure than this is rejected.
+LEAST_SURE = 0.5
+
+
+def _with(docs: DataFrame, decided: DataFrame, keep) -> DataFrame:
+    """Rows of ``docs`` whose id, null included, is among the decided rows that ``keep`` holds for."""
+    ids = decided.where(keep).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter (null and empty ones too) or without a sure language."""
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()), vocabulary("piece_bpe_32k.model"))
+    found = langid.identify(docs, model)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE) if model.languages else F.col("text").rlike(r"\p{L}")
+    return found.where(sure).select(docs.columns)
+
+
+def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or come from a refused host."""
+    return _with(docs, rules.judge(docs), F.col("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near copies (sets of five-word shingles, 0.8), and
+    one row of each id; rows without an id stay, as links cannot name them."""
+    groups = jaccard.link(docs, width=5, num=80, den=100)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionAll(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; one that it does not take goes."""
+    times = mixing.mix(docs).groupBy("doc_id").agg(F.max("times").cast("int").alias("times")).where("times > 0")
+    taken = docs.join(times.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), seq_len=2048, end_id=1)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", check_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Neither language models nor subset sums nor tokenizers can be told in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{i}")
     return docs

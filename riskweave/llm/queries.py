@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, rules, token_files, warc
+from . import ann, jaccard, langid, licenses, mixing, packing, perplexity, rules, token_files, warc
 from .common import new_path
 
 
@@ -35,6 +35,14 @@ def op3_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir):
     folder = warc.package_folder(spark)
     manifest = warc.write_packages(table(spark, sf_dir, "pages"), folder)
@@ -56,6 +64,11 @@ def op9_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op10_perplexity(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return perplexity.classify(table(spark, sf_dir, "documents"), labels)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
