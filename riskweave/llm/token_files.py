@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", row_index_stride)
         .option("orc.stripe.size", stripe_bytes)
-        .option("orc.compress", "ZSTD")
+        .option("orc.compress", "SNAPPY")
         .orc(path)
     )
 

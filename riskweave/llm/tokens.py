@@ -35,6 +35,7 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.folds = "Lowercase" in str(self.model.normalizer)
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -86,7 +87,10 @@ class WordTokenizer:
                 continue
             if ODD.search(text) or any(x in text for x in ("  ", " \n", "\n ", "\t", "\n\n\n")) or text.endswith("\n\n") or not unicodedata.is_normalized("NFC", text):
                 whole.append(i)
-            elif RUN.search(text):
+                continue
+            if self.folds and "Σ" not in text:  # a final sigma would depend on its neighbours
+                text = text.lower()
+            if RUN.search(text):
                 by_word.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
             else:
                 by_core.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0").split("\0")))
