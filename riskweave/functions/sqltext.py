@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def tables_of(sql: str) -> dict[str, str]:
     """Alias to table of what follows FROM and JOIN (a table without alias is its own)."""
     words = {"on", "where", "left", "right", "inner", "full", "join", "group", "order", "limit", "union", "cross", "lateral", "having"}
-    found = {}
+    sql, found = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql), {}
     for table, alias in re.findall(r"\b(?:from|join)\s+([\w.`]+)(?:\s+(?:as\s+)?(\w+))?", sql, flags=re.IGNORECASE):
         found[alias if alias and alias.lower() not in words else table] = table
     return found
