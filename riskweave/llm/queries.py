@@ -73,5 +73,39 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
+_RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
+_MOMENTS = ", ".join(f"avg(f_{k} / docs) AS mu_{k}, var_pop(f_{k} / docs) AS var_{k}" for k in _RULES)
+_WEIGHT = "CASE WHEN var_{0} > 0 AND mu_{0} * (1 - mu_{0}) > var_{0} THEN least(mu_{0} * (1 - mu_{0}) / var_{0} - 1, 1e6) WHEN var_{0} > 0 THEN 1.0 ELSE m_docs END"
+_RATES = ", ".join(f"(f_{k} + ({_WEIGHT.format(k)}) * mu_{k}) / (docs + ({_WEIGHT.format(k)}))" for k in _RULES)
+
+OP3_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+l AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l),
+g AS (SELECT *, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM g WHERE w3 IS NOT NULL),
+q AS (SELECT r, count(DISTINCT i + k) AS n FROM c, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r),
+m AS (SELECT l.r, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words
+  FROM l LEFT JOIN q ON l.r = q.r),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS dup_lines,
+  n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS word_length FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS docs, {", ".join(f"sum({k}::INTEGER)::DOUBLE AS f_{k}" for k in _RULES)} FROM f GROUP BY source),
+a AS (SELECT avg(docs) AS m_docs, {_MOMENTS} FROM h),
+v AS (SELECT source, greatest({_RATES}) <= 0.5 AS host_ok FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND host_ok AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest AS d, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON payload_digest = d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries cannot be told in SQL: tokenizers, hashing searches, language models and subset sums."""
+    return {"op3_quality_rules": OP3_SQL, "op6_warc": OP6_SQL}
