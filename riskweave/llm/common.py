@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word rule of every operator here, `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Spark's setting that deletes the shuffle files of a query as soon as it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words a worker remembers before it starts afresh; bounds its memory.
 CACHE_WORDS = 400_000
 
@@ -37,7 +39,12 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a replicated table."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # what the write shuffled is of no more use once it is done
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -73,48 +80,93 @@ def n_words_col(text) -> F.Column:
     return F.size(words_col(text)).cast("long")
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash, remembering a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes that are hashed in one go, unless a single text is longer.
+HASH_BYTES = 1 << 20
+_POWER: list[np.ndarray] = []
+#: Odd, so that it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64; those of HASH_BYTES are remembered."""
+    if not _POWER or len(_POWER[0]) < n:
+        size = max(n, HASH_BYTES)
+        made = []
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        if n > HASH_BYTES:
+            return made[0], made[1]
+        _POWER[:] = made
+    return _POWER[0], _POWER[1]
+
+
+def byte_values(seed: int, same: dict[int, int] | None = None) -> np.ndarray:
+    """A random 64-bit value for each byte; bytes in ``same`` take another byte's."""
+    out = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+    for a, b in (same or {}).items():
+        out[a] = out[b]
+    return out
 
 
-_WORDS = WordHash()
+_ASCII_SPACE = np.array([chr(i) in SPACES for i in range(256)])
+_FOLDED = byte_values(1, {i: i + 32 for i in range(ord("A"), ord("Z") + 1)})
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased.
+def hash_words(texts: list[bytes], space: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, words of each text) for runs of texts.
 
-    ``bytes.split`` and ``bytes.lower`` work on exactly the six ASCII spaces and A-Z.
+    Words are the runs of bytes that are not ``space``. A word's hash is the polynomial of its
+    bytes' values modulo 2**64, scrambled; all words of a run come from one running sum.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < HASH_BYTES):
+            size += len(texts[end]) + 1
+            end += 1
+        run = texts[at:end]
+        raw = np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8)
+        gap = space[raw]
+        first, last = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        power, inverse = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(values[raw] * power[: len(raw)], out=sums[1:])
+        hashes = mix((sums[last] - sums[first]) * inverse[first])
+        ends = np.cumsum([len(x) + 1 for x in run]) + 1
+        yield at, hashes, np.diff(np.searchsorted(first, np.concatenate([[0], ends])))
+        at = end
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(32))
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(32))
+        h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of ``width`` words.
-
-    A text with fewer words is one shingle of all its words; one without words has none.
-    """
-    h = word_hashes(text)
-    if not len(h):
-        return h
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``width`` words, A-Z
+    lower-cased. A text with fewer words is one shingle of all its words; one without has none."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    for _, hashes, counts in hash_words(raw, _ASCII_SPACE, _FOLDED):
+        n, full = len(hashes), np.full(max(len(hashes) - width + 1, 0), width, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(width if len(full) else 0):
+                full = mix(full * np.uint64(_BASE) + hashes[i : n - width + 1 + i])
+            at = 0
+            for k in counts.tolist():
+                if k >= width:
+                    yield np.unique(full[at : at + k - width + 1])
+                elif k:
+                    one = np.uint64(k)
+                    for h in hashes[at : at + k]:
+                        one = mix(one * np.uint64(_BASE) + h)
+                    yield np.array([one], np.uint64)
+                else:
+                    yield np.zeros(0, np.uint64)
+                at += k

@@ -2,10 +2,12 @@
 
 Every shingle flips one bit of a document's sketch, so two sketches differ in no more bits than
 the two sets have elements that they do not share. Documents are banded by set size; the sketch of
-a band has one more word of 64 bits than the most elements in which linked sets can differ, so
+a band has one more word of 32 bits than the most elements in which linked sets can differ, so
 linked documents agree in a word at least (pigeonhole) and meet when joined on it. Pairs that
 meet are verified on the sets. No candidate is dropped:
 
+* a word that got no shingle counts only where a document has so many that they could be all it
+  shares;
 * documents with equal sets are one class, of which one document stands for all;
 * in a bucket (documents that agree in a word) all are first verified against one hub, twice with
   different hubs, and verified links are merged into components;
@@ -23,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import drop_shared, materialise, mix, release, shingle_set
+from .common import drop_shared, materialise, mix, release, shingle_sets
 
 #: Rows of a bucket that are compared in memory at once.
 BLOCK = 2048
+#: Rows of small blocks that are handed to Python in one call, about.
+BATCH_ROWS = 10_000
+#: Keys are joined in groups, one after the other, so that fewer are on disk at once: as many as
+#: this times the share of a pair's elements that may differ, which keys for a shingle grow with.
+GROUPS = 60
 
 
 def band_starts(num: int, den: int, most: int) -> np.ndarray:
@@ -37,19 +44,23 @@ def band_starts(num: int, den: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def sketch_words(starts: np.ndarray, band: int, num: int, den: int) -> int:
-    """Words of a band's sketch: the most by which linked sets can differ there, plus one."""
-    largest = int(starts[band + 1]) - 1
-    return (2 * largest) * (den - num) // (den + num) + 1
+def sketch_words(starts: np.ndarray, band: int, num: int, den: int) -> tuple[int, int]:
+    """Words of a band's sketch, and the most of them in which linked sets can differ there. Some
+    more words than those and one: then linked sets agree in several, and words that got no
+    shingle, in which any two sets may agree, need not be looked at unless a set has many."""
+    most = (2 * (int(starts[band + 1]) - 1)) * (den - num) // (den + num)
+    return most + 1 + (most + 7) // 8, most
 
 
-def sketch(shingles: np.ndarray, n_words: int) -> np.ndarray:
-    """Parity sketch: each shingle flips one of ``64 * n_words`` bits."""
-    with np.errstate(over="ignore"):
-        at = mix(shingles ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(64 * n_words)
-    out = np.zeros(n_words, np.uint64)
-    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+def sketch(shingles: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketch: each shingle flips one of ``32 * n_words`` bits; and for each word the XOR of
+    its shingles' hashes, which tells contents apart that the word's few bits do not."""
+    at = mix(shingles ^ np.uint64(0xA0761D6478BD642F))
+    word, bit = (at % np.uint64(n_words)).astype(np.int64), np.uint32(1) << (at >> np.uint64(59)).astype(np.uint32)
+    bits, names = np.zeros(n_words, np.uint32), np.zeros(n_words, np.uint32)
+    np.bitwise_xor.at(bits, word, bit)
+    np.bitwise_xor.at(names, word, (mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32))
+    return bits, names
 
 
 _BANDS: dict[tuple[int, int], np.ndarray] = {}
@@ -63,28 +74,42 @@ def _bands(num: int, den: int, size: int) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h1, h2, band, own array<long>, up array<long>``: set size, two 64-bit sums that
-    name the set, and the sketches in the document's own band and the next."""
+    """``id, n, h1, h2, band`` and for the document's own band and the next the sketch (``own, up``),
+    the words' names (``own_key, up_key``) and whether empty words count (``own_zero, up_zero``).
+    ``n`` is the set size; ``h1, h2`` are two 64-bit sums that name the set."""
+    ints = pa.list_(pa.int32())
+    kinds = dict(n=pa.int64(), h1=pa.int64(), h2=pa.int64(), band=pa.int32(), own=ints, up=ints, own_key=ints, up_key=ints, own_zero=pa.bool_(), up_zero=pa.bool_())
+
+    def column(values, kind):
+        if kind != ints:
+            return pa.array(values, kind)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()))
 
     def run(batches):
+        none = np.zeros(0, np.int32)
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets(b.column(1).to_pylist(), width):
                 if not len(s):
-                    out.append((0, 0, 0, -1, b"", b""))
+                    out.append((0, 0, 0, -1, none, none, none, none, False, False))
                     continue
                 starts = _bands(num, den, len(s))
                 band = int(np.searchsorted(starts, len(s), "right")) - 1
                 with np.errstate(over="ignore"):
                     h1, h2 = int(s.sum().astype(np.int64)), int(mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)).sum().astype(np.int64))
-                own, up = (sketch(s, sketch_words(starts, x, num, den)).view("<i8") for x in (band, band + 1))
-                out.append((len(s), h1, h2, band, own, up))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in c]]), pa.int32()), pa.array(np.concatenate([np.frombuffer(x, "<i8") if isinstance(x, bytes) else x for x in c]) if c else [], pa.int64())) for c in cols[4:]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols[:4], (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], *lists], ["id", "n", "h1", "h2", "band", "own", "up"])
+                made = []
+                for x in (band, band + 1):
+                    words, most = sketch_words(starts, x, num, den)
+                    bits, names = sketch(s, words)
+                    # linked sets agree in words - most words at least: with fewer empty ones, in one that is not
+                    made.append((bits.view(np.int32), names.view(np.int32), bool((names == 0).sum() >= words - most)))
+                (own, own_key, own_zero), (up, up_key, up_zero) = made
+                out.append((len(s), h1, h2, band, own, up, own_key, up_key, own_zero, up_zero))
+            cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[column(c, k) for c, k in zip(cols, kinds.values(), strict=True)]], ["id", *kinds])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, band int, own array<long>, up array<long>")
+    schema = "id long, n long, h1 long, h2 long, band int, own array<int>, up array<int>, own_key array<int>, up_key array<int>, own_zero boolean, up_zero boolean"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -92,7 +117,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, width).view("<i8") for t in b.column(1).to_pylist()]
+            sets = [s.view("<i8") for s in shingle_sets(b.column(1).to_pylist(), width)]
             if sets:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], ["id", "s"])
 
@@ -147,23 +172,31 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(num: int, den: int):
-    """Pairs of a block of outsiders and a block of members that the sketches cannot rule out."""
+    """Pairs of outsiders and members of a bucket's block that the sketches cannot rule out; a
+    call gets many blocks, each whole."""
+
+    def block(q: dict, m: dict, out: list) -> None:
+        step = max(1, (1 << 21) // len(m["id"]))
+        for i in range(0, len(q["id"]), step):
+            x = {c: v[i : i + step] for c, v in q.items()}
+            near = (_differ(x["sketch"], m["sketch"]) * (num + den) <= (x["n"][:, None] + m["n"][None]) * (den - num)) & (x["comp"][:, None] != m["comp"][None])
+            a, b = np.nonzero(near & ((x["up"][:, None] == 0) | (m["up"][None] == 0)))
+            out.append((x["id"][a], m["id"][b]))
 
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out, k = [], int(pdf["k"].iloc[0])
-        if len(q) and len(m):
-            mw, mn, mc, mi, mu = np.stack(m["sketch"].to_numpy()).view(np.uint64), *(m[c].to_numpy() for c in ("n", "comp", "id", "up"))
-            qw, qn, qc, qi, qu = np.stack(q["sketch"].to_numpy()).view(np.uint64), *(q[c].to_numpy() for c in ("n", "comp", "id", "up"))
-            step = max(1, (1 << 21) // len(m))
-            for i in range(0, len(q), step):
-                j = slice(i, i + step)
-                near = (_differ(qw[j], mw) * (num + den) <= (qn[j, None] + mn[None]) * (den - num)) & (qc[j, None] != mc[None])
-                a, b = np.nonzero(near & ((qu[j, None] == 0) | (mu[None] == 0)))
-                new = (qw[j][a] == mw[b]).argmax(axis=1) == k  # else an earlier word brings them together
-                out.append((qi[j][a[new]], mi[b[new]]))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pdf = pdf.sort_values(["key", "words", "k", "q", "m", "side"], kind="stable")
+        cols = {c: pdf[c].to_numpy() for c in ("id", "n", "comp", "up")}
+        same = pdf[["key", "words", "k", "q", "m"]].to_numpy()
+        side, sketches = pdf["side"].to_numpy(), pdf["sketch"].to_numpy()
+        cut = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        out: list = [(np.zeros(0, np.int64),) * 2]
+        for lo, hi in zip(cut, cut[1:]):
+            mid = lo + int(np.searchsorted(side[lo:hi], 1))
+            if lo < mid < hi:
+                q, m = ({c: v[x] for c, v in cols.items()} | {"sketch": np.stack(sketches[x]).astype(np.int32).view(np.uint32)} for x in (slice(lo, mid), slice(mid, hi)))
+                block(q, m, out)
+        a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
@@ -178,27 +211,45 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
     no row; further columns are ignored.
     """
     spark = docs.sparkSession
-    all_rows = materialise(sketch_documents(docs, width, num, den, id_col, text_col), "jaccard-sketches")
-    filled = all_rows.where("n > 0 and id is not null")
-    classes = materialise(filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "jaccard-classes")
-    reps = filled.join(classes.select("n", "h1", "h2", F.col("rep").alias("id")), ["n", "h1", "h2", "id"], "left_semi").dropDuplicates(["id"])
-    reps = materialise(reps.select("id", "n", "band", "own", "up"), "jaccard-reps")
-
-    def keyed(col, band):
-        words = F.posexplode(col).alias("k", "w")
-        return reps.select("id", F.lit(band).alias("up"), (F.col("band") + band).alias("band"), words).select("id", "up", "k", F.xxhash64("band", "k", "w").alias("key"))
-
-    keys = keyed("own", 0).union(keyed("up", 1))
-    # a bucket counts if two documents of it share the band, one at least in its own
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("up").alias("low"), F.min(F.struct(F.xxhash64(F.lit(1), F.col("id")).alias("h"), "id"))["id"].alias("hub1"), F.min(F.struct(F.xxhash64(F.lit(2), F.col("id")).alias("h"), "id"))["id"].alias("hub2")).where("size > 1 and low = 0")
-    met = materialise(keys.join(hubs, "key").select("key", "k", "id", "up", "hub1", "hub2"), "jaccard-met")
+    name = ["n", "h1", "h2"]
+    sketched = materialise(sketch_documents(docs, width, num, den, id_col, text_col), "jaccard-sketches")
+    filled = sketched.where("n > 0 and id is not null")
+    classes = materialise(filled.groupBy(name).agg(F.min("id").alias("rep")), "jaccard-classes")
+    reps = filled.join(classes.select(*name, F.col("rep").alias("id")), [*name, "id"], "left_semi").dropDuplicates([*name, "id"])
+    reps = materialise(reps.drop("h1", "h2"), "jaccard-reps")
+    all_rows = materialise(sketched.select("id", *name), "jaccard-rows")
+    drop_shared(sketched)
     release(spark)
 
-    in_play = met.select("id").distinct()
+    def keyed(col, band, group):
+        words = F.posexplode(f"{col}_key").alias("k", "w")
+        keys = reps.select("id", F.lit(band).alias("up"), (F.col("band") + band).alias("band"), F.col(f"{col}_zero").alias("zero"), words).where("w <> 0 or zero")
+        return keys.select(F.xxhash64("band", "k", "w").alias("key"), "id", (F.col("k") * 2 + F.col("up")).alias("place")).where(F.pmod("key", F.lit(groups)) == group)
+
+    # a bucket counts if it holds two documents, one at least in its own band
+    met, met_parts = None, []
+    groups = -(-GROUPS * (den - num) // (den + num))
+    for g in range(groups):
+        # full buckets grow with the data: both sides are dealt by key, where Spark can split a hot one
+        keys = keyed("own", 0, g).unionAll(keyed("up", 1, g))
+        full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("place") % 2).alias("low")).where("size > 1 and low = 0").select("key")
+        part = materialise(keys.join(full.hint("merge"), "key", "left_semi"), "jaccard-met")
+        met_parts.append(part)
+        met = part if met is None else met.unionAll(part)
+        release(spark)
+    met = met.select("key", "id", F.expr("place div 2").cast("int").alias("k"), (F.col("place") % 2).alias("up"))
+
+    in_play = materialise(met.select("id").distinct(), "jaccard-in-play")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    wanted = texts.join(in_play, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(_shingle_sets(wanted, width), "jaccard-sets")
-    stars = met.select(F.explode(F.array("hub1", "hub2")).alias("hub"), "id").where("hub <> id")
+    sets = _shingle_sets(texts.join(in_play, "id", "left_semi"), width)
+    if all_rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["id", "s"])  # only repeated ids can have a set twice
+    sets = materialise(sets, "jaccard-sets")
+    drop_shared(in_play)
+    release(spark)
+    hub = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), F.col("id")).alias("h"), "id"))["id"]
+    hubs = met.groupBy("key").agg(F.array(hub(1), hub(2)).alias("hubs"))
+    stars = met.join(hubs, "key").select(F.explode("hubs").alias("hub"), "id").where("hub <> id")
     stars = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     first = materialise(_verified(stars, sets, num, den), "jaccard-links")
     comp = components(first)
@@ -207,13 +258,16 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
     placed = met.select("key", "k", "id", "up").join(comp, "id", "left").select("key", "k", "id", "up", F.coalesce("comp", "id").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
     largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp"))["comp"].alias("main"), F.sum("members").alias("size"), F.max("members").alias("most")).where("comps > 1")
+    largest = materialise(largest, "jaccard-open")
+    together = max(1, (largest.agg(F.sum("size")).first()[0] or 0) // BATCH_ROWS)
     blocks = placed.join(largest, "key").withColumn("outside", F.col("comp") != F.col("main"))
     blocks = blocks.join(reps.select("id", "n", "own", F.col("up").alias("next")), "id").select("key", "k", "id", "up", "n", "comp", "outside", F.when(F.col("up") == 0, F.col("own")).otherwise(F.col("next")).alias("sketch"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
     mine = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.col(n)).cast("int")
     asked = blocks.where("outside").withColumn("q", mine("qs", 3)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))).withColumn("side", F.lit(0))
     against = blocks.withColumn("m", mine("ms", 4)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("side", F.lit(1))
     cols = ["key", F.size("sketch").alias("words"), "k", "q", "m", "side", "id", "up", "n", "comp", "sketch"]
-    pairs = asked.select(cols).union(against.select(cols)).groupBy("key", "words", "k", "q", "m").applyInPandas(_compare(num, den), "a long, b long").distinct()
+    batch = F.pmod(F.xxhash64("key", "q", "m"), F.lit(together)).alias("batch")
+    pairs = asked.select(batch, *cols).union(against.select(batch, *cols)).groupBy("batch").applyInPandas(_compare(num, den), "a long, b long").distinct()
     second = _verified(pairs, sets, num, den)
     links = materialise(first.union(second), "jaccard-links")
     final = components(links)
@@ -222,6 +276,6 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
     rows = all_rows.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     out = materialise(out, "jaccard-components")
-    for x in (all_rows, classes, reps, met, sets, first, comp, links, final):
+    for x in (all_rows, classes, reps, sets, first, comp, largest, links, final, *met_parts):
         drop_shared(x)
     return out
