@@ -109,10 +109,19 @@ def take_newest(df: DataFrame, level_col: str, quota: dict[str, int], sort_col:
     return df.withColumn("__q", n).where("__q is not null").withColumn("__r", rank).where("__r <= __q").drop("__q", "__r")
 
 
-def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], ratio: dict | None = None, base: DataFrame | None = None, threshold: float = 0.1) -> DataFrame:
-    """Stratified sample in a given ratio, or in that of another data set's levels."""
-    count = lambda d: {str(r[0]): r[1] for r in d.where(F.col(level_col).isNotNull()).groupBy(level_col).count().collect()}
-    return take_newest(df, level_col, quotas(count(df), ratio or count(base), threshold), sort_col, id_cols)
+def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], ratio: dict | None = None, base: DataFrame | None = None, threshold: float = 0.1, bins: int = 10, few: int = 20) -> DataFrame:
+    """Stratified sample in a given ratio, or in that of another data set's levels. Levels of a
+    numeric column with over ``few`` values are the base's quantile bins."""
+    from .binning import bin_column, quantiles
+    from .core import distinct_counts, is_numeric
+
+    level = F.col(level_col).cast("string")
+    if ratio is None and is_numeric(base, level_col) and distinct_counts(base, [level_col])[level_col] > few:
+        edges = sorted(set(quantiles(base, [level_col], [i / bins for i in range(1, bins)])[level_col]))
+        level = bin_column(F.col(level_col).cast("double"), edges, missing=None).cast("string")
+    count = lambda d: {r[0]: r[1] for r in d.select(level.alias("l")).where("l is not null").groupBy("l").count().collect()}
+    quota = quotas(count(df), ratio or count(base), threshold)
+    return take_newest(df.withColumn("__level", level), "__level", quota, sort_col, id_cols).drop("__level")
 
 
 def cut_off(df: DataFrame, weight_col: str, ratio: float, id_cols: list[str], keep_weight: bool = True) -> DataFrame:

@@ -130,6 +130,14 @@ def test_splits(spark, people):
         split.split(people, "nonsense", 0.5)
 
 
+def test_sample_in_the_ratio_of_another_set(people):
+    base = people.where("z < 20")
+    got = split.sample(people, "z", "id", ["id"], base=base, threshold=0.01)
+    assert 0 < got.count() < 400 and got.columns == people.columns
+    even = split.sample(people, "g", "id", ["id"], {"a": 1, "b": 1}, threshold=0.01).groupBy("g").count().collect()
+    assert len({r["count"] for r in even}) == 1
+
+
 def test_quotas():
     assert split.quotas({"a": 100, "b": 10}, {"a": 1, "b": 1}, 0.01) == {"a": 10, "b": 10}
     assert split.quotas({"a": 100, "b": 10, "d": 5}, {"a": 1, "b": 1, "c": 9}, 0.5) == {"a": 100, "b": 10}
