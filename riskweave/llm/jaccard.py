@@ -29,6 +29,8 @@ from .common import drop_shared, materialise, mix, release, shingle_sets
 
 #: Rows of a bucket that are compared in memory at once.
 BLOCK = 2048
+#: Links that one task of the component rounds takes; their tables have as many files.
+EDGES_A_FILE = 500_000
 #: Rows of small blocks that are handed to Python in one call, about.
 BATCH_ROWS = 10_000
 #: Keys are joined in groups, one after the other, so that fewer are on disk at once: as many as
@@ -130,15 +132,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives every document the smallest label around it and then the label's label, and
     contracts the edges; rounds end when no edge joins two labels. Tables are cut in the shared folder.
     """
-    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    label = materialise(ends.withColumn("comp", F.col("id")), "components")
     live = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    while live.limit(1).count():
+    n = live.count()
+    small = lambda df, name: materialise(df.coalesce(1 + n // EDGES_A_FILE), name)  # noqa: E731  few edges, few tasks
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    label = small(ends.withColumn("comp", F.col("id")), "components")
+    while n:
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
+        parent = small(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
         while True:  # pointer jumping: parents are smaller or equal, so it ends at roots
             up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            jumped = materialise(parent.join(up, "p").select("a", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
+            jumped = small(parent.join(up, "p").select("a", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
             drop_shared(parent)
             moved = jumped.where("moved").limit(1).count()
             parent = jumped.drop("moved")
@@ -148,8 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = label.join(parent, label["comp"] == parent["a"], "left").select("id", F.coalesce("p", "comp").alias("comp"))
         a, b = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         fewer = live.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct()
-        old, label = label, materialise(nxt, "components")
-        was, live = live, materialise(fewer, "edges")
+        old, label = label, small(nxt, "components")
+        was, live = live, small(fewer, "edges")
+        n = live.count()
         for x in (old, was, parent):
             drop_shared(x)
     drop_shared(live)
