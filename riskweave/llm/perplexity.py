@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_shared, materialise, mix, release
+from .common import SPACES, byte_values, drop_shared, hash_words, materialise, mix, release
 
-_HASH = WordHash()
-_SIGNS = bytes(ord(" ") if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
+_GAP = np.array([chr(i) in SPACES or chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
+_VALUES = byte_values(2)
 #: Word hashes have so many bits; a key within a shard has 40. Both are shared by chance only.
 WORD_BITS, KEY_BITS = 48, 40
 BEGIN, END = 1, 2
@@ -32,14 +32,17 @@ SHARD_KEYS = 8_000_000
 BLOCK_DOCS = 256
 
 
-def word_ids(text: str | None) -> np.ndarray:
-    """48-bit hashes of the lower-cased words of a text, ASCII signs taken as spaces, with marks
+def word_ids(texts: list[str | None]) -> list[np.ndarray]:
+    """48-bit hashes of the lower-cased words of each text, ASCII signs taken as spaces, with marks
     of the beginning and the end. Empty for a text without words."""
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_SIGNS).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words)) >> np.uint64(64 - WORD_BITS)
-    return np.concatenate([[np.uint64(BEGIN)], np.maximum(h, np.uint64(3)), [np.uint64(END)]])
+    raw = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    out = []
+    for _, hashes, counts in hash_words(raw, _GAP, _VALUES):
+        h, at = np.maximum(hashes >> np.uint64(64 - WORD_BITS), np.uint64(3)), 0
+        for k in counts.tolist():
+            out.append(np.concatenate([[np.uint64(BEGIN)], h[at : at + k], [np.uint64(END)]]) if k else np.zeros(0, np.uint64))
+            at += k
+    return out
 
 
 def word_key(w: np.ndarray) -> np.ndarray:
@@ -59,7 +62,7 @@ def _pairs(docs: DataFrame, group: int, groups: int) -> DataFrame:
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), BLOCK_DOCS):
-                seqs = [word_ids(t) for t in texts[i : i + BLOCK_DOCS]]
+                seqs = word_ids(texts[i : i + BLOCK_DOCS])
                 v, w = (np.concatenate([np.zeros(0, np.uint64), *[s[cut] for s in seqs]]) for cut in (slice(None, -1), slice(1, None)))
                 mine = mix(v) % np.uint64(groups) == group
                 yield pa.RecordBatch.from_arrays([pa.array(x[mine].view(np.int64)) for x in (v, w)], ["v", "w"])
@@ -94,15 +97,17 @@ class Model:
 
 
 def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
-    """Count bigrams of all trusted texts (column ``text``) and write the model in shards."""
+    """Count bigrams of all trusted texts (column ``text``) and write the model in shards. A table of
+    texts in the shared folder is deleted as soon as it is counted."""
     counts, contexts, follows = [], [], []
     for g in range(groups):
-        c = materialise(_pairs(trusted, g, groups).groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "kn-counts")
+        c = materialise(_pairs(trusted, g, groups).groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")).sortWithinPartitions("v", "w"), "kn-counts")
         of = lambda k: F.sum((F.col("c") == k).cast("long"))
         contexts.append(materialise(c.groupBy("v").agg(F.sum("c").alias("total"), of(1).alias("n1"), of(2).alias("n2"), F.sum((F.col("c") > 2).cast("long")).alias("n3")), "kn-contexts"))
         follows.append(materialise(c.groupBy("w").agg(F.count(F.lit(1)).alias("k")), "kn-follows"))
         counts.append(c)
         release(trusted.sparkSession)
+    drop_shared(trusted)
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionAll(union(parts[1:]))
     d = discounts([sum(x) for x in zip(*[_counts_of_counts(c, "c") for c in counts], strict=True)])
     cont = materialise(union(follows).groupBy("w").agg(F.sum("k").alias("k")), "kn-continuations")
@@ -149,13 +154,15 @@ def _keys(docs: DataFrame, shards: int, group: int, groups: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, BLOCK_DOCS):
                 b = whole.slice(i, BLOCK_DOCS)
-                seqs = [word_ids(t) for t in b.column(1).to_pylist()]
-                keys = [np.concatenate([word_key(s[1:-1]), pair_key(s[:-1], s[1:])]) if len(s) else s for s in seqs]
-                doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                key = np.concatenate([np.zeros(0, np.uint64), *keys])
+                seqs = word_ids(b.column(1).to_pylist())
+                flat = np.concatenate([np.zeros(0, np.uint64), *seqs])
+                of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+                word, pair = np.flatnonzero(flat > END), np.flatnonzero(of[1:] == of[:-1])
+                key = np.concatenate([word_key(flat[word]), pair_key(flat[pair], flat[pair + 1])])
+                doc = np.concatenate([of[word], of[pair]])
                 shard = (key >> np.uint64(48)) % np.uint64(shards)
                 mine = np.flatnonzero(shard % np.uint64(groups) == group)
-                mine = mine[np.argsort(shard[mine], kind="stable")]
+                mine = mine[np.lexsort((doc[mine], shard[mine]))]
                 shard, doc, key = shard[mine].astype(np.int64), doc[mine], key[mine]
                 packed = (key & np.uint64((1 << KEY_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 ids, out = b.column(0).to_numpy(zero_copy_only=False), []
@@ -205,7 +212,7 @@ def score(docs: DataFrame, model: Model, groups: int = 4) -> DataFrame:
     return out
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``<id>, lang, n_tokens, perplexity, threshold, kept`` for each row.
 
     The model is counted on all texts with a trusted id (one row of each) but every
@@ -224,8 +231,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     aside = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(held_out)) == 0
     trusted = materialise(named.where("text is not null").join(chosen.where(~aside), "id", "left_semi").dropDuplicates(["id"]).select("text"), "kn-trusted")
     release(docs.sparkSession)
-    model = train(trusted, shards, groups)
-    drop_shared(trusted)
+    model = train(trusted, shards, 2 * groups)
     logprob = score(named.where("id is not null").select("id", "text"), model, groups)
     per_id = sizes.where("id is not null and words > 0").groupBy("id").agg(F.sum("words").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("lang").alias("lang"))
     # a document's n words and its end are n + 1 places; words take the floor where nothing is known
