@@ -114,12 +114,14 @@ _ASCII_SPACE = np.array([chr(i) in SPACES for i in range(256)])
 _FOLDED = byte_values(1, {i: i + 32 for i in range(ord("A"), ord("Z") + 1)})
 
 
-def hash_words(texts: list[bytes], space: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hash_words(texts: list[bytes], space: np.ndarray, values: np.ndarray, signs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, word hashes, words of each text) for runs of texts.
 
-    Words are the runs of bytes that are not ``space``. A word's hash is the polynomial of its
-    bytes' values modulo 2**64, scrambled; all words of a run come from one running sum.
+    Words are the runs of bytes that are not ``space``; with ``signs``, runs of these bytes are
+    words of their own. A word's hash is the polynomial of its bytes' values modulo 2**64,
+    scrambled; all words of a run come from one running sum.
     """
+    kind = (~space).astype(np.uint8) if signs is None else np.where(space, 0, np.where(signs, 2, 1)).astype(np.uint8)
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -128,8 +130,9 @@ def hash_words(texts: list[bytes], space: np.ndarray, values: np.ndarray) -> Ite
             end += 1
         run = texts[at:end]
         raw = np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8)
-        gap = space[raw]
-        first, last = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        of = kind[raw]
+        turn = np.flatnonzero(of[1:] != of[:-1])
+        first, last = turn[of[turn + 1] > 0] + 1, turn[of[turn] > 0] + 1
         power, inverse = _powers(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(values[raw] * power[: len(raw)], out=sums[1:])

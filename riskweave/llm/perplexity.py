@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, byte_values, drop_shared, hash_words, materialise, mix, release
 
-_GAP = np.array([chr(i) in SPACES or chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
+_SPACE = np.array([chr(i) in SPACES for i in range(256)])
+_SIGN = np.array([chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
 _VALUES = byte_values(2)
 #: Word hashes have so many bits; a key within a shard has 40. Both are shared by chance only.
 WORD_BITS, KEY_BITS = 48, 40
@@ -33,11 +34,11 @@ BLOCK_DOCS = 256
 
 
 def word_ids(texts: list[str | None]) -> list[np.ndarray]:
-    """48-bit hashes of the lower-cased words of each text, ASCII signs taken as spaces, with marks
-    of the beginning and the end. Empty for a text without words."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    """48-bit hashes of the words of each text, with marks of the beginning and the end. Case is
+    kept, and runs of ASCII signs are words of their own. Empty for a text without words."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     out = []
-    for _, hashes, counts in hash_words(raw, _GAP, _VALUES):
+    for _, hashes, counts in hash_words(raw, _SPACE, _VALUES, _SIGN):
         h, at = np.maximum(hashes >> np.uint64(64 - WORD_BITS), np.uint64(3)), 0
         for k in counts.tolist():
             out.append(np.concatenate([[np.uint64(BEGIN)], h[at : at + k], [np.uint64(END)]]) if k else np.zeros(0, np.uint64))
@@ -55,6 +56,19 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(v + np.uint64(0x632BE59BD9B4E019)) + w)
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """``id, lang, words long``: how many words `word_ids` finds in each text."""
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK_DOCS):
+                b = whole.slice(i, BLOCK_DOCS)
+                words = [max(len(s) - 2, 0) for s in word_ids(b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64())], ["id", "lang", "words"])
+
+    return docs.select("id", "lang", "text").mapInArrow(run, docs.select("id", "lang", F.lit(0).cast("long").alias("words")).schema)
+
+
 def _pairs(docs: DataFrame, group: int, groups: int) -> DataFrame:
     """``v long, w long``: bigrams of ``text`` whose context belongs to a group."""
 
@@ -223,8 +237,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     judged like texts without words. An empty table gives no row.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    spaced = F.translate(F.coalesce(F.col("text"), F.lit("")), "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r", " " * 36)
-    sizes = materialise(named.select("id", "lang", F.size(F.array_remove(F.split(F.trim(spaced), " +"), "")).cast("long").alias("words")), "kn-sizes")
+    sizes = materialise(_sizes(named), "kn-sizes")
     words = sizes.agg(F.sum("words")).first()[0] or 0
     shards = max(8 * groups, groups * math.ceil(2 * words / SHARD_KEYS / groups))
     chosen = trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()

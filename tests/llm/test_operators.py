@@ -360,6 +360,22 @@ def test_perplexity_matches_the_formula(spark, docs, empty):
     assert perplexity.classify(df, empty.select("doc_id")).where("kept").count() == 60
 
 
+def test_perplexity_sees_signs_and_case(spark):
+    assert [len(x) for x in perplexity.word_ids(["ab !!, Ab\tab.", "...", " ", None, "a", "é-x"])] == [7, 3, 0, 0, 3, 5]
+    ab, signs, Ab, again, stop = perplexity.word_ids(["ab !!, Ab\tab."])[0][1:-1].tolist()
+    assert ab == again and len({ab, signs, Ab, stop}) == 4
+    rng = random.Random(8)
+    words = [rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    base = [text() for _ in range(300)]
+    junk = [re.sub(" ", "*** ", base[0]), base[1].upper(), re.sub(" ", " | ", base[2]), re.sub(" ", "!! ", base[3])]
+    df = spark.createDataFrame(list(enumerate(base + junk)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r["doc_id"]: r for r in perplexity.classify(df, df.where("doc_id < 300").select("doc_id")).collect()}
+    assert [got[300 + i]["kept"] for i in range(4)] == [False] * 4
+    assert sum(got[i]["kept"] for i in range(300)) > 280
+    assert [got[i]["n_tokens"] for i in (0, 300, 301)] == [61, 60 + 59 + 1, 61]
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
 
