@@ -5,8 +5,9 @@ its interpolation weight as a context and of its continuation probability, for a
 probability adds to those of its words. A document's log-probability is then a sum over its keys,
 0 for unknown ones. Keys are dealt into shards by hash; counting, modelling and scoring run over
 a few groups of shards one after the other, so that only a part of all n-grams is on disk at once;
-in a shard's task the model's slice is looked up for the keys of blocks of documents. Nothing of
-the corpus goes to the driver but counts of counts.
+in a shard's task the model's slice is looked up for the keys of blocks of documents. A shard with
+a frequent key is scored in several tasks, each with some of the blocks and the whole slice. Nothing
+of the corpus goes to the driver but counts of counts and each shard's count of keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ _VALUES = byte_values(2)
 #: Word hashes have so many bits; a key within a shard has 40. Both are shared by chance only.
 WORD_BITS, KEY_BITS = 48, 40
 BEGIN, END = 1, 2
-#: Keys that one shard's task may hold, documents' and model's.
+#: Keys of documents in a shard on average; a task gets about twice as many at most.
 SHARD_KEYS = 8_000_000
+#: Keys are counted in so many bins, of which shards are made.
+BINS = 1 << 14
 #: Documents whose keys travel together.
 BLOCK_DOCS = 256
 
@@ -56,17 +60,46 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(v + np.uint64(0x632BE59BD9B4E019)) + w)
 
 
+def _bin(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(50)).astype(np.int64)
+
+
+def _block_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """All keys of some texts, the number of the text that each belongs to, and each text's words."""
+    seqs = word_ids(texts)
+    flat = np.concatenate([np.zeros(0, np.uint64), *seqs])
+    of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    word, pair = np.flatnonzero(flat > END), np.flatnonzero(of[1:] == of[:-1])
+    key = np.concatenate([word_key(flat[word]), pair_key(flat[pair], flat[pair + 1])])
+    return key, np.concatenate([of[word], of[pair]]), [max(len(s) - 2, 0) for s in seqs]
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
-    """``id, lang, words long``: how many words `word_ids` finds in each text."""
+    """``id, lang, words long, bins array<int>, keys array<long>``: how many words `word_ids` finds
+    in each text; and for each task a row with ``bins``, the keys of its texts with ids by bin."""
 
     def run(batches):
+        lang, names, total = None, ["id", "lang", "words", "bins", "keys"], np.zeros(BINS, np.int64)
         for whole in batches:
             for i in range(0, whole.num_rows, BLOCK_DOCS):
                 b = whole.slice(i, BLOCK_DOCS)
-                words = [max(len(s) - 2, 0) for s in word_ids(b.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64())], ["id", "lang", "words"])
+                key, of, words = _block_keys(b.column(2).to_pylist())
+                scored = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                total += np.bincount(_bin(key[scored[of]]), minlength=BINS)
+                lang = b.column(1).type
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.nulls(len(words), pa.list_(pa.int32())), pa.nulls(len(words), pa.list_(pa.int64()))], names)
+        held = np.flatnonzero(total)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, lang), pa.array([0], pa.int64()), pa.array([held.tolist()], pa.list_(pa.int32())), pa.array([total[held].tolist()], pa.list_(pa.int64()))], names)
+
+    lang = docs.schema["lang"].dataType.simpleString()
+    return docs.select("id", "lang", "text").mapInArrow(run, f"id long, lang {lang}, words long, bins array<int>, keys array<long>")
+
 
-    return docs.select("id", "lang", "text").mapInArrow(run, docs.select("id", "lang", F.lit(0).cast("long").alias("words")).schema)
+def salts(sizes: DataFrame, shards: int) -> dict[int, int]:
+    """Shard to number of tasks, for the shards whose documents' keys are too many for one."""
+    by = sizes.where("bins is not null").select(F.explode(F.arrays_zip("bins", "keys")).alias("x")).groupBy((F.col("x.bins") % shards).alias("shard")).agg(F.sum("x.keys").alias("n"))
+    return {r["shard"]: -(-r["n"] // (2 * SHARD_KEYS)) for r in by.where(F.col("n") > 2 * SHARD_KEYS).collect()}
 
 
 def _pairs(docs: DataFrame, group: int, groups: int) -> DataFrame:
@@ -143,7 +176,7 @@ def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
                 cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
                 ids = [c.view(np.uint64) for c in cols[:-1]]
                 key = pair_key(*ids) if pair else word_key(*ids)
-                yield pa.RecordBatch.from_arrays([pa.array(((key >> np.uint64(48)) % np.uint64(shards)).astype(np.int32)), pa.array((key & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)), pa.array(cols[-1].astype(np.float32))], ["shard", "key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array((_bin(key) % shards).astype(np.int32)), pa.array((key & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)), pa.array(cols[-1].astype(np.float32))], ["shard", "key", "value"])
 
         return run
 
@@ -160,39 +193,37 @@ def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
     return Model(union(parts), shards, floor, ends)
 
 
-def _keys(docs: DataFrame, shards: int, group: int, groups: int) -> DataFrame:
-    """``shard, ids array<long>, lens array<int>, keys binary``: for each block of documents and
-    shard of a group the documents' keys, 5 bytes each."""
+def _keys(docs: DataFrame, shards: int, group: int, groups: int, split: dict[int, int]) -> DataFrame:
+    """``shard, salt int, ids array<long>, lens array<int>, keys binary``: for each block of
+    documents and shard of a group the documents' keys, 5 bytes each. Blocks take the salts of a
+    shard in ``split`` in turn."""
 
     def run(batches):
+        turn = TaskContext.get().partitionId()
         for whole in batches:
             for i in range(0, whole.num_rows, BLOCK_DOCS):
                 b = whole.slice(i, BLOCK_DOCS)
-                seqs = word_ids(b.column(1).to_pylist())
-                flat = np.concatenate([np.zeros(0, np.uint64), *seqs])
-                of = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
-                word, pair = np.flatnonzero(flat > END), np.flatnonzero(of[1:] == of[:-1])
-                key = np.concatenate([word_key(flat[word]), pair_key(flat[pair], flat[pair + 1])])
-                doc = np.concatenate([of[word], of[pair]])
-                shard = (key >> np.uint64(48)) % np.uint64(shards)
-                mine = np.flatnonzero(shard % np.uint64(groups) == group)
+                key, doc, _ = _block_keys(b.column(1).to_pylist())
+                shard = _bin(key) % shards
+                mine = np.flatnonzero(shard % groups == group)
                 mine = mine[np.lexsort((doc[mine], shard[mine]))]
-                shard, doc, key = shard[mine].astype(np.int64), doc[mine], key[mine]
+                shard, doc, key = shard[mine], doc[mine], key[mine]
                 packed = (key & np.uint64((1 << KEY_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 ids, out = b.column(0).to_numpy(zero_copy_only=False), []
-                for s in np.unique(shard):
+                for s in np.unique(shard).tolist():
                     lo, hi = np.searchsorted(shard, [s, s + 1])
                     lens = np.bincount(doc[lo:hi], minlength=len(ids))
                     held = np.flatnonzero(lens)
-                    out.append((int(s), ids[held].tolist(), lens[held].tolist(), packed[lo:hi].tobytes()))
+                    out.append((s, turn % split.get(s, 1), ids[held].tolist(), lens[held].tolist(), packed[lo:hi].tobytes()))
+                turn += 1
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["shard", "ids", "lens", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["shard", "salt", "ids", "lens", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, "shard int, ids array<long>, lens array<int>, keys binary")
+    return docs.select("id", "text").mapInArrow(run, "shard int, salt int, ids array<long>, lens array<int>, keys binary")
 
 
 def _look_up(_: tuple, model: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-    """Sum of the values of each document's keys in one shard."""
+    """Sum of the values of each document's keys in one shard, for the blocks of one salt."""
     order = np.argsort(model["key"].to_numpy(), kind="stable")
     known, value = model["key"].to_numpy()[order], model["value"].to_numpy()[order].astype(float)
     ids, sums = [], []
@@ -209,12 +240,19 @@ def _look_up(_: tuple, model: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "part": np.concatenate(sums) if sums else np.zeros(0)})
 
 
-def score(docs: DataFrame, model: Model, groups: int = 4) -> DataFrame:
-    """``id, logprob``: each document's sum over its keys, by groups of shards (columns ``id, text``)."""
-    parts = []
+def score(docs: DataFrame, model: Model, groups: int = 4, split: dict[int, int] | None = None) -> DataFrame:
+    """``id, logprob``: each document's sum over its keys, by groups of shards (columns ``id, text``).
+    ``split``: shards that several tasks score, see `salts`."""
+    parts, split = [], split or {}
+    salted = docs.sparkSession.createDataFrame([(s, i) for s, n in split.items() for i in range(n)], "shard int, salt int")
     for g in range(groups):
         mine = model.slices.where(F.col("shard") % groups == g)
-        found = mine.groupBy("shard").cogroup(_keys(docs, model.shards, g, groups).groupBy("shard")).applyInPandas(_look_up, "id long, part double")
+        if split:
+            mine = mine.join(F.broadcast(salted), "shard", "left").select("shard", F.coalesce("salt", F.lit(0)).alias("salt"), "key", "value")
+        else:
+            mine = mine.select("shard", F.lit(0).alias("salt"), "key", "value")
+        keys = _keys(docs, model.shards, g, groups, split)
+        found = mine.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInPandas(_look_up, "id long, part double")
         parts.append(materialise(found.groupBy("id").agg(F.sum("part").alias("part")), "kn-scores"))
         release(docs.sparkSession)
     out = parts[0]
@@ -237,15 +275,16 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     judged like texts without words. An empty table gives no row.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = materialise(_sizes(named), "kn-sizes")
+    measured = materialise(_sizes(named), "kn-sizes")
+    sizes = measured.where("bins is null")
     words = sizes.agg(F.sum("words")).first()[0] or 0
-    shards = max(8 * groups, groups * math.ceil(2 * words / SHARD_KEYS / groups))
+    shards = min(BINS, max(8 * groups, groups * math.ceil(2 * words / SHARD_KEYS / groups)))
     chosen = trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     aside = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(held_out)) == 0
     trusted = materialise(named.where("text is not null").join(chosen.where(~aside), "id", "left_semi").dropDuplicates(["id"]).select("text"), "kn-trusted")
     release(docs.sparkSession)
     model = train(trusted, shards, 2 * groups)
-    logprob = score(named.where("id is not null").select("id", "text"), model, groups)
+    logprob = score(named.where("id is not null").select("id", "text"), model, groups, salts(measured, shards))
     per_id = sizes.where("id is not null and words > 0").groupBy("id").agg(F.sum("words").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("lang").alias("lang"))
     # a document's n words and its end are n + 1 places; words take the floor where nothing is known
     total = F.coalesce("logprob", F.lit(0.0)) + F.col("n") * model.floor + F.col("rows") * model.ends

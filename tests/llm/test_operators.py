@@ -376,6 +376,27 @@ def test_perplexity_sees_signs_and_case(spark):
     assert [got[i]["n_tokens"] for i in (0, 300, 301)] == [61, 60 + 59 + 1, 61]
 
 
+def test_a_frequent_key_is_scored_in_several_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["the", rng.choice("abcdefghij") * rng.randint(1, 3)]) for _ in range(30))
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(3)
+    want = {r["doc_id"]: r["perplexity"] for r in perplexity.classify(df, df).collect()}
+    made, score = {}, perplexity.score
+
+    def watched(docs, model, groups, split):
+        made.update(split)
+        per = perplexity._keys(docs, model.shards, 0, 1, split).groupBy("shard", "salt").agg(F.sum(F.length("keys") / 5).alias("n"))
+        assert per.where(F.col("n") > 8000).count() == 0  # 'the' alone is some 22500 keys
+        return score(docs, model, groups, split)
+
+    monkeypatch.setattr(perplexity, "SHARD_KEYS", 3000)
+    monkeypatch.setattr(perplexity, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(perplexity, "score", watched)
+    got = {r["doc_id"]: r["perplexity"] for r in perplexity.classify(df, df).collect()}
+    assert max(made.values()) >= 3
+    assert all(abs(got[i] - want[i]) < 1e-6 * want[i] for i in want)
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
 
