@@ -73,10 +73,10 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: vectors without null or non-finite components that are not zero."""
+    """``id, v``: vectors without null or non-finite components that are not zero, repeated rows once."""
     v = F.col("v")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))).dropDuplicates(["id", "v"])
 
 
 def fit(v: DataFrame, k: int = 20, tables: int = 2, recall: float = 0.97, sample: int = 4096, seed: int = 7) -> Index | None:
@@ -108,15 +108,20 @@ def _top(k: int):
         q, m = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out = []
         if len(q) and len(m):
+            m = m.sort_values("id", kind="stable")
             qx, mx, qi, mi = np.stack(q["v"].to_numpy()), np.stack(m["v"].to_numpy()), q["id"].to_numpy(), m["id"].to_numpy()
+            start = np.flatnonzero(np.r_[True, mi[1:] != mi[:-1]])  # an id with several vectors has its best one's place
             for i in range(0, len(q), 512):
                 s = qx[i : i + 512] @ mx.T
                 s[qi[i : i + 512, None] == mi[None]] = -np.inf
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                by_id = s if len(start) == len(mi) else np.maximum.reduceat(s, start, axis=1)
+                least = np.partition(by_id, -k, axis=1)[:, -k] if by_id.shape[1] > k else np.full(len(s), -np.inf)
                 a, b = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf))
                 exact = np.einsum("ij,ij->i", qx[i + a], mx[b])  # equal vectors get equal scores
                 order = np.lexsort((mi[b], -exact, a))
                 a, b, exact = a[order], b[order], exact[order]
+                once = np.sort(np.unique(np.stack([a, mi[b]]), axis=1, return_index=True)[1]) if len(start) < len(mi) else slice(None)
+                a, b, exact = a[once], b[once], exact[once]
                 first = np.searchsorted(a, a)
                 keep = np.arange(len(a)) - first < k
                 out.append(pd.DataFrame({"query_id": qi[i + a[keep]], "vec_id": mi[b[keep]], "score": exact[keep]}))

@@ -222,6 +222,18 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_repeated_vectors_take_one_place(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8))
+    near = x[0] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(70, near.tolist())] * 30
+    rows += [(71, (near * (1 + 0.001 * i)).tolist()) for i in range(30)]  # one id, many near vectors
+    best = {i: max(float(np.dot(x[0], v)) for j, v in rows if j == i) for i, _ in rows if i}
+    want = sorted(best, key=lambda i: (-best[i], i))[:20]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=20, recall=1 - 1e-9).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def brute_links(rows, width, num, den):
     def sh(t):
         w = (t or "").encode().lower().split()
