@@ -206,6 +206,14 @@ def _compare(num: int, den: int):
     return run
 
 
+def batches(opened: DataFrame) -> int:
+    """Batches that the rows of open buckets (``size`` documents, ``most`` in the largest component)
+    fill once outsiders are repeated for each block of members and members for each of outsiders."""
+    outside = F.col("size") - F.col("most")
+    rows = outside * F.ceil(F.col("size") / BLOCK) + F.col("size") * F.ceil(outside / BLOCK)
+    return max(1, -(-int(opened.agg(F.sum(rows)).first()[0] or 0) // BATCH_ROWS))
+
+
 def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, n_shingles, component_id`` for each row: documents linked when their shingle sets
     have ``den * intersection >= num * union``, and the smallest id reachable by links.
@@ -264,7 +272,7 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
     largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp"))["comp"].alias("main"), F.sum("members").alias("size"), F.max("members").alias("most")).where("comps > 1")
     largest = materialise(largest, "jaccard-open")
-    together = max(1, (largest.agg(F.sum("size")).first()[0] or 0) // BATCH_ROWS)
+    together = batches(largest)
     blocks = placed.join(largest, "key").withColumn("outside", F.col("comp") != F.col("main"))
     blocks = blocks.join(reps.select("id", "n", "own", F.col("up").alias("next")), "id").select("key", "k", "id", "up", "n", "comp", "outside", F.when(F.col("up") == 0, F.col("own")).otherwise(F.col("next")).alias("sketch"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
     mine = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.col(n)).cast("int")

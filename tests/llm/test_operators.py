@@ -281,6 +281,13 @@ def test_jaccard_links_match_brute_force(spark, width, num):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_batches_count_repeated_rows(spark):
+    size, most = 10 * jaccard.BLOCK, 1
+    per = jaccard.batches(spark.createDataFrame([(size, most)] * 3, "size long, most long"))
+    assert per * jaccard.BATCH_ROWS >= 3 * 10 * (size - most + size)
+    assert jaccard.batches(spark.createDataFrame([], "size long, most long")) == 1
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(3)
     for _ in range(50):
