@@ -152,24 +152,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles of ``width`` words, A-Z
-    lower-cased. A text with fewer words is one shingle of all its words; one without has none."""
+#: Odd multipliers of the places in a shingle.
+_PLACES = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_runs(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, hashes, hashes of each text) for runs of texts: each text's sorted
+    distinct 64-bit hashes of its shingles of ``width`` words, A-Z lower-cased. A text with fewer
+    words is one shingle of all its words; one without has none."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    for _, hashes, counts in hash_words(raw, _ASCII_SPACE, _FOLDED):
-        n, full = len(hashes), np.full(max(len(hashes) - width + 1, 0), width, np.uint64)
+    places = np.resize(_PLACES, width)
+    for at, words, counts in hash_words(raw, _ASCII_SPACE, _FOLDED):
+        full = np.zeros(max(len(words) - width + 1, 0), np.uint64)
         with np.errstate(over="ignore"):
             for i in range(width if len(full) else 0):
-                full = mix(full * np.uint64(_BASE) + hashes[i : n - width + 1 + i])
-            at = 0
-            for k in counts.tolist():
-                if k >= width:
-                    yield np.unique(full[at : at + k - width + 1])
-                elif k:
-                    one = np.uint64(k)
-                    for h in hashes[at : at + k]:
-                        one = mix(one * np.uint64(_BASE) + h)
-                    yield np.array([one], np.uint64)
-                else:
-                    yield np.zeros(0, np.uint64)
-                at += k
+                full += words[i : i + len(full)] * places[i]
+            begin = np.cumsum(counts) - counts
+            sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+            of = np.repeat(np.arange(len(counts)), sizes)
+            first = np.cumsum(sizes) - sizes
+            where = begin[of] + np.arange(len(of)) - first[of]
+            out = full[np.minimum(where, max(len(full) - 1, 0))] if len(full) else np.zeros(len(of), np.uint64)
+            for i in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+                k = int(counts[i])
+                out[first[i]] = (words[begin[i] : begin[i] + k] * places[:k]).sum(dtype=np.uint64) + np.uint64(k)
+            out = mix(out)
+        for i, j in zip(first.tolist(), (first + sizes).tolist()):
+            out[i:j].sort()
+        fresh = np.ones(len(out), bool)
+        fresh[1:] = (out[1:] != out[:-1]) | (of[1:] != of[:-1])
+        yield at, out[fresh], np.bincount(of[fresh], minlength=len(counts))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The set of each text, one after the other; see `shingle_runs`."""
+    for _, hashes, counts in shingle_runs(texts, width):
+        yield from np.split(hashes, np.cumsum(counts)[:-1])

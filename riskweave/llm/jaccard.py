@@ -2,30 +2,34 @@
 
 Every shingle flips one bit of a document's sketch, so two sketches differ in no more bits than
 the two sets have elements that they do not share. Documents are banded by set size; the sketch of
-a band has one more word of 32 bits than the most elements in which linked sets can differ, so
-linked documents agree in a word at least (pigeonhole) and meet when joined on it. Pairs that
-meet are verified on the sets. No candidate is dropped:
+a band has some more words of 32 bits than the most elements in which linked sets can differ, so
+linked documents agree in several words at least (pigeonhole) and meet when joined on one. Pairs
+that meet are verified on the sets. No candidate is dropped:
 
+* documents with equal sets are one class, of which one document stands for all;
 * a word that got no shingle counts only where a document has so many that they could be all it
   shares;
-* documents with equal sets are one class, of which one document stands for all;
+* a document that meets others in fewer words than linked documents must agree in has no link;
 * in a bucket (documents that agree in a word) all are first verified against one hub, twice with
   different hubs, and verified links are merged into components;
 * where a bucket still holds several components, every document outside the largest is compared
   with all others of the bucket, in blocks of bounded size, by the whole sketch, and what the
   bound on the difference allows is verified.
+
+Words travel as keys of five bytes in blocks of documents, dealt into shards by hash. A shard that a
+frequent key makes too large for one task is joined as rows instead, where Spark combines before
+the shuffle and splits a hot key.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import drop_shared, materialise, mix, release, shingle_sets
+from .common import drop_shared, materialise, mix, shingle_runs, shingle_sets
 
 #: Rows of a bucket that are compared in memory at once.
 BLOCK = 2048
@@ -33,9 +37,13 @@ BLOCK = 2048
 EDGES_A_FILE = 500_000
 #: Rows of small blocks that are handed to Python in one call, about.
 BATCH_ROWS = 10_000
-#: Keys are joined in groups, one after the other, so that fewer are on disk at once: as many as
-#: this times the share of a pair's elements that may differ, which keys for a shingle grow with.
-GROUPS = 60
+#: Keys in a shard on average; one task takes up to twice as many.
+SHARD_KEYS = 2_000_000
+#: Documents whose keys travel together: their number in a block has one byte.
+BLOCK_DOCS = 256
+#: Ids that are broadcast, counted first (8 bytes each); more are joined by key.
+BROADCAST_IDS = 500_000
+_KEYS, _NAMES = np.uint64(0xA0761D6478BD642F), np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def band_starts(num: int, den: int, most: int) -> np.ndarray:
@@ -46,22 +54,25 @@ def band_starts(num: int, den: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def sketch_words(starts: np.ndarray, band: int, num: int, den: int) -> tuple[int, int]:
+def sketch_words(starts: np.ndarray, band, num: int, den: int):
     """Words of a band's sketch, and the most of them in which linked sets can differ there. Some
     more words than those and one: then linked sets agree in several, and words that got no
     shingle, in which any two sets may agree, need not be looked at unless a set has many."""
-    most = (2 * (int(starts[band + 1]) - 1)) * (den - num) // (den + num)
+    most = (2 * (starts[band + 1] - 1)) * (den - num) // (den + num)
     return most + 1 + (most + 7) // 8, most
 
 
-def sketch(shingles: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(shingles: np.ndarray, n_words: int, of=0, sets: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketch: each shingle flips one of ``32 * n_words`` bits; and for each word the XOR of
-    its shingles' hashes, which tells contents apart that the word's few bits do not."""
-    at = mix(shingles ^ np.uint64(0xA0761D6478BD642F))
-    word, bit = (at % np.uint64(n_words)).astype(np.int64), np.uint32(1) << (at >> np.uint64(59)).astype(np.uint32)
-    bits, names = np.zeros(n_words, np.uint32), np.zeros(n_words, np.uint32)
-    np.bitwise_xor.at(bits, word, bit)
-    np.bitwise_xor.at(names, word, (mix(shingles ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32))
+    its shingles' hashes, which tells contents apart that the word's few bits do not. Of several
+    ``sets`` at once where ``of`` holds each shingle's set and ``n_words`` its words: then the
+    sketches follow each other."""
+    at = mix(shingles ^ _KEYS)
+    words = np.broadcast_to(np.asarray(n_words, np.int64), (sets,))
+    word = (((at >> np.uint64(32)) * words[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + (np.cumsum(words) - words)[of]
+    names, bits = np.zeros(int(words.sum()), np.uint32), np.zeros(int(words.sum()), np.uint32)
+    np.bitwise_xor.at(names, word, at.astype(np.uint32))
+    np.bitwise_xor.at(bits, word, np.uint32(1) << (at & np.uint64(31)).astype(np.uint32))
     return bits, names
 
 
@@ -75,43 +86,128 @@ def _bands(num: int, den: int, size: int) -> np.ndarray:
     return have
 
 
-def sketch_documents(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, h1, h2, band`` and for the document's own band and the next the sketch (``own, up``),
-    the words' names (``own_key, up_key``) and whether empty words count (``own_zero, up_zero``).
-    ``n`` is the set size; ``h1, h2`` are two 64-bit sums that name the set."""
-    ints = pa.list_(pa.int32())
-    kinds = dict(n=pa.int64(), h1=pa.int64(), h2=pa.int64(), band=pa.int32(), own=ints, up=ints, own_key=ints, up_key=ints, own_zero=pa.bool_(), up_zero=pa.bool_())
-
-    def column(values, kind):
-        if kind != ints:
-            return pa.array(values, kind)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()))
+def _named(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``id, n, h1, h2, keys``: set size, two 64-bit sums that name the set, and the words of its
+    sketches; of rows ``id, text``."""
+    names = ["id", "n", "h1", "h2", "keys"]
 
     def run(batches):
-        none = np.zeros(0, np.int32)
         for b in batches:
-            out = []
-            for s in shingle_sets(b.column(1).to_pylist(), width):
-                if not len(s):
-                    out.append((0, 0, 0, -1, none, none, none, none, False, False))
-                    continue
-                starts = _bands(num, den, len(s))
-                band = int(np.searchsorted(starts, len(s), "right")) - 1
-                with np.errstate(over="ignore"):
-                    h1, h2 = int(s.sum().astype(np.int64)), int(mix(s ^ np.uint64(0x8EBC6AF09C88C6E3)).sum().astype(np.int64))
-                made = []
-                for x in (band, band + 1):
-                    words, most = sketch_words(starts, x, num, den)
-                    bits, names = sketch(s, words)
-                    # linked sets agree in words - most words at least: with fewer empty ones, in one that is not
-                    made.append((bits.view(np.int32), names.view(np.int32), bool((names == 0).sum() >= words - most)))
-                (own, own_key, own_zero), (up, up_key, up_zero) = made
-                out.append((len(s), h1, h2, band, own, up, own_key, up_key, own_zero, up_zero))
-            cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[column(c, k) for c, k in zip(cols, kinds.values(), strict=True)]], ["id", *kinds])
-
-    schema = "id long, n long, h1 long, h2 long, band int, own array<int>, up array<int>, own_key array<int>, up_key array<int>, own_zero boolean, up_zero boolean"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            for at, s, n in shingle_runs(b.column(1).to_pylist(), width):
+                starts = _bands(num, den, int(n.max(initial=0)))
+                band = np.maximum(np.searchsorted(starts, n, "right") - 1, 0)
+                keys = np.where(n > 0, sum(sketch_words(starts, band + x, num, den)[0] for x in (0, 1)), 0)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (s, mix(s ^ _NAMES))]
+                h1, h2 = ((c[ends[1:]] - c[ends[:-1]]).view(np.int64) for c in sums)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), *[pa.array(x) for x in (n, h1, h2, keys)]], names)
+
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, keys long")
+
+
+def _packed(docs: DataFrame, width: int, num: int, den: int, shards: int) -> DataFrame:
+    """``shard int, ids array<long>, least array<int>, docs binary, keys binary`` of rows ``id, text``.
+
+    For each block of documents and shard their keys, 5 bytes each, whose lowest bit is 1 for the
+    sketch of the band above, and for each key the number of its document in ``ids``, 1 byte. A
+    row without a shard has for each document the words in which it must meet others at least to
+    have a link, in its own band and in the next.
+    """
+    names = ["shard", "ids", "least", "docs", "keys"]
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+
+    def keys_of(s, n):
+        """Keys of a run of sets with the number of their set, and what each set must meet in."""
+        have, of = np.flatnonzero(n), np.repeat(np.arange(int((n > 0).sum())), n[n > 0])
+        starts = _bands(num, den, int(n.max(initial=0)))
+        band = np.searchsorted(starts, n[have], "right") - 1
+        out, least = [], np.zeros((len(n), 2), np.int32)
+        for up in (0, 1):
+            words, most = sketch_words(starts, band + up, num, den)
+            _, made = sketch(s, words, of, len(have))
+            begin = np.cumsum(words) - words
+            owner = np.repeat(np.arange(len(have)), words)
+            # linked sets agree in words - most words at least: with fewer empty ones, in one that is not
+            empty = np.bincount(owner[made == 0], minlength=len(have))
+            zero = empty >= words - most
+            least[have, up] = np.where(zero, 1, words - most - empty)
+            kept = np.flatnonzero((made != 0) | zero[owner])
+            place = (band[owner[kept]] + up).astype(np.uint64) << np.uint64(32) | (kept - begin[owner[kept]]).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                key = mix(mix(place + np.uint64(0x632BE59BD9B4E019)) + made[kept])
+            out.append((key, have[owner[kept]], np.full(len(kept), up, np.uint64)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)], least
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK_DOCS):
+                b = whole.slice(i, BLOCK_DOCS)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for at, s, n in shingle_runs(b.column(1).to_pylist(), width):
+                    (key, doc, up), least = keys_of(s, n)
+                    mine = ids[at : at + len(n)]
+                    shard = ((key >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int32)
+                    order = np.lexsort((doc, shard))
+                    shard, doc = shard[order], doc[order]
+                    raw = ((key << np.uint64(1) | up)[order] & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                    cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist() if len(shard) else []
+                    out = [(None, mine.tolist(), least.ravel().tolist(), None, None)]
+                    for lo, hi in zip(cut, cut[1:]):
+                        held = np.flatnonzero(np.bincount(doc[lo:hi]))
+                        local = np.searchsorted(held, doc[lo:hi]).astype(np.uint8)
+                        out.append((int(shard[lo]), mine[held].tolist(), None, local.tobytes(), raw[lo:hi].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, "shard int, ids array<long>, least array<int>, docs binary, keys binary")
+
+
+def _unpack(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key with its shard, document and whether of the band above, for each key of packed rows."""
+    rows = [(s, np.array(i, np.int64), np.frombuffer(d, np.uint8), np.frombuffer(k, np.uint8)) for s, i, d, k in zip(*[table.column(c).to_pylist() for c in ("shard", "ids", "docs", "keys")], strict=True)]
+    none = [np.zeros(0, np.int64)]
+    raw = np.zeros((sum(len(d) for _, _, d, _ in rows), 8), np.uint8)
+    raw[:, :5] = np.concatenate([np.zeros(0, np.uint8), *[k for *_, k in rows]]).reshape(-1, 5)
+    key = raw.view("<i8").ravel()
+    shard = np.repeat(np.array([s for s, *_ in rows], np.int64), [len(d) for _, _, d, _ in rows])
+    return shard << 39 | key >> 1, np.concatenate([*none, *[i[d] for _, i, d, _ in rows]]), (key & 1).astype(np.int32)
+
+
+def _meet(packed: DataFrame) -> DataFrame:
+    """``key, id, up`` of the keys that documents share, one of them in its own band at least."""
+    counted = packed.where("shard is not null").groupBy("shard").agg(F.sum(F.octet_length("docs")).alias("n"))
+    hot = [r["shard"] for r in counted.where(F.col("n") > 2 * SHARD_KEYS).select("shard").collect()]  # few: their keys are hot
+    schema = "key long, id long, up int"
+
+    def batch(key, doc, up):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(up)], ["key", "id", "up"])
+
+    def shared(table):
+        key, doc, up = _unpack(table)
+        order = np.argsort(key, kind="stable")
+        key, doc, up = key[order], doc[order], up[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        low = np.minimum.reduceat(up, first) == 0 if len(key) else size > 0
+        held = np.repeat((size > 1) & low, size)
+        return pa.Table.from_batches([batch(key[held], doc[held], up[held])])
+
+    rest = packed.where("shard is not null" + (f" and shard not in ({', '.join(map(str, hot))})" if hot else ""))
+    met = rest.select("shard", "ids", "docs", "keys").groupBy("shard").applyInArrow(shared, schema)
+    if hot:
+        rows = packed.where(F.col("shard").isin(hot)).select("shard", "ids", "docs", "keys").mapInArrow(lambda bs: (batch(*_unpack(b)) for b in bs), schema)
+        met = met.unionAll(_full(rows))
+    return met
+
+
+def _full(met: DataFrame) -> DataFrame:
+    """Rows ``key, id, up`` of keys with two rows at least, one of them in its own band."""
+    full = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("up").alias("low")).where("size > 1 and low = 0").select("key")
+    return met.join(full.hint("merge"), "key", "left_semi")
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows of ``docs`` whose id is among ``ids``, of which there are ``n``."""
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash"), "id", "left_semi")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -119,13 +215,30 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = [s.view("<i8") for s in shingle_sets(b.column(1).to_pylist(), width)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], ["id", "s"])
+            for at, s, n in shingle_runs(b.column(1).to_pylist(), width):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(s.view(np.int64)))], ["id", "s"])
 
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
+def _sketches(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``id, n, own, next`` of ``id, s``: sketches in the set's own band and in the next."""
+    ints = pa.list_(pa.int32())
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                s = np.array(x, np.int64).view(np.uint64)
+                starts = _bands(num, den, len(s))
+                band = int(np.searchsorted(starts, len(s), "right")) - 1
+                out.append((len(s), *[sketch(s, sketch_words(starts, band + up, num, den)[0])[0].view(np.int32) for up in (0, 1)]))
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), ints, ints), strict=True)]], ["id", "n", "own", "next"])
+
+    return sets.mapInArrow(run, "id long, n long, own array<int>, next array<int>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, comp``: for every end of an edge ``a, b`` the smallest id of its component.
 
@@ -168,50 +281,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.where(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which each sketch of ``a`` differs from each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    for k in range(a.shape[1]):
-        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return out
+#: Pairs that are listed, and pairs whose sketches are compared, at once.
+_LISTED, _COMPARED = 1 << 22, 1 << 14
 
 
 def _compare(num: int, den: int):
-    """Pairs of outsiders and members of a bucket's block that the sketches cannot rule out; a
-    call gets many blocks, each whole."""
-
-    def block(q: dict, m: dict, out: list) -> None:
-        step = max(1, (1 << 21) // len(m["id"]))
-        for i in range(0, len(q["id"]), step):
-            x = {c: v[i : i + step] for c, v in q.items()}
-            near = (_differ(x["sketch"], m["sketch"]) * (num + den) <= (x["n"][:, None] + m["n"][None]) * (den - num)) & (x["comp"][:, None] != m["comp"][None])
-            a, b = np.nonzero(near & ((x["up"][:, None] == 0) | (m["up"][None] == 0)))
-            out.append((x["id"][a], m["id"][b]))
-
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "words", "k", "q", "m", "side"], kind="stable")
-        cols = {c: pdf[c].to_numpy() for c in ("id", "n", "comp", "up")}
-        same = pdf[["key", "words", "k", "q", "m"]].to_numpy()
-        side, sketches = pdf["side"].to_numpy(), pdf["sketch"].to_numpy()
-        cut = [0, *(np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+    """Pairs of outsiders and members of a bucket's block that the sketches cannot rule out.
+
+    A call gets the blocks of a batch and each of their documents' sketches once; a pair that
+    meets in many of the blocks is compared once, and a part of the sketch rules most pairs out.
+    """
+
+    def run(_: tuple, rows: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         out: list = [(np.zeros(0, np.int64),) * 2]
-        for lo, hi in zip(cut, cut[1:]):
-            mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            if lo < mid < hi:
-                q, m = ({c: v[x] for c, v in cols.items()} | {"sketch": np.stack(sketches[x]).astype(np.int32).view(np.uint32)} for x in (slice(lo, mid), slice(mid, hi)))
-                block(q, m, out)
+        made = made.sort_values(["id", "up"], kind="stable", ignore_index=True)
+        lists = made["sketch"].to_numpy()
+        words = np.array([len(x) for x in lists], np.int64)
+        sketches = np.zeros((len(lists), (words.max(initial=0) + 1) // 2 * 2), np.int32)
+        for i, x in enumerate(lists):
+            sketches[i, : len(x)] = x
+        sketches = sketches.view(np.uint64)
+        names, n = made["id"].to_numpy(), made["n"].to_numpy()
+        head = max(1, sketches.shape[1] // 4)
+
+        def near(q, m):
+            most = (n[q] + n[m]) * (den - num) // (num + den)
+            for part in (slice(0, head), slice(None)):
+                for j in range(0, len(q), _COMPARED):
+                    x, y = q[j : j + _COMPARED], m[j : j + _COMPARED]
+                    ok = np.bitwise_count(sketches[x, part] ^ sketches[y, part]).sum(axis=1, dtype=np.int64) <= most[j : j + _COMPARED]
+                    q[j : j + _COMPARED] = np.where(ok, x, -1)
+                left = q >= 0
+                q, m, most = q[left], m[left], most[left]
+            out.append((names[q], names[m]))
+
+        # a repeated id has a sketch for each of its sets: all of them stand in its place
+        place = made.reset_index(names="at")[["id", "up", "at"]]
+        rows = rows.merge(place, on=["id", "up"]).sort_values(["key", "q", "m", "side"], kind="stable")
+        comp, up, at, side = (rows[c].to_numpy() for c in ("comp", "up", "at", "side"))
+        same = rows[["key", "q", "m"]].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(rows)))
+        asked = np.add.reduceat(1 - side, first) if len(rows) else size
+        seen, lo = np.zeros(0, np.int64), 0
+        ends = np.cumsum(asked * (size - asked))
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _LISTED, "right")))
+            f, a, k = first[lo:hi], asked[lo:hi], (size - asked)[lo:hi]
+            block = np.repeat(np.arange(hi - lo), a * k)
+            local = np.arange(len(block)) - np.repeat(np.cumsum(a * k) - a * k, a * k)
+            q, m = f[block] + local // k[block], f[block] + a[block] + local % k[block]
+            ok = (comp[q] != comp[m]) & ((up[q] == 0) | (up[m] == 0)) & (words[at[q]] == words[at[m]])
+            q, m = at[q[ok]], at[m[ok]]
+            new = np.setdiff1d(np.minimum(q, m) * len(names) + np.maximum(q, m), seen)
+            seen = np.union1d(seen, new)
+            near(new // max(len(names), 1), new % max(len(names), 1))
+            lo = hi
         a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
 
-def batches(opened: DataFrame) -> int:
-    """Batches that the rows of open buckets (``size`` documents, ``most`` in the largest component)
-    fill once outsiders are repeated for each block of members and members for each of outsiders."""
+def dealt(opened: DataFrame) -> tuple[DataFrame, int]:
+    """``key, batch`` of open buckets (``key, hub``, ``size`` documents, ``most`` in the largest
+    component), and the number of batches.
+
+    A bucket fills so many rows once outsiders are repeated for each block of members and members
+    for each of outsiders. Buckets of one hub hold much the same documents and come together, in
+    several batches if their rows are many.
+    """
     outside = F.col("size") - F.col("most")
-    rows = outside * F.ceil(F.col("size") / BLOCK) + F.col("size") * F.ceil(outside / BLOCK)
-    return max(1, -(-int(opened.agg(F.sum(rows)).first()[0] or 0) // BATCH_ROWS))
+    rows = (outside * F.ceil(F.col("size") / BLOCK) + F.col("size") * F.ceil(outside / BLOCK)).alias("rows")
+    filled = opened.select("key", "hub", rows)
+    parts = filled.groupBy("hub").agg(F.ceil(F.sum("rows") / BATCH_ROWS).alias("parts"))
+    total = max(1, -(-int(filled.agg(F.sum("rows")).first()[0] or 0) // BATCH_ROWS))
+    salt = F.pmod(F.xxhash64(F.lit(5), "key"), F.col("parts"))
+    return filled.join(parts, "hub").select("key", F.pmod(F.xxhash64("hub", salt), F.lit(total)).alias("batch")), total
 
 
 def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,46 +366,33 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
 
     A document without words has an empty set and stays alone. Shingles are told apart by 64-bit
     hashes, equal sets by two 64-bit sums and the size. Rows with equal ids are one document with
-    several rows; a null id is linked with nothing and its component is null. An empty table gives
-    no row; further columns are ignored.
+    several rows; a null id is linked with nothing and its component is null. Texts of any length
+    are taken whole: the sketch grows with the set. An empty table gives no row; further columns
+    are ignored.
     """
-    spark = docs.sparkSession
     name = ["n", "h1", "h2"]
-    sketched = materialise(sketch_documents(docs, width, num, den, id_col, text_col), "jaccard-sketches")
-    filled = sketched.where("n > 0 and id is not null")
-    classes = materialise(filled.groupBy(name).agg(F.min("id").alias("rep")), "jaccard-classes")
-    reps = filled.join(classes.select(*name, F.col("rep").alias("id")), [*name, "id"], "left_semi").dropDuplicates([*name, "id"])
-    reps = materialise(reps.drop("h1", "h2"), "jaccard-reps")
-    all_rows = materialise(sketched.select("id", *name), "jaccard-rows")
-    drop_shared(sketched)
-    release(spark)
-
-    def keyed(col, band, group):
-        words = F.posexplode(f"{col}_key").alias("k", "w")
-        keys = reps.select("id", F.lit(band).alias("up"), (F.col("band") + band).alias("band"), F.col(f"{col}_zero").alias("zero"), words).where("w <> 0 or zero")
-        return keys.select(F.xxhash64("band", "k", "w").alias("key"), "id", (F.col("k") * 2 + F.col("up")).alias("place")).where(F.pmod("key", F.lit(groups)) == group)
-
-    # a bucket counts if it holds two documents, one at least in its own band
-    met, met_parts = None, []
-    groups = -(-GROUPS * (den - num) // (den + num))
-    for g in range(groups):
-        # full buckets grow with the data: both sides are dealt by key, where Spark can split a hot one
-        keys = keyed("own", 0, g).unionAll(keyed("up", 1, g))
-        full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("place") % 2).alias("low")).where("size > 1 and low = 0").select("key")
-        part = materialise(keys.join(full.hint("merge"), "key", "left_semi"), "jaccard-met")
-        met_parts.append(part)
-        met = part if met is None else met.unionAll(part)
-        release(spark)
-    met = met.select("key", "id", F.expr("place div 2").cast("int").alias("k"), (F.col("place") % 2).alias("up"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    all_rows = materialise(_named(texts, width, num, den), "jaccard-rows")
+    filled = all_rows.where("n > 0 and id is not null")
+    classes = materialise(filled.groupBy(name).agg(F.min("id").alias("rep"), F.max("keys").alias("keys")), "jaccard-classes")
+    count, keys = classes.agg(F.count(F.lit(1)), F.sum("keys")).first()
+    repeated = filled.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    once = lambda df: df.dropDuplicates() if repeated else df  # noqa: E731  only repeated ids can have a row twice
+
+    # a class's first document stands for it: equal sets meet nowhere
+    reps = once(_of_ids(texts.where("id is not null"), classes.select(F.col("rep").alias("id")), count))
+    packed = materialise(_packed(reps, width, num, den, max(32, (keys or 0) // SHARD_KEYS)), "jaccard-packed")
+    shared = materialise(_meet(packed), "jaccard-shared")
+    # linked documents agree in several words: what meets others in fewer goes, and buckets it leaves alone
+    least = packed.where("shard is null").select(F.posexplode("ids").alias("at", "id"), "least").select("id", F.inline(F.array(*[F.struct(F.lit(up).alias("up"), F.get("least", F.col("at") * 2 + up).alias("least")) for up in (0, 1)])))
+    least = least.groupBy("id", "up").agg(F.min("least").alias("least"))
+    often = shared.groupBy("id", "up").agg(F.count(F.lit(1)).alias("met")).join(least, ["id", "up"]).where("met >= least").select("id", "up")
+    met = materialise(_full(shared.join(often, ["id", "up"], "left_semi")), "jaccard-met")
+    drop_shared(packed)
+    drop_shared(shared)
 
     in_play = materialise(met.select("id").distinct(), "jaccard-in-play")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = _shingle_sets(texts.join(in_play, "id", "left_semi"), width)
-    if all_rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["id", "s"])  # only repeated ids can have a set twice
-    sets = materialise(sets, "jaccard-sets")
-    drop_shared(in_play)
-    release(spark)
+    sets = materialise(once(_shingle_sets(once(_of_ids(texts.where("id is not null"), in_play, in_play.count())), width)), "jaccard-sets")
     hub = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), F.col("id")).alias("h"), "id"))["id"]
     hubs = met.groupBy("key").agg(F.array(hub(1), hub(2)).alias("hubs"))
     stars = met.join(hubs, "key").select(F.explode("hubs").alias("hub"), "id").where("hub <> id")
@@ -268,27 +401,33 @@ def link(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col:
     comp = components(first)
 
     # buckets that still hold several components: outsiders against all, in blocks
-    placed = met.select("key", "k", "id", "up").join(comp, "id", "left").select("key", "k", "id", "up", F.coalesce("comp", "id").alias("comp"))
-    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
-    largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp"))["comp"].alias("main"), F.sum("members").alias("size"), F.max("members").alias("most")).where("comps > 1")
+    placed = met.join(comp, "id", "left").select("key", "id", "up", F.coalesce("comp", "id").alias("comp"))
+    order = F.min(F.struct(F.xxhash64(F.lit(1), F.col("id")).alias("h"), "id"))
+    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"), order.alias("hub"))
+    largest = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp"))["comp"].alias("main"), F.sum("members").alias("size"), F.max("members").alias("most"), F.min("hub")["id"].alias("hub")).where("comps > 1")
     largest = materialise(largest, "jaccard-open")
-    together = batches(largest)
-    blocks = placed.join(largest, "key").withColumn("outside", F.col("comp") != F.col("main"))
-    blocks = blocks.join(reps.select("id", "n", "own", F.col("up").alias("next")), "id").select("key", "k", "id", "up", "n", "comp", "outside", F.when(F.col("up") == 0, F.col("own")).otherwise(F.col("next")).alias("sketch"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
+    batch, together = dealt(largest)
+    blocks = placed.join(largest.join(batch, "key"), "key").select("key", "id", "up", "comp", "batch", (F.col("comp") != F.col("main")).alias("outside"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("ms"))
+    blocks = materialise(blocks, "jaccard-blocks")
+    sketches = _sketches(sets.join(blocks.select("id").distinct(), "id", "left_semi"), num, den)
     mine = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("id")), F.col(n)).cast("int")
+    # a block's number is part of its batch's: a bucket of many blocks is dealt over many batches
+    dealt_block = F.when((F.col("qs") == 1) & (F.col("ms") == 1), F.col("batch")).otherwise(F.pmod(F.xxhash64("key", "q", "m"), F.lit(together))).alias("batch")
     asked = blocks.where("outside").withColumn("q", mine("qs", 3)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1))).withColumn("side", F.lit(0))
     against = blocks.withColumn("m", mine("ms", 4)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("side", F.lit(1))
-    cols = ["key", F.size("sketch").alias("words"), "k", "q", "m", "side", "id", "up", "n", "comp", "sketch"]
-    batch = F.pmod(F.xxhash64("key", "q", "m"), F.lit(together)).alias("batch")
-    pairs = asked.select(batch, *cols).union(against.select(batch, *cols)).groupBy("batch").applyInPandas(_compare(num, den), "a long, b long").distinct()
+    cols = [dealt_block, "key", "q", "m", "side", "id", "up", "comp"]
+    both = asked.select(cols).union(against.select(cols))
+    needed = against.select(dealt_block, "id", "up").union(asked.select(dealt_block, "id", "up")).distinct()
+    made = needed.join(sketches, "id").select(F.col("batch").alias("batch"), F.col("id").alias("id"), F.col("up").alias("up"), "n", F.when(F.col("up") == 0, F.col("own")).otherwise(F.col("next")).alias("sketch"))
+    pairs = both.groupBy("batch").cogroup(made.groupBy("batch")).applyInPandas(_compare(num, den), "a long, b long").distinct()
     second = _verified(pairs, sets, num, den)
     links = materialise(first.union(second), "jaccard-links")
     final = components(links)
 
-    named = classes.join(final, classes["rep"] == final["id"], "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("component"))
-    rows = all_rows.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    named = classes.join(final, classes["rep"] == final["id"], "left").select(*name, F.coalesce("comp", "rep").alias("component"))
+    rows = all_rows.select("id", *name).join(named, name, "left")
     out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     out = materialise(out, "jaccard-components")
-    for x in (all_rows, classes, reps, sets, first, comp, largest, links, final, *met_parts):
+    for x in (all_rows, classes, met, in_play, sets, first, comp, largest, blocks, links, final):
         drop_shared(x)
     return out

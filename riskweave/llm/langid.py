@@ -217,14 +217,15 @@ class _Scorer:
         return names, sure
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", batch: int = 256) -> DataFrame:
-    """Add ``lang_pred string`` and ``score double`` (the posterior with an even prior).
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", batch: int = 256, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Add ``lang_pred string`` and ``score double`` (the posterior with an even prior), or columns
+    of other names.
 
     Only the text is looked at, all of it. Null texts and texts without a letter are ``und`` with
     score 0, as are all texts of a model without languages; equal posteriors go to the first
     language by name. Columns of the same names are replaced; repeated rows stay.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang_name, score_name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -236,9 +237,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", batc
                 got = scorer.predict(texts[i : i + batch])
                 names += got[0]
                 sure += got[1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, lang_name, score_name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

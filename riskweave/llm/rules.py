@@ -97,15 +97,15 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float
     return joined.select(host_col, "docs", *[r.alias(f"rate_{k}") for k, r in rate.items()], (F.greatest(*rate.values()) <= max_rate).alias("host_ok"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """One row for each document: measures, ``base_failed``, its host's ``host_ok`` and ``kept``.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, carry: list[str] | tuple = ()) -> DataFrame:
+    """One row for each document: ``carry`` columns, measures, ``base_failed``, its host's ``host_ok`` and ``kept``.
 
     ``kept`` is false for documents that fail the base rules and for those of refused hosts.
     The measures are written once to the shared folder; only these narrow rows meet the hosts'
     verdicts, and hosts, however many, are joined by key, where Spark splits a hot one.
     Empty tables give no row; repeated rows are judged once each; other columns are ignored.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), *carry)
     m = materialise(measure(named).drop("text"), "rules")
     v = host_verdicts(m, "host", max_rate)
     out = m.alias("m").join(v.select(F.col("host").alias("v_host"), "host_ok", *[f"rate_{k}" for k in rules()]), F.col("m.host").eqNullSafe(F.col("v_host")), "left").drop("v_host")

@@ -281,11 +281,32 @@ def test_jaccard_links_match_brute_force(spark, width, num):
     assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_batches_count_repeated_rows(spark):
-    size, most = 10 * jaccard.BLOCK, 1
-    per = jaccard.batches(spark.createDataFrame([(size, most)] * 3, "size long, most long"))
-    assert per * jaccard.BATCH_ROWS >= 3 * 10 * (size - most + size)
-    assert jaccard.batches(spark.createDataFrame([], "size long, most long")) == 1
+def test_a_hot_bucket_is_dealt_over_batches(spark):
+    size, most = 20_000, 1  # one bucket, all of it outside the largest component but one
+    opened = spark.createDataFrame([(i, 7, size, most) for i in range(3)], "key long, hub long, size long, most long")
+    batch, total = jaccard.dealt(opened)
+    assert total * jaccard.BATCH_ROWS >= 3 * (size - most + size) * (size // jaccard.BLOCK)
+    assert batch.count() == 3 and all(0 <= r["batch"] < total for r in batch.collect())
+    assert jaccard.dealt(spark.createDataFrame([], opened.schema))[1] == 1
+
+
+def test_keys_of_hot_shards_and_small_blocks_lose_nothing(spark, monkeypatch):
+    """A passage that all documents share, keys in rows, blocks of a few documents, few pairs at once."""
+    monkeypatch.setattr(jaccard, "SHARD_KEYS", 60)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 50)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    rng = random.Random(9)
+    vocab, passage = [f"w{i}" for i in range(300)], [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(60):  # families that differ by the words around the passage
+        base = random.Random(i // 6)
+        w = [base.choice(vocab) for _ in range(12)]
+        w[rng.randrange(12)] = rng.choice(vocab)
+        rows.append((i, " ".join([*w[:6], *passage, *w[6:]])))
+    for width, num in ((5, 80), (3, 90)):
+        got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width, num, 100).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == brute_links(rows, width, num, 100)
 
 
 def test_sketch_bounds_the_difference():
@@ -424,12 +445,24 @@ def test_pipeline(spark, docs, sf):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality rules", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
+    clash = ["times", "copy", "kept_id", "mix_id", "lang_pred", "score", "row_hash", "h", "kept", "Text_Hash"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in clash})
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = common.materialise(stage(spark, at, sf), "t")
         assert at.columns == docs.columns
+        assert all({r[c] for r in at.select(*clash).collect()} == {f"own {c}"} for c in clash)
     assert at.where("doc_id in (4, 5, 6, 7, 9)").count() == 0
     assert at.where("doc_id in (2, 3)").count() == 0  # near copies of 1
+    assert at.where("doc_id is null").count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_stage_keeps_one_row_of_an_id(spark, sf):
+    import corpus_pipeline
+
+    rows = [(1, f"t{i} " * 60, "en", "a", i, "h", i) for i in range(3)] * 2 + [(2, "other words here " * 20, "en", "a", 0, "h", 0)]
+    made = [corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(r, DOCS), sf).collect() for r in (rows, rows[::-1])]
+    assert sorted(map(str, made[0])) == sorted(map(str, made[1])) and sorted(r["doc_id"] for r in made[0]) == [1, 2]
