@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import infer_kinds, to_long
+from .core import exact_quantiles, infer_kinds, to_long
 from .encoders import WOEEncoder
 
 #: Distinct values of a feature on which trees are grown exactly; beyond, values are quantised first.
@@ -44,9 +44,11 @@ def equal_width(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str,
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True) -> dict[str, list[float]]:
-    """Quantiles of every column; interpolated and exact, or approximate for very large tables."""
-    f = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 100_000))
-    r = df.agg(*[f(F.col(c).cast("double"), probs).alias(c) for c in columns]).first()
+    """Quantiles of every column: interpolated and exact by narrowing (`core.exact_quantiles`), or
+    approximate in one pass."""
+    if exact:
+        return exact_quantiles(df, dict.fromkeys(columns, probs))
+    r = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100_000).alias(c) for c in columns]).first()
     return {c: list(r[c] or []) for c in columns}
 
 
@@ -54,19 +56,22 @@ def heavy_quantiles(df: DataFrame, columns: list[str], bins: int = 10, exact: bo
     """All edges, outer ones included: values holding at least ``0.5 / bins`` of the rows are edges
     of their own, the rest are cut into ``max(bins - k, 2)`` quantiles; where nothing is left but
     such values, they alone are the edges."""
-    counted = to_long(df, columns, as_type="double").where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = {r[0]: r[1] for r in counted.groupBy("feature").agg(F.sum("n")).collect()}
+    total = df.agg(*[F.count(F.col(c).cast("double")).alias(c) for c in columns]).first().asDict()
     limit = F.lit(None).cast("double")
     for c, n in total.items():
         limit = F.when(F.col("feature") == c, 0.5 / bins * n).otherwise(limit)
-    heavy: dict[str, set] = {c: set() for c in columns}
+    counted = to_long(df, columns, as_type="double").where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    heavy: dict[str, dict] = {c: {} for c in columns}
     for r in counted.where(F.col("n") >= limit).collect():  # at most 2 * bins values a column
-        heavy[r["feature"]].add(r["value"])
+        heavy[r["feature"]][r["value"]] = r["n"]
     rest = df.select(*[F.when(~F.col(c).cast("double").isin(sorted(heavy[c])), F.col(c).cast("double")).alias(c) if heavy[c] else F.col(c).cast("double").alias(c) for c in columns])
-    f = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 100_000))
     parts = {c: max(bins - len(heavy[c]), 2) for c in columns}
-    r = rest.agg(*[f(F.col(c), [i / parts[c] for i in range(parts[c] + 1)]).alias(c) for c in columns]).first()
-    return {c: sorted(heavy[c] | set(r[c] or [])) for c in columns}
+    probs = {c: [i / parts[c] for i in range(parts[c] + 1)] for c in columns}
+    if exact:
+        got = exact_quantiles(rest, probs, {c: total[c] - sum(heavy[c].values()) for c in columns})
+    else:
+        got = rest.agg(*[F.percentile_approx(F.col(c), probs[c], 100_000).alias(c) for c in columns]).first()
+    return {c: sorted({*heavy[c], *(got[c] or [])}) for c in columns}
 
 
 def tree_cuts(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, bins: int, depth: int | None = None, least: int = 1) -> list[float]:

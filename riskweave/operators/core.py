@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,126 @@ def lookup(df: DataFrame, table: DataFrame, rows: int, key: str, table_key: str,
     return joined.withColumn(out, got).drop(*[c for c in ("__key", "__value") if c != out])
 
 
+#: Values of a span that one task sorts to find exact ranks in it; larger spans are narrowed first.
+SORTED_VALUES = 250_000
+#: Parts into which each round of narrowing cuts a span.
+PARTS = 64
+
+
+def _within(x: Column, after, upto, strict: bool) -> Column:
+    """Whether a value is in a span: above ``after`` and up to ``upto``, or below it; None is no bound."""
+    out = x.isNotNull()
+    out = out if after is None else out & (x > F.lit(after))
+    return out if upto is None else out & ((x < F.lit(upto)) if strict else (x <= F.lit(upto)))
+
+
+def _part(x: Column, cuts: list, value) -> Column:
+    """``value(i)`` of the part that a value lies in: up to the i-th cut, the last part beyond all."""
+    out = F.when(x <= F.lit(cuts[0]), value(0))
+    for i, c in enumerate(cuts[1:], 1):
+        out = out.when(x <= F.lit(c), value(i))
+    return out.otherwise(value(len(cuts)))
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int] | None = None) -> dict[str, dict[int, object]]:
+    """Column to rank to value: the exact values at 0-based ranks among the sorted non-null values
+    of numeric columns; ranks outside are left out.
+
+    Values are not shuffled by value. Spans that hold wanted ranks are cut at approximate quantiles
+    and counted, all columns in one job, until each holds at most `SORTED_VALUES`, which one task
+    sorts. A span keeps about a PARTS-th each round and a value that stands often is settled by its
+    count, so a few rounds do for any table. Approximate quantiles are doubles: a span that they do
+    not cut, of whole numbers too large for that, is cut by distance from its least. The driver
+    gets a row for each part.
+    """
+    found: dict[str, dict[int, object]] = {c: {} for c in ranks}
+    columns = [c for c in ranks if ranks[c]]
+    if not columns:
+        return found
+    counts = counts or df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    spans = [(c, (None, None, False), 0, counts[c], sorted({r for r in ranks[c] if 0 <= r < counts[c]}), 0) for c in columns]
+    spans = [s for s in spans if s[4]]
+    while wide := [s for s in spans if s[3] > SORTED_VALUES]:
+        spans = [s for s in spans if s[3] <= SORTED_VALUES]
+        values = [F.when(_within(F.col(c), *bounds), F.col(c)) for c, bounds, *_ in wide]
+        cuts = df.agg(*[F.percentile_approx(x - F.lit(s[5]) if s[5] else x, [k / PARTS for k in range(1, PARTS + 1)], 100 * PARTS).alias(f"{i}") for i, (x, s) in enumerate(zip(values, wide))]).first()
+        cuts = [sorted({c + s[5] for c in cuts[f"{i}"]}) for i, s in enumerate(wide)]
+        cells = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("span"), _part(x, cuts[i], F.lit).alias("part"), x.isin(cuts[i]).cast("long").alias("ends"))) for i, x in enumerate(values)]
+        rows = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("span", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("ends").alias("ends")).collect()
+        size = {(r["span"], r["part"]): (r["n"], r["ends"]) for r in rows}
+        for i, (c, (after, upto, strict), before, all_n, want, base) in enumerate(wide):
+            for k, end in enumerate([*cuts[i], None]):
+                n, ends = size.get((i, k), (0, 0))
+                for r in want:
+                    if before + n - ends <= r < before + n:
+                        found[c][r] = end  # the part's greatest value, as often as it stands there
+                inside = [r for r in want if before <= r < before + n - ends]
+                if inside:
+                    bounds = (after, upto, strict) if end is None else (after, end, True)
+                    stuck = n - ends == all_n
+                    if stuck and base:
+                        raise ArithmeticError(f"no quantile divides the values of {c}")
+                    least = df.agg(F.min(F.when(_within(F.col(c), *bounds), F.col(c)))).first()[0] if stuck else 0
+                    spans.append((c, bounds, before, n - ends, inside, least))
+                before, after = before + n, end
+    if spans:
+        lists = [F.sort_array(F.collect_list(F.when(_within(F.col(c), *bounds), F.col(c)))).alias(f"{i}") for i, (c, bounds, *_) in enumerate(spans)]
+        picked = df.agg(*lists).select(*[F.array(*[F.col(f"{i}")[r - s[2]] for r in s[4]]).alias(f"{i}") for i, s in enumerate(spans)]).first()
+        for i, s in enumerate(spans):
+            found[s[0]] |= dict(zip(s[4], picked[f"{i}"], strict=True))
+    return found
+
+
+def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
+    """Column to its quantiles, interpolated between neighbours; empty for a column without values."""
+    if not probs:
+        return {}
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in probs])
+    counts = counts or x.agg(*[F.count(c).alias(c) for c in probs]).first().asDict()
+    place = {c: [p * (counts[c] - 1) for p in ps] if counts[c] else [] for c, ps in probs.items()}
+    got = order_statistics(x, {c: [k for p in ps for k in (math.floor(p), math.ceil(p))] for c, ps in place.items()}, counts)
+    between = lambda v, p: v[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * v[math.floor(p)] + (p - math.floor(p)) * v[math.ceil(p)]
+    return {c: [between(got[c], p) for p in ps] for c, ps in place.items()}
+
+
+def above(df: DataFrame, value_col: str, id_cols: list[str], quota: Callable[[int], int]) -> Column:
+    """Condition that holds for ``quota(rows)`` rows of greatest value (numeric, null the least), ties
+    by smallest id: value and id are compared with those of the last row taken, nothing is joined.
+
+    Rows that share value and id are taken together, the last ones too.
+    """
+    x = F.col(value_col)
+    n, filled = df.agg(F.count(F.lit(1)), F.count(value_col)).first()
+    quota = quota(n)
+    if quota <= 0 or quota >= n:
+        return F.lit(quota > 0)
+    if quota > filled:  # all with a value, and some without
+        more, tied, left = x.isNotNull(), x.isNull(), quota - filled
+    else:
+        at = order_statistics(df, {value_col: [filled - quota]}, {value_col: filled})[value_col][filled - quota]
+        more, tied = x > F.lit(at), x == F.lit(at)
+        over, equal = df.agg(F.sum(more.cast("long")), F.sum(tied.cast("long"))).first()
+        left = quota - (over or 0)
+        if left >= equal:
+            return F.coalesce(more | tied, F.lit(False))
+    ties = df.where(tied)
+    if len(id_cols) == 1 and is_numeric(df, id_cols[0]):
+        k = id_cols[0]
+        nulls = ties.where(F.col(k).isNull()).count()
+        last = order_statistics(ties, {k: [left - nulls - 1]})[k].get(left - nulls - 1)
+        first = F.col(k).isNull() if last is None else F.col(k).isNull() | (F.col(k) <= F.lit(last))
+    else:  # ids of other types: as many structs as are taken, in order
+        last = ties.select(F.struct(*id_cols).alias("id")).orderBy("id").limit(left).agg(F.max("id").alias("id"))
+        first = F.struct(*id_cols) <= _literal(last, df, id_cols)
+    return F.coalesce(more | (tied & first), F.lit(False))
+
+
+def _literal(one: DataFrame, df: DataFrame, id_cols: list[str]) -> Column:
+    """The struct ``id`` of a single row as a literal of the same types."""
+    row = one.first()["id"]
+    return F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in id_cols])
+
+
 def cumulate(df: DataFrame, by: str, values: dict[str, str], descending: bool = False, parts: int = 64) -> DataFrame:
     """Running sums over the whole table in order of one numeric column with distinct values.
 

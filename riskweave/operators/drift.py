@@ -226,9 +226,15 @@ def common_rows(a: DataFrame, b: DataFrame, key: str, digits: int = 3) -> DataFr
 
 
 def consistency_ratio(pairs: DataFrame, columns: list[str], fill: float | None = -999) -> DataFrame:
-    """``feature, raw, filled``: share of the rows whose cells agree, nulls never equal, and after filling."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)).alias("r"), F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).alias("f")) for c in columns]
-    del fill  # filling both sides with one value is null-safe equality
+    """``feature, raw, filled``: share of the rows whose cells agree, nulls never equal, and after both
+    sides are filled with ``fill`` (None fills nothing): a cell that holds it equals a null."""
+    kinds = dict(pairs.dtypes)
+
+    def filled(k, c):
+        x = F.col(f"{k}_{c}")
+        return x if fill is None else F.coalesce(x, F.lit(fill).cast(kinds[f"{k}_{c}"]))
+
+    cells = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False)).alias("r"), F.coalesce(filled("a", c) == filled("b", c), F.lit(False)).alias("f")) for c in columns]
     return pairs.select(F.inline(F.array(*cells))).groupBy("feature").agg(F.avg(F.col("r").cast("double")).alias("raw"), F.avg(F.col("f").cast("double")).alias("filled"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .core import declare, infer_kinds, lookup, require_columns, to_long
+from .core import declare, exact_quantiles, infer_kinds, lookup, require_columns, to_long
 
 #: Bounds that stand for an infinite weight of evidence.
 WOE_MIN, WOE_MAX = -4.6, 4.6
@@ -238,8 +238,12 @@ class ContImputerEncoder:
             best = W.partitionBy("feature").orderBy(F.desc("count"), "value")
             found = {r["feature"]: r["value"] for r in g.withColumn("r", F.row_number().over(best)).where("r = 1").collect()}
         else:
-            f = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}[self.strategy]
-            found = df.agg(*[f(F.col(c).cast("double")).alias(c) for c in self.columns]).first().asDict()
+            if self.strategy == "median":
+                found = {c: q[0] for c, q in exact_quantiles(df, dict.fromkeys(self.columns, [0.5])).items() if q}
+            elif self.strategy == "mean":
+                found = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in self.columns]).first().asDict() if self.columns else {}
+            else:
+                raise ValueError(f"unknown strategy {self.strategy!r}")
         self.values = {c: found[c] for c in self.columns if found.get(c) is not None}
         return self
 
@@ -355,7 +359,7 @@ class FriedScale:
         n = distinct_counts(df, self.columns)
         wide = [c for c in self.columns if n[c] > 2]
         q = [self.trim_quantile, 1 - self.trim_quantile]
-        r = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in wide]).first() if wide else {}
+        r = exact_quantiles(df, dict.fromkeys(wide, q))
         self.bounds = {c: tuple(r[c]) for c in wide}
         s = df.agg(*[F.stddev_pop(self._cut(c)).alias(c) for c in wide]).first() if wide else {}
         self.scale = {c: 0.4 / s[c] if s[c] else 1.0 for c in wide}

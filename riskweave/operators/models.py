@@ -112,7 +112,7 @@ class ModelTrainer:
             n, p = train.agg(F.count(F.lit(1)), F.sum(label)).first()
             up = F.when(F.col(label) == 1, (n - p) / max(p, 1)).otherwise(1.0)
             train, weight = train.withColumn("__b", up * (F.col(weight) if weight else 1.0)), "__b"
-        x = assemble(train, self.columns).withColumn("__fold", fold(label, self.folds, [id_col], self.seed)).select(id_col, label, "features", "__fold", *([weight] if weight else [])).persist()
+        x = fold(assemble(train, self.columns), label, self.folds, [id_col], "__fold", self.seed).select(id_col, label, "features", "__fold", *([weight] if weight else [])).persist()
         est = make_estimator(self.estimator, self.params, label=label, weight=weight)
         parts = None
         for k in range(self.folds):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .core import cumulate
+from .core import above, cumulate
 
 
 def derive_label(df: DataFrame, label_col: str, label: str) -> DataFrame:
@@ -20,30 +20,47 @@ def derive_label(df: DataFrame, label_col: str, label: str) -> DataFrame:
     return out if label == label_col else out.drop(label_col)
 
 
+def _moment(df: DataFrame, time_col: str):
+    """A time as microseconds, other values as double."""
+    timed = dict(df.dtypes)[time_col] in ("timestamp", "timestamp_ntz", "date", "string")
+    return F.unix_micros(F.col(time_col).cast("timestamp")) if timed else F.col(time_col).cast("double")
+
+
 def latest(df: DataFrame, test_size: float, time_col: str, id_cols: list[str]) -> DataFrame:
-    """Add ``is_test``: the ``floor(n * test_size)`` latest rows, ties by id.
+    """Add ``is_test``: the ``floor(n * test_size)`` latest rows, null times the earliest, ties by id.
+
+    The time and the id of the last row taken are found first; the split is then a comparison
+    with them, without a join or a sort of the table.
+    """
+    x = df.withColumn("__t", _moment(df, time_col))
+    return x.withColumn("is_test", above(x, "__t", id_cols, lambda n: math.floor(n * test_size))).drop("__t")
+
 
-    Times are counted first and summed from the latest on; only rows of the one time at which the
-    quota ends are ranked, so no task sorts the table.
+def _greatest_in_group(df: DataFrame, group_col: str, order, quota, id_cols: list[str]) -> DataFrame:
+    """Add ``__taken``: in each group the first ``quota`` rows (a column over ``n``, the group's rows,
+    and the group; null takes none) by ``order`` descending, nulls last, ties by id.
+
+    Rows are counted by group and value; running counts give each group's last value taken, and
+    only the ids tied there are ranked. What joins the table is one row for each group.
     """
-    times = df.groupBy(time_col).agg(F.count(F.lit(1)).alias("__n"))
-    moment = F.unix_micros(F.col(time_col).cast("timestamp")) if dict(df.dtypes)[time_col] in ("timestamp", "timestamp_ntz", "date", "string") else F.col(time_col).cast("double")
-    times = times.withColumn("__t", F.coalesce(moment, F.lit(-(2**62))))
-    quota = math.floor(df.count() * test_size)
-    upto = cumulate(times, "__t", {"__upto": "__n"}, descending=True).select(F.col(time_col).alias("__time"), "__upto", "__n")
-    x = df.join(upto, df[time_col].eqNullSafe(F.col("__time")))
-    rank = F.row_number().over(W.partitionBy("__time", F.col("__upto") <= quota).orderBy(*id_cols))
-    before = F.col("__upto") - F.col("__n")
-    edge = x.where((F.col("__upto") > quota) & (before < quota)).withColumn("is_test", rank + before <= quota)
-    rest = x.where(~((F.col("__upto") > quota) & (before < quota))).withColumn("is_test", F.col("__upto") <= quota)
-    return edge.unionByName(rest).drop("__time", "__upto", "__n")
+    x = df.withColumns({"__g": F.col(group_col), "__o": order})
+    counted = x.groupBy("__g", "__o").agg(F.count(F.lit(1)).alias("c"))
+    down = W.partitionBy("__g").orderBy(F.col("__o").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    upto = counted.withColumns({"upto": F.sum("c").over(down), "n": F.sum("c").over(W.partitionBy("__g"))}).withColumn("quota", F.least(quota, F.col("n")))
+    edge = upto.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota"))).select(F.col("__g").alias("__eg"), F.col("__o").alias("__eo"), (F.col("quota") - F.col("upto") + F.col("c")).alias("__left"))
+    tied = x.select("__g", "__o", F.struct(*id_cols).alias("id")).join(edge, F.col("__g").eqNullSafe(F.col("__eg")) & F.col("__o").eqNullSafe(F.col("__eo"))).select("__g", "__left", "id")
+    ranked = tied.withColumn("r", F.row_number().over(W.partitionBy("__g").orderBy("id"))).where(F.col("r") <= F.col("__left"))
+    last = ranked.groupBy(F.col("__g").alias("__lg")).agg(F.max("id").alias("__last"))
+    ends = edge.join(last, F.col("__eg").eqNullSafe(F.col("__lg"))).select("__eg", "__eo", "__last")
+    over = F.when(F.col("__eo").isNull(), F.col("__o").isNotNull()).otherwise(F.col("__o") > F.col("__eo"))
+    taken = F.col("__last").isNotNull() & (F.coalesce(over, F.lit(False)) | (F.col("__o").eqNullSafe(F.col("__eo")) & (F.struct(*id_cols) <= F.col("__last"))))
+    return x.join(ends, F.col("__g").eqNullSafe(F.col("__eg")), "left").withColumn("__taken", F.coalesce(taken, F.lit(False))).drop("__g", "__o", "__eg", "__eo", "__last")
 
 
 def latest_in_group(df: DataFrame, test_size: float, time_col: str, group_col: str, id_cols: list[str]) -> DataFrame:
     """Add ``is_test``: in each group the ``floor(n * test_size)`` latest rows."""
-    rank = F.row_number().over(W.partitionBy(group_col).orderBy(F.col(time_col).desc(), *id_cols))
-    n = F.count(F.lit(1)).over(W.partitionBy(group_col))
-    return df.withColumn("is_test", rank <= F.floor(n * test_size))
+    out = _greatest_in_group(df, group_col, _moment(df, time_col), F.floor(F.col("n") * test_size), id_cols)
+    return out.withColumnRenamed("__taken", "is_test")
 
 
 def at_random(df: DataFrame, test_size: float, id_cols: list[str], seed: int = 7) -> DataFrame:
@@ -74,9 +91,24 @@ def one_class(df: DataFrame, label: str) -> bool:
     return df.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2
 
 
-def fold(label: str, n: int, id_cols: list[str], seed: int = 7):
-    """Stratified fold number of each row, from a seeded hash of the id within each class."""
-    return (F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *id_cols), *id_cols)) - 1) % n
+#: Ranges of the hash in which rows of a class are ranked, each by its own task (a power of 2).
+HASH_RANGES = 1 << 12
+
+
+def fold(df: DataFrame, label: str, n: int, id_cols: list[str], name: str = "fold", seed: int = 7) -> DataFrame:
+    """Add the stratified fold number of each row, by rank of a seeded hash of the id in its class.
+
+    Rows are ranked within ranges of the hash and shifted by the rows of the ranges before, a small
+    table, so that no task sorts a class.
+    """
+    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *id_cols)).withColumn("__p", F.shiftright("__h", 64 - int(math.log2(HASH_RANGES))))
+    before = h.groupBy(F.col(label).alias("__y"), F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("__c"))
+    ahead = W.partitionBy("__y").orderBy("__q").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select("__y", "__q", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__b"))
+    rank = F.row_number().over(W.partitionBy(label, "__p").orderBy("__h", *id_cols))
+    ranked = h.withColumn("__r", rank)
+    out = ranked.join(before, F.col(label).eqNullSafe(F.col("__y")) & (F.col("__p") == F.col("__q")))
+    return out.withColumn(name, ((F.col("__r") + F.col("__b") - 1) % n).cast("int")).drop("__h", "__p", "__y", "__q", "__b", "__r")
 
 
 def quotas(available: dict[str, int], ratio: dict[str, float], threshold: float) -> dict[str, int]:
@@ -103,10 +135,12 @@ def quotas(available: dict[str, int], ratio: dict[str, float], threshold: float)
 
 
 def take_newest(df: DataFrame, level_col: str, quota: dict[str, int], sort_col: str, id_cols: list[str]) -> DataFrame:
-    """Of each level the quota's rows that are highest in ``sort_col``."""
-    n = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(level_col).cast("string"))
-    rank = F.row_number().over(W.partitionBy(level_col).orderBy(F.col(sort_col).desc(), *id_cols))
-    return df.withColumn("__q", n).where("__q is not null").withColumn("__r", rank).where("__r <= __q").drop("__q", "__r")
+    """Of each level the quota's rows that are highest in ``sort_col``, ties by id."""
+    if not quota:
+        return df.where(F.lit(False))
+    of = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), c.cast("string"))
+    listed = df.where(F.col(level_col).cast("string").isin(list(quota)))
+    return _greatest_in_group(listed, level_col, F.col(sort_col), of(F.col("__g")), id_cols).where("__taken").drop("__taken")
 
 
 def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], ratio: dict | None = None, base: DataFrame | None = None, threshold: float = 0.1, bins: int = 10, few: int = 20) -> DataFrame:
@@ -126,9 +160,7 @@ def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], rat
 
 def cut_off(df: DataFrame, weight_col: str, ratio: float, id_cols: list[str], keep_weight: bool = True) -> DataFrame:
     """The heaviest rows (a share up to 1, else a number), weights brought to mean 1 or dropped."""
-    n = df.count()
-    k = int(n * ratio) if ratio <= 1 else int(ratio)
-    top = df.orderBy(F.col(weight_col).desc(), *id_cols).limit(k)
+    top = df.where(above(df, weight_col, id_cols, lambda n: int(n * ratio) if ratio <= 1 else int(ratio)))
     if not keep_weight:
         return top.drop(weight_col)
     mean = top.agg(F.avg(weight_col)).first()[0]

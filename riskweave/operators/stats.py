@@ -47,10 +47,14 @@ def desc_stats(df: DataFrame, columns: list[str], exact: bool = True) -> DataFra
     columns = [c for c in columns if is_numeric(df, c)]
     if not columns:
         return df.sparkSession.createDataFrame([], "feature string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
-    q = (lambda c: F.percentile(c, [0.25, 0.5, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000))
     x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    a = x.agg(*[e for c in columns for e in (F.count(c).alias(f"count_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), q(F.col(c)).alias(f"q_{c}"))])
-    a = a.withColumns({f"p{p}_{c}": F.col(f"q_{c}")[i] for c in columns for i, p in enumerate((25, 50, 75))})
+    names = ["count", "mean", "std", "min", "max"]
+    more = [] if exact else [lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000)]
+    a = x.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in zip([*names, "q"], [F.count, F.avg, F.stddev_samp, F.min, F.max, *more])])
+    if exact:
+        q = quantiles(x, columns, [0.25, 0.5, 0.75])
+        a = a.withColumns({f"q_{c}": F.array(*[F.lit(v) for v in q[c]]) if q[c] else F.lit(None).cast("array<double>") for c in columns})
+    a = a.withColumns({f"p{p}_{c}": F.get(F.col(f"q_{c}"), i) for c in columns for i, p in enumerate((25, 50, 75))})
     return _melt(a, columns, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
@@ -89,9 +93,7 @@ def distribution(df: DataFrame, columns: list[str], few: int = 20, bins: int = 2
 
 def cover_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Shares of nulls, distinct values and the most frequent value, and a row for the data set."""
-    top = F.max("n").alias("top")
     by = level_counts(df, columns).groupBy("feature").agg(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("unique"), F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("n"))
-    del top
     out = by.select("feature", (F.col("nulls") / F.col("n")).alias("null_ratio"), (1 - F.col("nulls") / F.col("n")).alias("cover"), (F.col("unique") / F.col("n")).alias("unique_ratio"), (F.coalesce("top", "n") / F.col("n")).alias("same_ratio"))
     whole = by.agg(F.sum("nulls").alias("nulls"), F.sum("n").alias("n")).select(F.lit("dataset").alias("feature"), (F.col("nulls") / F.col("n")).alias("null_ratio"), (1 - F.col("nulls") / F.col("n")).alias("cover"), F.lit(None).cast("double").alias("unique_ratio"), F.lit(None).cast("double").alias("same_ratio"))
     return out.unionByName(whole)

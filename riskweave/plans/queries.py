@@ -151,8 +151,8 @@ def label_derivation(spark, sf_dir):
 
 @query()
 def stratified_folds(spark, sf_dir):
-    m = model(spark, sf_dir).withColumn("fold", split.fold("y", 5, ["id"]))
-    return m.groupBy("y", "fold").count()
+    m = split.fold(model(spark, sf_dir), "y", 5, ["id"])
+    return m.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH x AS (SELECT c_custkey AS id, c_acctbal + 1000 AS w FROM customer), k AS (SELECT *, row_number() OVER (ORDER BY w DESC, id) AS r, floor(count(*) OVER () * 0.1) AS q FROM x), p AS (SELECT * FROM k WHERE r <= q) SELECT id, round(w / avg(w) OVER (), 6) AS w FROM p")
