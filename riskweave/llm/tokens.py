@@ -17,7 +17,7 @@ ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u0130\u1680\u180e\u2000-\u200f\u2
 #: A full stop or comma beside another sign, or after a space: it may belong to a longer run of signs.
 RUN = re.compile(r"[.,](?:(?<=[\W_][.,])|(?=[^\w\s]|_))")
 #: Words and runs of letters whose ids a worker remembers before it starts afresh.
-KNOWN_WORDS, KNOWN_CORES = 300_000, 600_000
+KNOWN_WORDS, KNOWN_CORES = 300_000, 1_200_000
 
 
 class WordTokenizer:
@@ -26,7 +26,8 @@ class WordTokenizer:
     In the supported vocabularies (byte-level BPE and BPE with word ends) no token crosses the
     place before a space that stands between two non-spaces, nor the place between letters and
     signs, so the ids of a text are those of its parts, one after the other. Texts with other
-    runs of spaces, odd signs or combining marks that compose go to the library whole.
+    runs of spaces, odd signs, combining marks that compose or strings of special tokens go to the
+    library whole.
     """
 
     def __init__(self, path: str):
@@ -34,7 +35,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        # as in the library's plain call, the strings of special tokens are those tokens; texts with them go whole
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.folds = "Lowercase" in str(self.model.normalizer)
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -42,7 +44,7 @@ class WordTokenizer:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, cores: list[str], step: int = 1000) -> list[bytes]:
+    def _letters(self, cores: list[str], step: int = 200) -> list[bytes]:
         """Ids of runs of letters that begin with a space each, many in one call."""
         out = []
         for i in range(0, len(cores), step):
@@ -85,11 +87,15 @@ class WordTokenizer:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if ODD.search(text) or any(x in text for x in ("  ", " \n", "\n ", "\t", "\n\n\n")) or text.endswith("\n\n") or not unicodedata.is_normalized("NFC", text):
+            if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\n\n\n" in text or text.endswith("\n\n") or ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
                 whole.append(i)
                 continue
-            if self.folds and "Σ" not in text:  # a final sigma would depend on its neighbours
-                text = text.lower()
+            folded = text.lower() if self.folds else text
+            if any(x in folded for x in self.special):
+                whole.append(i)
+                continue
+            if "Σ" not in text:  # a final sigma would depend on its neighbours
+                text = folded
             if RUN.search(text):
                 by_word.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
             else:
