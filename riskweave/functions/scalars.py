@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: Scale and bounds of the score, and texts that stand for a missing value.
 SCORE_A, SCORE_B, SCORE_LOW, SCORE_HIGH, NEW_A = 473.48, 72.14, 350.0, 950.0, 423.82
@@ -53,6 +54,20 @@ def pad_tokens(tokens: Column, vocabulary: Column, length: int) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), length)), 1, length)
 
 
+def number_tokens(df: DataFrame, id_col: str, tokens_col: str, length: int) -> DataFrame:
+    """``<id>, ids``: ranks (from 1) of the first ``length`` tokens among all distinct tokens of the
+    column, padded with 0; a null list gives zeros. Ids are unique. Tokens are ranked in ranges of
+    their first two letters and met by a join, so neither driver nor task holds the vocabulary."""
+    words = df.select(F.explode(tokens_col).alias("w")).where("w is not null").distinct().withColumn("p", F.substring("w", 1, 2))
+    ahead = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # a row for each two letters
+    before = words.groupBy("p").agg(F.count(F.lit(1)).alias("c")).select("p", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
+    rank = F.row_number().over(W.partitionBy("p").orderBy("w"))
+    numbers = words.withColumn("r", rank).join(before, "p").select("w", (F.col("r") + F.col("before")).cast("int").alias("number"))
+    first = df.select(id_col, F.posexplode_outer(F.slice(tokens_col, 1, length)).alias("k", "w")).join(numbers, "w", "left")
+    lists = first.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("k", "number")))).alias("n"))
+    return lists.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0))).alias("ids"))
+
+
 def one_hot_label(label: Column, classes: int) -> Column:
     return F.array(*[(label == i).cast("int") for i in range(classes)])
 
@@ -83,7 +98,8 @@ def flatten_json(df: DataFrame, column: str, schema: str | T.StructType) -> Data
 
 
 def flatten_variant(column: Column, depth: int = 4) -> Column:
-    """A JSON text of unknown schema as a map from path joined by ``_`` to text; lists stay whole."""
+    """A JSON text of unknown schema as a map from path joined by ``_`` to text; lists stay whole, and
+    so do objects nested more than ``depth`` deep, as JSON text: nothing is lost."""
     text = F.replace(column, F.lit("\\\\"), F.lit("\\"))
     as_map = lambda x: F.from_json(x, "map<string,string>")
     out = F.map_entries(as_map(text))

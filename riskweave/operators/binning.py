@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from .core import exact_quantiles, infer_kinds, to_long
 from .encoders import WOEEncoder
 
-#: Distinct values of a feature on which trees are grown exactly; beyond, values are quantised first.
-TREE_VALUES = 20_000
-
 
 def bin_column(col: str | Column, cuts: list[float], base: int = 1, missing: int | None = 0) -> Column:
     """Number of the bin ``(cuts[i-1], cuts[i]]``, from ``base``; ``missing`` for null."""
@@ -105,14 +102,29 @@ def tree_cuts(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, bins: int, d
     return sorted(float(c) for c in cuts)
 
 
-def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10, depth: int | None = None, least: int = 1) -> dict[str, list[float]]:
+def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10, depth: int | None = None, least: int = 1, quantise: int | None = 20_000) -> dict[str, list[float]]:
     """Tree cut points of every column: Spark counts labels by value, each column's tree grows on
-    its counts in one task. Columns with more than TREE_VALUES values are quantised first."""
-    n = {r[0]: r[1] for r in to_long(df, columns, as_type="double").groupBy("feature").agg(F.approx_count_distinct("value", 0.05)).collect()}
-    wide = [c for c in columns if (n.get(c) or 0) > TREE_VALUES]
-    edges = quantiles(df, wide, [i / TREE_VALUES for i in range(1, TREE_VALUES)], exact=False) if wide else {}
-    above = lambda c: lambda e: e >= F.col(c)
-    x = df.select(label, *[F.get(F.filter(F.array(*map(F.lit, sorted(set(edges[c])))), above(c)), 0).alias(c) if c in edges else F.col(c).cast("double").alias(c) for c in columns])
+    its counts in one task.
+
+    Values are first brought up to the next of ``quantise`` approximate quantiles, at every size of
+    table, so that a task's counts are bounded; with as many rows or fewer each value is a quantile
+    of its own. ``quantise=None`` grows on the values themselves, whose distinct ones must then fit
+    in a task.
+    """
+    x = df.select(label, *[F.col(c).cast("double").alias(c) for c in columns])
+    if quantise:
+        made = quantiles(df, columns, [i / quantise for i in range(1, quantise + 1)], exact=False)
+        edges = {c: np.array(sorted(set(e))) for c, e in made.items() if e}  # at most ``quantise`` numbers a column
+
+        def up(e):
+            @F.pandas_udf("double")
+            def next_edge(v: pd.Series) -> pd.Series:
+                at = np.minimum(np.searchsorted(e, v.to_numpy(float)), len(e) - 1)
+                return pd.Series(np.where(v.isna(), np.nan, e[at]))
+
+            return next_edge
+
+        x = x.select(label, *[F.nanvl(up(edges[c])(c), F.lit(None).cast("double")).alias(c) if c in edges else c for c in columns])
     counted = to_long(x, columns, label, as_type="double").where("value is not null").groupBy("feature", "value").agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

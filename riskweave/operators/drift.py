@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from .binning import HistogramEncoder, bin_column, heavy_quantiles, quantiles
 from .core import cumulate, stack_datasets, to_long
-from .stats import woe_report
+from .stats import binned_woe_report, woe_report
 
 
 def psi_term(p: Column, q: Column, smooth: float = 0.01) -> Column:
@@ -72,6 +72,14 @@ def label_psi(train: DataFrame, test: DataFrame, columns: list[str], label: str)
     return report_psi(woe_report(train, columns, label), woe_report(test, columns, label), "overdue_ratio")
 
 
+def binned_psi(train: DataFrame, test: DataFrame, binner, label: str) -> DataFrame:
+    """``feature, v_psi, l_psi``: both stabilities over the bins of an encoder fitted on train, for
+    continuous and categorical columns alike."""
+    a, b = binned_woe_report(train, binner, label), binned_woe_report(test, binner, label)
+    v, r = (report_psi(a, b, c).withColumnRenamed("psi", k) for c, k in (("group_sample_ratio", "v_psi"), ("overdue_ratio", "l_psi")))
+    return v.join(r, "feature")
+
+
 def histogram_psi(train: DataFrame, test: DataFrame, columns: list[str], diff_thr: int = 20, bins: int = 20, smooth: float = 0.01) -> DataFrame:
     """H-PSI: stability of histograms whose bins come from train; absent bins count 0."""
     h = HistogramEncoder(diff_thr, bins).fit(train, columns)

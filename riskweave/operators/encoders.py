@@ -155,16 +155,22 @@ class LabelEncoder(_LevelMap):
 @dataclass
 class OneHotEncoder:
     """A 0/1 column ``<col>_<i><suffix>`` for each sorted level; null and unseen levels are all 0.
-    ``sparse=True`` gives one sparse vector column ``onehot`` instead."""
+    ``sparse=True`` gives one sparse vector column ``onehot`` instead. Columns with more than
+    ``most_levels`` levels are refused: a table cannot have that many columns."""
 
     suffix: str = "_onehot"
     columns: list[str] | None = None
     sparse: bool = False
+    most_levels: int = 5000
 
     def fit(self, df: DataFrame, label: str | None = None) -> OneHotEncoder:
         self.columns = self.columns or [c for c in infer_kinds(df).cate if c != label]
-        rows = to_long(df, self.columns).where("value is not null").distinct().groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("levels")).collect()
-        found = {r["feature"]: r["levels"] for r in rows}
+        levels = to_long(df, self.columns).where("value is not null").distinct()
+        if many := [r["feature"] for r in levels.groupBy("feature").count().collect() if r["count"] > self.most_levels]:
+            raise ValueError(f"too many levels for columns of their own: {many}")
+        found: dict[str, list[str]] = {}
+        for r in levels.orderBy("feature", "value").collect():
+            found.setdefault(r["feature"], []).append(r["value"])
         self.levels = {c: found.get(c, []) for c in self.columns}
         return self
 
@@ -264,19 +270,29 @@ class AppCateEncoder:
     delimiter: str = "|"
     prefix: str = "app_"
     unknown: str | None = None
+    columns: list[str] | None = None
 
     def fit(self, df: DataFrame | None = None, label: str | None = None) -> AppCateEncoder:
         self.categories = sorted(set(self.names.values()) | ({self.unknown} if self.unknown else set()))
         return self
 
-    def transform(self, df: DataFrame, column: str) -> DataFrame:
+    def transform(self, df: DataFrame, column: str | None = None) -> DataFrame:
+        """Of ``column``, or of all ``columns``; with several each one's name leads its results."""
+        columns = [column] if column else self.columns or []
+        for c in columns:
+            df = self._one(df, c, self.prefix if len(columns) == 1 else f"{c}_{self.prefix}")
+        return df
+
+    def _one(self, df: DataFrame, column: str, prefix: str) -> DataFrame:
         names = F.array_distinct(F.transform(F.split(F.col(column), f"\\Q{self.delimiter}\\E"), F.trim))
-        table = F.create_map(*[F.lit(x) for kv in self.names.items() for x in kv])
+        table = F.create_map(*[F.lit(x) for kv in self.names.items() for x in kv]) if self.names else F.lit(None).cast("map<string,string>")
         mapped = F.transform(names, lambda x: F.coalesce(F.element_at(table, x), F.lit(self.unknown)))
         out = df.withColumn("__c", mapped)
         same = lambda c: lambda x: x == F.lit(c)
-        counts = {f"{self.prefix}{c}": F.size(F.filter("__c", same(c))) for c in self.categories}
+        counts = {f"{prefix}{c}": F.size(F.filter("__c", same(c))) for c in self.categories}
         counts = {k: F.when(F.col("__c").isNotNull(), v) for k, v in counts.items()}
+        if not counts:
+            return df
         total = sum((F.col(k) for k in counts), F.lit(0))
         return out.withColumns(counts).withColumns({f"{k}_ratio": F.try_divide(F.col(k), total) for k in counts}).drop("__c")
 
@@ -290,6 +306,9 @@ class IndexValueEncoder:
     cont: list[str] = field(default_factory=list)
 
     def fit(self, df: DataFrame, label: str | None = None) -> IndexValueEncoder:
+        if not self.cate and not self.cont:
+            kinds = infer_kinds(df, columns=[c for c in df.columns if c != label])
+            self.cate, self.cont = kinds.cate, kinds.cont
         self.start, at = {}, 0
         for c in self.cont:
             self.start[c], at = at, at + 1

@@ -52,18 +52,23 @@ class Tree2Rule:
 
 @dataclass
 class RuleFit:
-    """Rules of trees as 0/1 columns and scaled, cut linear terms under an L1 logistic regression."""
+    """Rules of trees as 0/1 columns and scaled, cut linear terms under an L1 logistic regression.
+    All rules of the ensemble take part; ``max_rules``, where given, keeps those of largest support."""
 
     generator: str = "RandomForestClassifier"
     trees: int = 20
     depth: int = 3
-    max_rules: int = 200
+    max_rules: int | None = None
     reg: float = 0.01
     seed: int = 7
 
     def fit(self, df: DataFrame, label: str, columns: list[str]) -> RuleFit:
         self.columns, filled = columns, df.fillna(-999, columns)
-        self.rules = ensemble_rules(df, columns, label, self.generator, self.trees, self.depth, self.seed)[: self.max_rules]
+        self.rules = ensemble_rules(df, columns, label, self.generator, self.trees, self.depth, self.seed)
+        if self.max_rules is not None and len(self.rules) > self.max_rules:
+            n = filled.agg(*[F.sum(F.expr(r).cast("long")).alias(f"{i}") for i, r in enumerate(self.rules)]).first()
+            order = sorted(range(len(self.rules)), key=lambda i: (-(n[i] or 0), self.rules[i]))
+            self.rules = [self.rules[i] for i in order[: self.max_rules]]
         self.scale = FriedScale(columns=columns).fit(filled)
         x = self._terms(filled)
         self.names = [f"__r{i}" for i in range(len(self.rules))] + columns
@@ -114,27 +119,33 @@ class Ripper:
 
     Candidate conditions are ``=`` and ``!=`` on discrete columns and ``>=`` and ``<=`` at deciles on
     continuous ones; each step counts the classes under all candidates in one aggregation. A rule
-    grows on two thirds of the rows by FOIL's gain, is pruned on the rest by (p - n) / (p + n), and
-    rules end when too few positives are left or the description grows beyond the least by 64 bits.
+    grows on a share ``1 - prune_share`` of the rows, one condition a feature, by the gain
+    ``log10(p1) (d1 - d0 - least_gain)`` in precision ``d``, while ``p1`` is enough and negatives are
+    left; it is pruned on the rest by (p - n) / (p + n). Rules end when too few positives are left
+    or the description grows beyond the least by 64 bits. ``max_rules`` and ``max_conditions`` end
+    them earlier, where given.
     """
 
     least_positives: int = 100
-    max_rules: int = 10
-    max_conditions: int = 4
+    max_rules: int | None = None
+    max_conditions: int | None = None
     discrete: int = 20
     seed: int = 7
+    prune_share: float = 0.2
+    least_gain: float = 0.0
     rules: list[dict] = field(default_factory=list)
 
-    def candidates(self, df: DataFrame, columns: list[str]) -> list[str]:
+    def candidates(self, df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
+        """``(feature, condition)`` pairs."""
         n, out = distinct_counts(df, columns), []
         for c in columns:
             if n[c] <= self.discrete:
                 for r in df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").collect():
                     v = r["v"].replace("\\", "\\\\").replace("'", "\\'")
-                    out += [f"cast(`{c}` as string) = '{v}'", f"cast(`{c}` as string) != '{v}'"]
+                    out += [(c, f"cast(`{c}` as string) = '{v}'"), (c, f"cast(`{c}` as string) != '{v}'")]
             else:
                 for q in sorted(set(quantiles(df, [c], [i / 10 for i in range(1, 10)])[c])):
-                    out += [f"`{c}` >= {q}D", f"`{c}` <= {q}D"]
+                    out += [(c, f"`{c}` >= {q}D"), (c, f"`{c}` <= {q}D")]
         return out
 
     @staticmethod
@@ -144,22 +155,24 @@ class Ripper:
         return [(int(r[2 * i] or 0), int(r[2 * i + 1] or 0)) for i in range(len(conditions))]
 
     def fit(self, df: DataFrame, label: str, columns: list[str], id_col: str) -> Ripper:
-        grow = F.pmod(F.xxhash64(F.lit(self.seed), id_col), F.lit(3)) < 2
+        grow = F.pmod(F.xxhash64(F.lit(self.seed), id_col), F.lit(1000)) >= int(1000 * self.prune_share)
         base = df.select(id_col, label, *columns).withColumn("__grow", grow).persist()
         conditions, left, self.rules, shortest = self.candidates(base, columns), base, [], None
-        while len(self.rules) < self.max_rules:
-            rule, (p0, n0) = [], self._counts(left.where("__grow"), label, ["true"])[0]
+        while self.max_rules is None or len(self.rules) < self.max_rules:
+            rule, used, (p0, n0) = [], set(), self._counts(left.where("__grow"), label, ["true"])[0]
             if p0 < self.least_positives:
                 break
             part = left.where("__grow")
-            while len(rule) < self.max_conditions and n0:
-                counts = self._counts(part, label, conditions)
-                gain = [(p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p >= self.least_positives and (p, n) != (p0, n0) else -1.0, c, p, n) for c, (p, n) in zip(conditions, counts, strict=True)]
-                best = max(gain, key=lambda g: (g[0], g[1]))
+            while n0 and (self.max_conditions is None or len(rule) < self.max_conditions):
+                free = [(f, c) for f, c in conditions if f not in used]
+                counts = self._counts(part, label, [c for _, c in free]) if free else []
+                gain = [(math.log10(p) * (p / (p + n) - p0 / (p0 + n0) - self.least_gain) if p >= max(self.least_positives, 1) else -math.inf, c, f, p, n) for (f, c), (p, n) in zip(free, counts, strict=True)]
+                best = max(gain, key=lambda g: (g[0], g[1]), default=(0,))
                 if best[0] <= 0:
                     break
                 rule.append(best[1])
-                part, p0, n0 = part.where(F.expr(best[1])), best[2], best[3]
+                used.add(best[2])
+                part, p0, n0 = part.where(F.expr(best[1])), best[3], best[4]
             if not rule:
                 break
             cuts = [" AND ".join(rule[: i + 1]) for i in range(len(rule))]

@@ -111,6 +111,15 @@ def woe_report(df: DataFrame, columns: list[str], label: str, *keys: str) -> Dat
     return t.select(*keys, "feature", "level", F.col("n").alias("total_sample_num"), F.col("pos").alias("overdue_sample_num"), (F.col("pos") / F.col("n")).alias("overdue_ratio"), (F.col("n") / F.sum("n").over(w)).alias("group_sample_ratio"), "woe", F.sum("iv").over(w).alias("IV"))
 
 
+def binned_woe_report(df: DataFrame, binner, label: str, *keys: str) -> DataFrame:
+    """`woe_report` over the bins of a fitted encoder (``columns`` and ``suffix``), so that
+    continuous columns have levels too: the same ones on every data set. Null is the level of the
+    encoder's missing bin; ``feature`` is the column."""
+    codes = [f"{c}{binner.suffix}" for c in binner.columns]
+    binned = binner.transform(df).select(label, *keys, *[F.col(c).alias(c.removesuffix(binner.suffix)) for c in codes])
+    return woe_report(binned, list(binner.columns), label, *keys)
+
+
 def score_edges(df: DataFrame, score: str, bands: int = 10) -> list[float]:
     """Inner edges of quantile bands, with fewer bands until every one has rows."""
     for q in range(bands, 1, -1):
@@ -266,12 +275,21 @@ def fold_summary(df: DataFrame, metric: str) -> DataFrame:
     return df.agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"))
 
 
-def feature_evaluation(df: DataFrame, columns: list[str], label: str, hue: str | None = None) -> DataFrame:
-    """``(hue,) feature, auc, ks`` of numeric columns, for each value of ``hue`` if given."""
-    out = None
-    for value in [r[0] for r in df.select(hue).distinct().collect()] if hue else [None]:
-        part = df.where(F.col(hue).eqNullSafe(F.lit(value))) if hue else df
-        one = auc_table(part, columns, label).join(ks_statistic(part, columns, label), "feature")
-        one = one.withColumn(hue, F.lit(value)) if hue else one
-        out = one if out is None else out.unionByName(one)
+def feature_evaluation(df: DataFrame, columns: list[str], label: str | list[str], hue: str | None = None, bins: int | None = None) -> DataFrame:
+    """``(hue,) feature, auc, ks`` of numeric columns, for each value of ``hue`` if given. Several
+    labels give a column ``label``; with ``bins`` there is ``iv`` as well, over quantile bins that are
+    fitted on all rows."""
+    from .binning import ContBinningEncoder
+
+    labels, out = [label] if isinstance(label, str) else list(label), None
+    binner = ContBinningEncoder(bins, "qcut", columns=list(columns)).fit(df) if bins else None
+    for y in labels:
+        for value in [r[0] for r in df.select(hue).distinct().collect()] if hue else [None]:
+            part = df.where(F.col(hue).eqNullSafe(F.lit(value))) if hue else df
+            one = auc_table(part, columns, y).join(ks_statistic(part, columns, y), "feature")
+            if binner:
+                one = one.join(binned_woe_report(part, binner, y).groupBy("feature").agg(F.first("IV").alias("iv")), "feature", "left")
+            one = one.withColumn(hue, F.lit(value)) if hue else one
+            one = one.withColumn("label", F.lit(y)) if not isinstance(label, str) else one
+            out = one if out is None else out.unionByName(one)
     return out

@@ -81,7 +81,12 @@ def desc_stats(spark, sf_dir):
     return stats.desc_stats(model(spark, sf_dir), CONT)
 
 
-@query()
+def _stats():
+    cells = [f"SELECT '{c}' AS feature, {c}::VARCHAR AS v, coalesce(priority, status, segment, amount::VARCHAR, balance::VARCHAR) IS NOT NULL AS has FROM m" for c in [*CATE, *CONT]]
+    return ", cells AS (" + " UNION ALL ".join(cells) + "), miss AS (SELECT feature, count(*)::DOUBLE AS n, count(v)::DOUBLE AS v, sum(has::INTEGER)::DOUBLE AS s FROM cells GROUP BY 1), g AS (SELECT feature, coalesce(v, 'nan') AS v, count(*) AS n FROM cells GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, v) AS k FROM g), freq AS (SELECT feature, sum(n)::BIGINT AS count, count(*) AS \"unique\", max(CASE WHEN k = 1 THEN v END) AS top, max(CASE WHEN k = 1 THEN n END) AS freq FROM w GROUP BY feature), d AS (" + " UNION ALL ".join(_desc(c) for c in CONT) + ")"
+
+
+@query(M + _stats() + " SELECT miss.feature, round((n - v) / n, 6) + 0.0 AS missing, round(v / n, 6) AS cover, round(v / s, 6) AS saturation, freq.count, \"unique\", top, freq, round(freq / freq.count, 6) AS freq_ratio, mean, std, min, p25, p50, p75, max, CASE WHEN miss.feature IN ('amount', 'balance') THEN 'cont' ELSE 'cate' END AS type FROM miss JOIN freq USING (feature) LEFT JOIN d USING (feature)")
 def data_stats(spark, sf_dir):
     return stats.data_stats(model(spark, sf_dir), [*CATE, *CONT], dict.fromkeys(CATE, "cate") | dict.fromkeys(CONT, "cont"))
 
@@ -138,7 +143,7 @@ def stratified_topk(spark, sf_dir):
     return split.take_newest(o, "priority", {"1-URGENT": 40, "2-HIGH": 30, "5-LOW": 500}, "t", ["id"]).select("id", "priority")
 
 
-@query()
+@query(M + ", w(priority, r) AS (VALUES ('1-URGENT', 3.0::DOUBLE), ('2-HIGH', 2.0), ('5-LOW', 1.0)), x AS (SELECT w.priority, r, n, n / r AS q FROM w JOIN (SELECT priority, count(*)::DOUBLE AS n FROM m GROUP BY 1) USING (priority)), a AS (SELECT arg_min(n, q) AS an, arg_min(r, q) AS ar FROM x WHERE priority = '1-URGENT' OR q * 6 >= 0.1 * (SELECT sum(n) FROM x)) SELECT priority, least(n, floor(an * r / ar))::BIGINT AS count FROM x, a")
 def stratified_sample(spark, sf_dir):
     return split.sample(model(spark, sf_dir), "priority", "t", ["id"], {"1-URGENT": 3, "2-HIGH": 2, "5-LOW": 1}).groupBy("priority").count()
 
@@ -149,7 +154,7 @@ def label_derivation(spark, sf_dir):
     return x.groupBy(F.col("30d").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(M + " SELECT y, k::INTEGER AS fold, (n - 1 - k) // 5 + 1 AS n FROM (SELECT y, count(*) AS n FROM m GROUP BY y), range(0, 5) f(k)")
 def stratified_folds(spark, sf_dir):
     m = split.fold(model(spark, sf_dir), "y", 5, ["id"])
     return m.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -248,6 +253,27 @@ def woe_report(spark, sf_dir):
     return stats.woe_report(parts(spark, sf_dir)[1], CATE, "y")
 
 
+def _binned_levels(part, name):
+    bins = lambda c: f"CASE WHEN {c} IS NULL THEN '0' ELSE (1 + (SELECT count(*) FROM e WHERE c = '{c}' AND {c} > q))::VARCHAR END"
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT y, '{c}' AS feature, {bins(c)} AS level FROM {part}" for c in CONT) + ")"
+
+
+EDGES = R + ", e AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, unnest(quantile_cont({c}, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])) AS q FROM tr" for c in CONT) + "), "
+
+
+@query(EDGES + _binned_levels("te", "long") + ", w AS (" + WOE.format("long") + ") SELECT feature, level, n::BIGINT AS total_sample_num, pos::BIGINT AS overdue_sample_num, round(rate, 6) AS overdue_ratio, round(share, 6) AS group_sample_ratio, round(woe, 6) + 0.0 AS woe, round(sum(d * woe) OVER (PARTITION BY feature), 6) + 0.0 AS \"IV\" FROM w")
+def woe_report_of_bins(spark, sf_dir):
+    """Report of test over quantile bins that are fitted on train."""
+    train, test = parts(spark, sf_dir)
+    return stats.binned_woe_report(test, binning.ContBinningEncoder(10, "qcut", columns=CONT).fit(train), "y")
+
+
+@query(EDGES + _binned_levels("tr", "l1") + ", " + _binned_levels("te", "l2") + ", a AS (" + WOE.format("l1") + "), b AS (" + WOE.format("l2") + ") SELECT coalesce(a.feature, b.feature) AS feature, " + ", ".join(f"round(sum((coalesce(a.{c}, 0) - coalesce(b.{c}, 0)) * ln((coalesce(a.{c}, 0) + 0.01) / (coalesce(b.{c}, 0) + 0.01))), 6) + 0.0 AS {k}" for c, k in (("share", "v_psi"), ("rate", "l_psi"))) + " FROM a FULL JOIN b ON a.feature = b.feature AND a.level = b.level GROUP BY 1")
+def psi_of_bins(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    return drift.binned_psi(train, test, binning.ContBinningEncoder(10, "qcut", columns=CONT).fit(train), "y")
+
+
 @query(M + ", l AS (SELECT concat_ws('|', coalesce(priority, 'nan'), coalesce(segment, 'nan')) AS level, 'priority+segment' AS feature, y FROM m), w AS (" + WOE.format("l") + ") SELECT feature, round(sum(d * woe), 6) + 0.0 AS iv FROM w GROUP BY feature")
 def combined_iv(spark, sf_dir):
     return encoders.combined_iv(model(spark, sf_dir), ["priority", "segment"], "y")
@@ -347,7 +373,7 @@ def auc_exact(spark, sf_dir):
     return stats.auc(model(spark, sf_dir), "balance", "y")
 
 
-@query()
+@query(M + ", x AS (SELECT status, 'balance' AS feature, balance AS v, y FROM m UNION ALL SELECT status, 'nation', nation, y FROM m), s AS (SELECT status, feature, coalesce(v, -999) AS v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM x GROUP BY ALL), c AS (SELECT *, sum(n - pos) OVER (PARTITION BY status, feature ORDER BY v) - (n - pos) AS below FROM s), a AS (SELECT status, feature, sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)) AS a FROM c GROUP BY ALL), k AS (SELECT status, feature, max(abs(cp / tp - (cn - cp) / (tn - tp))) AS ks FROM (SELECT status, feature, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(n) OVER p AS tn, sum(pos) OVER p AS tp FROM (SELECT status, feature, v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM x WHERE v IS NOT NULL GROUP BY ALL) WINDOW o AS (PARTITION BY status, feature ORDER BY v), p AS (PARTITION BY status, feature)) GROUP BY ALL) SELECT status, feature, round(greatest(a, 1 - a), 6) AS auc, round(ks, 6) AS ks FROM a JOIN k USING (status, feature)")
 def feature_evaluation(spark, sf_dir):
     return stats.feature_evaluation(model(spark, sf_dir), ["balance", "nation"], "y", "status")
 
@@ -537,9 +563,7 @@ def sandbox_join(spark, sf_dir):
 @query("WITH v AS (SELECT w, row_number() OVER (ORDER BY w)::INTEGER AS i FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)), t AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS ws FROM part) SELECT id, (SELECT i FROM v WHERE w = ws[1]) AS a, coalesce((SELECT i FROM v WHERE w = ws[2]), 0) AS b, 0::INTEGER AS d FROM t")
 def token_numbers(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("ws"))
-    words = [r[0] for r in p.select(F.explode("ws").alias("w")).distinct().orderBy("w").collect()]
-    ids = scalars.pad_tokens(F.col("ws"), F.create_map(*[F.lit(x) for i, w in enumerate(words, 1) for x in (w, i)]), 3)
-    return p.withColumn("ids", ids).select("id", F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b"), F.col("ids")[2].alias("d"))
+    return scalars.number_tokens(p, "id", "ws", 3).select("id", F.col("ids")[0].alias("a"), F.col("ids")[1].alias("b"), F.col("ids")[2].alias("d"))
 
 
 # models: rows only
@@ -571,14 +595,14 @@ def trained_scores(spark, sf_dir):
 @query()
 def covariate_shift(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    return drift.detect_covariate_shift(train, test, ["balance", "amount"], "id", folds=2, trees=3)[0].select("id", "weight")
+    return drift.detect_covariate_shift(train, test, ["balance", "amount"], "id")[0].select("id", "weight")
 
 
 @query()
 def rule_fit(spark, sf_dir):
     from ..operators.rules import RuleFit
 
-    r = RuleFit(trees=5).fit(_numbers(spark, sf_dir), "y", ["balance", "nation", "noisy"])
+    r = RuleFit().fit(_numbers(spark, sf_dir), "y", ["balance", "nation", "noisy"])
     return r.transform(_numbers(spark, sf_dir)).select("id", "y", "y_pred")
 
 
@@ -586,7 +610,7 @@ def rule_fit(spark, sf_dir):
 def ripper_rules(spark, sf_dir):
     from ..operators.rules import Ripper
 
-    r = Ripper(max_rules=3, least_positives=50).fit(_numbers(spark, sf_dir), "y", ["nation", "noisy"], "id")
+    r = Ripper().fit(_numbers(spark, sf_dir), "y", ["nation", "noisy"], "id")
     return spark.createDataFrame([(x["rule"], x["pos"], x["neg"]) for x in r.rules], "rule string, pos long, neg long")
 
 

@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import models, select, split, stats
+from ..operators import binning, models, select, split, stats
 from ..operators.core import FeatureSpec, auto_spec, coerce_numeric, declare, is_numeric
-from ..operators.drift import psi, psi_warnings, volume_psi
+from ..operators.drift import psi, psi_warnings, report_psi
 from ..sources.io import StageFolder, get_data, report_json, table_to_dicts
+from . import persist
 from .spec import StageSpec, instantiate
 
 
@@ -28,7 +29,9 @@ def stage(name: str) -> Callable:
         def answer(spark: SparkSession, text: str | dict) -> str:
             try:
                 spec = StageSpec.parse(text)
-                folder = StageFolder(spec.out.get("dst", f"/tmp/{name}"), name)
+                if not spec.out.get("dst"):
+                    raise ValueError("a specification needs out.dst, a folder that driver and executors share")
+                folder = StageFolder(spec.out["dst"], name)
                 return report_json({"code": 1, "msg": "", "result": run(spark, spec, folder)})
             except Exception as e:  # the contract: failures are answers
                 return report_json({"code": 2, "msg": f"{e}\n{traceback.format_exc()}", "result": {}})
@@ -108,9 +111,10 @@ def transformer_ui(spark, spec, folder):
                 enc.fit(train if _takes_columns(e["method"]) else train.select(*cols, *([label] if label else [])), label)
                 train, test = enc.transform(train), enc.transform(test) if test is not None else None
                 cols = [c for c in train.columns if c not in before] or [c for c in cols if c in train.columns]
-                fitted.append(e["method"])
-    report = {"columns": train.columns, "encoders": fitted}
-    return _result(folder, spec, report, {"encoders": fitted}, train=train, test=test)
+                fitted.append(enc)
+    names = [type(e).__name__ for e in fitted]
+    meta = persist.save(persist.Flow(fitted, kinds.cate, kinds.cont), folder.meta, spark)
+    return _result(folder, spec, {"columns": train.columns, "encoders": names}, {"encoders": names, "path": meta}, train=train, test=test)
 
 
 def _takes_columns(method: str) -> bool:
@@ -130,7 +134,8 @@ def filter_ui(spark, spec, folder):
     filters = [instantiate(f["method"], f.get("params", {})) for f in spec.st]
     text = [c for c in train.columns if c not in (label, *ids) and not is_numeric(train, c)]
     train, test, done = select.run_filters(train, test, filters, label, [*ids, *text])
-    return _result(folder, spec, {"columns": [c for c in train.columns if c not in (label, *ids)], "filters": [type(f).__name__ for f in done]}, train=train, test=test)
+    meta = persist.save(persist.Flow(done), folder.meta, spark)
+    return _result(folder, spec, {"columns": [c for c in train.columns if c not in (label, *ids)], "filters": [type(f).__name__ for f in done]}, {"path": meta}, train=train, test=test)
 
 
 def _numeric(df: DataFrame, spec: StageSpec) -> list[str]:
@@ -152,37 +157,56 @@ def trainer_ui(spark, spec, folder):
     train, test = _read(spark, spec, "train", "test")
     s, idc = spec.st, _ids(spec)[0]
     t = models.ModelTrainer(s["method"], s.get("params", {}), s.get("folds", 5), s.get("seed", 7), s.get("oversample", False)).fit(train, spec.label, idc, _numeric(train, spec))
-    t.model.write().overwrite().save(folder.meta)
+    persist.save(t, folder.meta, spark)
     scored = {"train": t.out_of_fold.drop("__fold"), "test": t.transform(test) if test is not None else None}
-    result = _result(folder, spec, {}, {"model": folder.meta, "columns": t.columns}, **scored)
+    result = _result(folder, spec, {}, {"model": folder.meta, "path": folder.meta, "columns": t.columns}, **scored)
     edges = stats.score_edges(scored["train"], "y_pred")
     result["report"] = {"fold_auc": t.fold_auc} | {k: {"auc": stats.auc(d, "y_pred", "y_true").first()[0], "ks": stats.ks(d, "y_pred", "y_true").first()[0], "bands": table_to_dicts(stats.score_bands(d, "y_pred", "y_true", edges).orderBy("band"))} for k, d in scored.items() if d is not None}
     return result
 
 
+@stage("inference")
+def inference_ui(spark, spec, folder):
+    """Scores of ``ds.test`` by what stages saved: ``ds.meta`` is a path from their answers, or several
+    in order (transformer, filter, trainer). The session that fitted them need not be alive."""
+    (df,) = _read(spark, spec, "test")
+    out = inference(df, [persist.load(spark, p) for p in ([spec.ds["meta"]] if isinstance(spec.ds["meta"], str) else spec.ds["meta"])])
+    return _result(folder, spec, {"columns": out.columns}, {"path": spec.ds["meta"]}, test=out)
+
+
 def inference(df: DataFrame, encoders: list, trainer: models.ModelTrainer | None = None) -> DataFrame:
-    """Fitted encoders and a model on a batch or streaming frame."""
-    for e in encoders:
+    """Fitted encoders, filters and a model on a batch or streaming frame."""
+    for e in (*encoders, *([trainer] if trainer else [])):
         df = e.transform(df)
-    return trainer.transform(df) if trainer else df
+    return df
 
 
-def data_report(train: DataFrame, test: DataFrame, columns: list[str], label: str) -> dict[str, list[dict]]:
-    """Description, WOE, stability and warnings of two parts, as lists of rows."""
+def data_report(train: DataFrame, test: DataFrame, columns: list[str], label: str, bins: int = 10) -> dict[str, list[dict]]:
+    """Description, WOE, stability and warnings of two parts, as lists of rows in order of the
+    features' information. Numeric columns have the quantile bins of train, others their levels."""
     numeric = [c for c in columns if is_numeric(train, c)]
+    levels = [c for c in columns if c not in numeric]
     stable = psi(train, test, numeric) if numeric else None
+    binner = binning.ContBinningEncoder(bins, "qcut", columns=numeric).fit(train)
+
+    def woe(df):
+        parts = [stats.woe_report(df, levels, label)] * bool(levels) + [stats.binned_woe_report(df, binner, label)] * bool(numeric)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    woe_train, woe_test = woe(train), woe(test)
     out = {
-        "desc_train": stats.data_stats(train, columns), "desc_test": stats.data_stats(test, columns),
-        "woe_train": stats.woe_report(train, [c for c in columns if c not in numeric], label) if len(numeric) < len(columns) else None,
-        "v_psi": volume_psi(train, test, [c for c in columns if c not in numeric], label) if len(numeric) < len(columns) else None,
+        "desc_train": stats.data_stats(train, columns), "desc_test": stats.data_stats(test, columns), "woe_train": woe_train, "woe_test": woe_test,
+        "v_psi": report_psi(woe_train, woe_test, "group_sample_ratio"), "l_psi": report_psi(woe_train, woe_test, "overdue_ratio"),
         "psi": stable, "warnings": psi_warnings(stable) if stable is not None else None,
     }
-    return {k: table_to_dicts(v) for k, v in out.items() if v is not None}
+    rows = {k: table_to_dicts(v) for k, v in out.items() if v is not None}
+    iv = {r["feature"]: r["IV"] or 0.0 for r in rows["woe_train"]}
+    return {k: sorted(v, key=lambda r: (-iv.get(r["feature"], 0.0), r["feature"], str(r.get("level") or ""))) for k, v in rows.items()}
 
 
 def chain(spark: SparkSession, steps: list[tuple[str, dict]], data: dict) -> list[dict]:
     """Stages one after the other, each on the files of the one before; ends at a failure."""
-    run = {"sampler": sampler_ui, "spliter": spliter_ui, "transformer": transformer_ui, "filter": filter_ui, "optimizer": optimizer_ui, "trainer": trainer_ui}
+    run = {"sampler": sampler_ui, "spliter": spliter_ui, "transformer": transformer_ui, "filter": filter_ui, "optimizer": optimizer_ui, "trainer": trainer_ui, "inference": inference_ui}
     answers, ds = [], dict(data)
     for name, settings in steps:
         got = json.loads(run[name](spark, {"ds": ds, "out": settings.get("out", {}), "st": settings.get("st", {})}))
@@ -190,5 +214,7 @@ def chain(spark: SparkSession, steps: list[tuple[str, dict]], data: dict) -> lis
         if got["code"] == 2:
             break
         new = {k: v for k, v in got["result"]["ds"].items() if v is not None}
+        if got["result"]["meta"].get("path") and name != "inference":
+            ds["meta"] = [*ds.get("meta", []), got["result"]["meta"]["path"]]
         ds = ds | new | ({"table": new["train"]} if name == "sampler" else {})
     return answers

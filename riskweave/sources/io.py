@@ -111,17 +111,19 @@ def table_to_dicts(df: DataFrame, most: int = 100_000) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
-def workbook(reports: dict[str, DataFrame], folder: str) -> list[str]:
-    """Report tables to one CSV each, named by sheet; a workbook where a writer is installed."""
+def workbook(reports: dict[str, DataFrame], folder: str, most: int = 100_000) -> list[str]:
+    """Report tables to one CSV each in a folder of the driver's, named by sheet; a workbook where a
+    writer is installed. Tables of more than ``most`` rows are refused, as they are no reports."""
+    import pandas as pd
+
     out = []
+    frames = {k: pd.DataFrame(table_to_dicts(df, most), columns=df.columns) for k, df in reports.items()}
     Path(folder).mkdir(parents=True, exist_ok=True)
-    frames = {k: df.limit(100_000).toPandas() for k, df in reports.items()}
     for k, pdf in frames.items():
         pdf.to_csv(f"{folder}/{k}.csv", index=False)
         out.append(f"{folder}/{k}.csv")
     try:
         import openpyxl  # noqa: F401
-        import pandas as pd
 
         with pd.ExcelWriter(f"{folder}/reports.xlsx") as w:
             for k, pdf in frames.items():

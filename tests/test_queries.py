@@ -36,6 +36,6 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert canonical(ours) == canonical(sql)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL) - {"ripper_rules", "feature_evaluation"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL) - {"ripper_rules"}))
 def test_gives_rows(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
