@@ -3,7 +3,9 @@
 Vectors get one more component so that all have the same length; the largest inner product is
 then the smallest distance. Each table hashes by floor((a.x + b) / w) with Gaussian ``a``. A query
 visits the cells of each table in the order of the estimated chance that a neighbour lies in them,
-until the chances add up to what the tables together need for the wanted recall. A cell's vectors
+until the chances add up to what the tables together need for the wanted recall. How many tables
+there are is decided by what they cost: the share of all vectors that a query meets, estimated on a
+sample, so that where little can be left out one table is searched and no vector is met twice. A cell's vectors
 and the queries that visit it meet in blocks of bounded size, are ranked by exact inner products,
 and the tables' candidates are merged.
 """
@@ -37,6 +39,7 @@ class Index:
     length: float  # common length after the added component
     rho: float  # typical cosine between a query and its last wanted neighbour
     chance: float  # chance that each table has to cover
+    share: float = 1.0  # share of all vectors that a query meets, over all tables, on a sample
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Projections (rows, tables, functions), in units of the common length."""
@@ -79,12 +82,25 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False))).dropDuplicates(["id", "v"])
 
 
-def fit(v: DataFrame, k: int = 20, tables: int = 2, recall: float = 0.97, sample: int = 4096, seed: int = 7) -> Index | None:
+def _share(index: Index, x: np.ndarray, queries: int = 24) -> float:
+    """Share of the sample's vectors in the cells that its first vectors visit, over all tables."""
+    cells, asked = index.cells(x), index.project(x[:queries], True)
+    met = 0
+    for t in range(cells.shape[1]):
+        held: dict[tuple, int] = {}
+        for c in map(tuple, cells[:, t].tolist()):
+            held[c] = held.get(c, 0) + 1
+        met += sum(held.get(c, 0) for p in asked[:, t] for c in index.visits(p, t))
+    return met / (len(asked) * len(x))
+
+
+def fit(v: DataFrame, k: int = 20, tables: int | None = None, recall: float = 0.97, sample: int = 4096, seed: int = 7) -> Index | None:
     """Choose the functions from the count and length of all vectors and a sample of them.
 
     The sample (about ``sample`` rows by a hash of the id, whatever the table's size) serves only
-    to estimate how near the k-th neighbour is. The number of functions grows with the logarithm
-    of the count, so that cells keep their size. None for an empty table.
+    to estimate how near the k-th neighbour is and, unless ``tables`` are given, of how many a query
+    meets the fewest vectors. The number of functions grows with the logarithm of the count, so
+    that cells keep their size. None for an empty table.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, length, dim = v.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
@@ -98,9 +114,14 @@ def fit(v: DataFrame, k: int = 20, tables: int = 2, recall: float = 0.97, sample
     np.fill_diagonal(cos, -1)
     rank = min(len(x) - 1, max(1, math.ceil(k * len(x) / n)))
     rho = float(np.clip(np.quantile(np.sort(cos, axis=1)[:, -rank], 0.1), 0.0, 0.99)) if len(x) > 1 else 0.0
-    rng = np.random.default_rng(seed)
     width, functions = 1.2, max(2, math.ceil(math.log(max(n / BLOCK, 1)) / math.log(4)))
-    return Index(rng.standard_normal((tables, functions, dim + 1)), rng.uniform(0, width, (tables, functions)), width, float(length), rho, 1 - (1 - recall) ** (1 / tables))
+    made = []
+    for t in (tables,) if tables else (1, 2, 4):
+        rng = np.random.default_rng(seed)
+        index = Index(rng.standard_normal((t, functions, dim + 1)), rng.uniform(0, width, (t, functions)), width, float(length), rho, 1 - (1 - recall) ** (1 / t))
+        index.share = _share(index, x)
+        made.append(index)
+    return min(made, key=lambda i: i.share)
 
 
 def _top(k: int):
@@ -130,7 +151,7 @@ def _top(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 2, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, tables: int | None = None, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best found for each row where ``is_query``.
 
     ``is_query`` is a condition on ``id``. Score is the inner product in double precision; ties
