@@ -49,16 +49,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    return docs.withColumns(
+    words = _let(words_col(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("again")))  # split once
+    return docs.withColumn("__words", words).withColumns(
         {
-            "n_words": F.size(words_col(F.col(text_col))).cast("long"),
+            "n_words": F.col("__words")["n"],
             "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": _let(words_col(F.col(text_col)), _repeat_words),
+            "n_repeat_words": F.col("__words")["again"],
         }
-    )
+    ).drop("__words")
 
 
 def base_failed() -> F.Column:
