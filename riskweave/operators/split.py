@@ -101,14 +101,14 @@ def fold(df: DataFrame, label: str, n: int, id_cols: list[str], name: str = "fol
     Rows are ranked within ranges of the hash and shifted by the rows of the ranges before, a small
     table, so that no task sorts a class.
     """
-    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *id_cols)).withColumn("__p", F.shiftright("__h", 64 - int(math.log2(HASH_RANGES))))
-    before = h.groupBy(F.col(label).alias("__y"), F.col("__p").alias("__q")).agg(F.count(F.lit(1)).alias("__c"))
-    ahead = W.partitionBy("__y").orderBy("__q").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("__y", "__q", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__b"))
-    rank = F.row_number().over(W.partitionBy(label, "__p").orderBy("__h", *id_cols))
-    ranked = h.withColumn("__r", rank)
-    out = ranked.join(before, F.col(label).eqNullSafe(F.col("__y")) & (F.col("__p") == F.col("__q")))
-    return out.withColumn(name, ((F.col("__r") + F.col("__b") - 1) % n).cast("int")).drop("__h", "__p", "__y", "__q", "__b", "__r")
+    h = df.withColumn("__fold_h", F.xxhash64(F.lit(seed), *id_cols)).withColumn("__fold_p", F.shiftright("__fold_h", 64 - int(math.log2(HASH_RANGES))))
+    before = h.groupBy(F.col(label).alias("__fold_y"), F.col("__fold_p").alias("__fold_q")).agg(F.count(F.lit(1)).alias("__fold_c"))
+    ahead = W.partitionBy("__fold_y").orderBy("__fold_q").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select("__fold_y", "__fold_q", F.coalesce(F.sum("__fold_c").over(ahead), F.lit(0)).alias("__fold_b"))
+    rank = F.row_number().over(W.partitionBy(label, "__fold_p").orderBy("__fold_h", *id_cols))
+    ranked = h.withColumn("__fold_r", rank)
+    out = ranked.join(before, F.col(label).eqNullSafe(F.col("__fold_y")) & (F.col("__fold_p") == F.col("__fold_q")))
+    return out.withColumn(name, ((F.col("__fold_r") + F.col("__fold_b") - 1) % n).cast("int")).drop("__fold_h", "__fold_p", "__fold_y", "__fold_q", "__fold_b", "__fold_r")
 
 
 def quotas(available: dict[str, int], ratio: dict[str, float], threshold: float) -> dict[str, int]:
