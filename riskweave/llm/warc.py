@@ -27,7 +27,9 @@ END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed beyond so many bytes, and a reading task takes about so many at once.
-PACKAGE_BYTES, READ_BYTES = 1 << 30, 8 << 20
+PACKAGE_BYTES, READ_BYTES = 1 << 30, 4 << 20
+#: Digests that are broadcast, counted first (some 60 bytes each); with more, payloads are joined by digest.
+BROADCAST_DIGESTS = 200_000
 
 
 def _line(value) -> str:
@@ -153,12 +155,16 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Pages with equal payloads of at least ``min_revisit_bytes`` share one response, that of the
     largest id (all rows of that id, if repeated; if no id is known, all are responses); the
     others revisit it. Null html is an empty payload, a null url is left out, a null id is kept
-    as null. Digests are counted before rows move, and a hot digest's join can be split.
+    as null. Digests are counted first; few shared ones are broadcast and payloads stay where they
+    are, many are joined by digest, where Spark splits a hot one. Payloads of any length are one
+    record. An empty table writes no package and has no row in the manifest; further columns are
+    ignored.
     """
     facts = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     facts = facts.withColumn("digest", F.sha1("payload"))
     shared = facts.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = facts.join(shared, "digest", "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    shared = materialise(shared, "warc-shared")
+    rows = facts.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches):
         from pyspark import TaskContext
@@ -184,7 +190,8 @@ def read_packages(manifest: DataFrame, folder: str, with_payload: bool = False)
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` (and ``payload``).
 
     Each package's directory and index are read first and give runs of neighbouring records of
-    about READ_BYTES; the runs are dealt out over tasks, so one large package is read by many.
+    about READ_BYTES; the runs are dealt out over as many tasks as the manifest's bytes fill, so
+    one large package is read by many.
     """
 
     def runs(batches):
@@ -220,8 +227,10 @@ def read_packages(manifest: DataFrame, folder: str, with_payload: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in zip(names, kinds)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    found = manifest.select("package").repartition("package").mapInArrow(runs, "package string, at long, sizes array<long>")
-    return found.repartition("package", "at").mapInArrow(read, schema)
+    packages, size = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    tasks = max(1, -(-(size or 0) // READ_BYTES), min(packages, manifest.sparkSession.sparkContext.defaultParallelism))
+    found = manifest.select("package").repartition(max(1, packages), "package").mapInArrow(runs, "package string, at long, sizes array<long>")
+    return found.repartition(tasks, "package", "at").mapInArrow(read, schema)
 
 
 def package_folder(spark: SparkSession) -> str:
