@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import CACHE_WORDS, drop_shared, materialise
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Languages whose shares are broadcast, counted first; more are joined by language.
+BROADCAST_LANGUAGES = 100_000
 #: Words of more letters are scored but not remembered.
 LONG_WORD = 32
 
@@ -67,15 +69,20 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 def forward(vocab: Vocabulary, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each word (rows) in each language (columns), all segmentations summed.
 
-    ``probs`` is piece by language, with a last row of zeros for spans that are no piece.
+    ``probs`` is piece by language, with a last row of zeros for spans that are no piece. Words of
+    one length are summed together; long ones one by one, in time linear in their length.
     """
     out = np.zeros((len(words), probs.shape[1]))
     for n, where in by_length(words).items():
+        if n > LONG_WORD + 1:
+            for i in where:
+                out[i] = _forward_long(vocab, probs, words[i])
+            continue
         spans = vocab.lattice([words[i] for i in where])
         alpha, scale = [np.ones((len(where), probs.shape[1]))], np.zeros((len(where), probs.shape[1]))
         for j in range(1, n + 1):
             a = sum(alpha[i] * probs[spans[i, j]] for i in range(max(0, j - vocab.longest), j) if (i, j) in spans)
-            if j % 16 == 0:  # long words: keep the numbers in range
+            if j % 16 == 0:  # keep the numbers in range
                 down = np.maximum(a, 1e-300)
                 scale += np.log(down)
                 alpha, a = [x / down for x in alpha], a / down
@@ -84,6 +91,25 @@ def forward(vocab: Vocabulary, probs: np.ndarray, words: list[str]) -> np.ndarra
     return out
 
 
+def _forward_long(vocab: Vocabulary, probs: np.ndarray, word: str) -> np.ndarray:
+    """The same for one word; only the sums that a piece can reach back to are kept and rescaled."""
+    get, far = vocab.number.get, vocab.longest
+    alpha, scale = np.zeros((far, probs.shape[1])), np.zeros(probs.shape[1])
+    alpha[0] = 1  # the sum up to place i is in row i % far
+    for j in range(1, len(word) + 1):
+        spans = [(i % far, get(word[i:j], -1)) for i in range(max(0, j - far), j - 1)]
+        spans = [(i, p) for i, p in spans if p >= 0] + [((j - 1) % far, get(word[j - 1], 0))]
+        rows, pieces = (list(x) for x in zip(*spans, strict=True))
+        a = (alpha[rows] * probs[pieces]).sum(axis=0)
+        if j % 8 == 0:
+            down = np.maximum(a, 1e-200)
+            scale += np.log(down)
+            alpha /= down
+            a = a / down
+        alpha[j % far] = a
+    return np.log(np.maximum(a, 1e-300)) + scale
+
+
 def soft_counts(vocab: Vocabulary, probs: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words of one language."""
     out = np.zeros(vocab.size)
@@ -102,6 +128,11 @@ def soft_counts(vocab: Vocabulary, probs: np.ndarray, words: list[str], counts:
     return out
 
 
+def short_words(words: list[str]) -> list[str]:
+    """Words of more than LONG_WORD letters in cuts of that length, others whole."""
+    return [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters, each with the vocabulary's mark of a word's beginning."""
     return [f"▁{w}" for w in LETTERS.findall(text.lower())] if text else []
@@ -122,18 +153,20 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 400, r
     About ``docs_per_language`` rows of each language, chosen by a hash of the id, are enough for
     a vocabulary of fixed size; this bound is the only sampling, and it bears on training alone.
     Spark counts words and runs each round's expectations; the driver gets a row for each piece
-    and language, never more than the model holds.
+    and language, never more than the model holds. Longer runs than LONG_WORD letters are learned
+    from in cuts. Without rows the model has no language. Repeated rows count as often as they are.
     """
     vocab = Vocabulary(load_pieces(vocabulary_path))
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)).alias("h"))
     share = rows.groupBy("lang").agg((F.lit(docs_per_language * 1_000_003.0) / F.count(F.lit(1))).alias("below"))
-    chosen = rows.join(F.broadcast(share), "lang").where("h < below")
+    share = materialise(share, "langid-languages")
+    chosen = rows.join(F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share, "lang").where("h < below")
 
     def count(batches):
         for b in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(words_of(text))
+                found.setdefault(lang, Counter()).update(short_words(words_of(text)))
             for lang, c in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -167,6 +200,7 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = 400, r
         probs = new / new.sum(axis=0)
         held.unpersist()
     drop_shared(counted)
+    drop_shared(share)
     return LanguageModel(pieces, languages, probs)
 
 
@@ -221,7 +255,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", batc
     """Add ``lang_pred string`` and ``score double`` (the posterior with an even prior), or columns
     of other names.
 
-    Only the text is looked at, all of it. Null texts and texts without a letter are ``und`` with
+    Only the text is looked at, all of it, in time linear in its length. Null texts and texts without a letter are ``und`` with
     score 0, as are all texts of a model without languages; equal posteriors go to the first
     language by name. Columns of the same names are replaced; repeated rows stay.
     """

@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -53,12 +55,11 @@ encode.made = {}
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_the_library_s(name):
     rng = random.Random(3)
-    parts = ["Hello ", "world", ", ", ". ", ".\n", ",", "\n", "\n\n", "a", "É", "é", " ", "  ", "\t", ".", "'s", "12", "²", "Σ", "İ", "漢字", "🙂", "\xa0", "\x1c", "\r", "...", "#", "ß", "_", "\0", "|"]
+    parts = ["Hello ", "world", ", ", ". ", ".\n", ",", "\n", "\n\n", "a", "É", "é", " ", "  ", "\t", ".", "'s", "12", "²", "Σ", "İ", "漢字", "🙂", "\xa0", "\x1c", "\r", "...", "#", "ß", "_", "\0", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     from tokenizers import Tokenizer
 
     ref = Tokenizer.from_file(public_tokenizers.path(name))
-    ref.encode_special_tokens = True
     got = tokens.WordTokenizer(public_tokenizers.path(name)).ids(texts)
     assert all(np.array(ref.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == g for t, g in zip(texts, got, strict=True))
 
@@ -101,6 +102,22 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.read_tokens(spark, none).count() == 0
 
 
+def test_lookups_skip_stripes_and_row_groups(spark):
+    path = common.new_path(spark, "t")
+    many = spark.range(40_000).select((F.col("id") * 10).alias("doc_id"), F.concat(F.lit("some words of document "), "id").alias("text"))
+    token_files.write_tokens(many.repartition(4), path, public_tokenizers.path("word_bpe_49k.json"), stripe_bytes=1 << 16, row_index_stride=1000)
+
+    def read(ids):
+        found = token_files.lookup(spark, path, ids)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(rows), plan.metrics().apply("numOutputRows").value()
+
+    assert read([123_450])[0] == 1 and read([123_450])[1] < 8_000  # one row group or stripe of 40
+    assert read([123_455]) == (0, 0)  # within the range of a row group, excluded by its Bloom filter
+    assert read([-5, 400_005]) == (0, 0)  # outside all ranges
+
+
 def brute_rules(text):
     w = WORD.findall(text or "")
     win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -164,7 +181,26 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_warc_round_trip(spark):
+def test_damaged_notices_are_retrieved(spark):
+    """Words of notices changed at random: at a containment of 0.5 and of 0.8 no more than the bands allow are missed."""
+    rng = random.Random(4)
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    sh = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+    short = {"one": "five words make one shingle", "two": "six words in all make two", "three": "this notice has exactly seven words total"}
+    rows = []
+    for i in range(600):
+        w = (licenses.TEMPLATES | short)[sorted(licenses.TEMPLATES | short)[i % 14]].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 12))):
+            w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    texts = licenses.TEMPLATES | short
+    for least, missed in ((0.8, 0), (0.5, 2)):
+        want = {(i, k) for i, t in rows for k, v in texts.items() if len(sh(v) & sh(t)) >= least * len(sh(v))}
+        got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts, least).collect()}
+        assert got <= want and len(want - got) <= missed and len(want) > 100
+
+
+def test_warc_round_trip(spark, monkeypatch):
     big = "x" * 1500 + "é"
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big), (4, "http://a/4", None), (5, "http://a/5", ""), (6, "http://a/6", "short"), (7, "http://a/7", "short"), (None, "http://a/8", big), (2, "http://a/2", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
@@ -178,6 +214,15 @@ def test_warc_round_trip(spark):
         revisit = html == big and r["page_id"] != 3
         assert r["record_type"] == ("revisit" if revisit else "response") and r["refers_to"] == (3 if revisit else None)
         assert bytes(r["payload"]) == (b"" if revisit else html.encode())
+    key = lambda rs: sorted(str(r) for r in rs)
+    monkeypatch.setattr(warc, "READ_BYTES", 300)  # many runs of a package, read by several tasks
+    again = warc.read_packages(m, folder, with_payload=True)
+    assert key(again.collect()) == key(got) and again.select(F.spark_partition_id()).distinct().count() > 2
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 500)  # packages are closed and others begun
+    folder = warc.package_folder(spark)
+    m = warc.write_packages(df, folder)
+    assert m.count() > 3 and key(warc.read_packages(m, folder, with_payload=True).collect()) == key(got)
     none = warc.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc.read_packages(none, folder).count() == 0
 
@@ -206,6 +251,20 @@ def test_language_forward_sums_all_segmentations():
 
     words = ["a", "abab", "abba", "c", "bacab" * 5]
     assert np.allclose(langid.forward(vocab, p, words)[:, 0], [np.log(total(w)) for w in words])
+    assert np.allclose([langid._forward_long(vocab, p, w)[0] for w in words], [np.log(total(w)) for w in words])
+
+
+@pytest.mark.filterwarnings("error")
+def test_long_runs_of_letters_take_linear_time():
+    pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    vocab, rng = langid.Vocabulary(pieces), np.random.default_rng(1)
+    probs = np.vstack([rng.dirichlet(np.ones(vocab.size), 3).T, np.zeros(3)])
+    run = "▁" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz語文"), 100_000))
+    begin = time.process_time()
+    got = langid.forward(vocab, probs, [run, run[:50_001]])
+    assert np.isfinite(got).all() and (got[0] < got[1]).all() and (got[0] > 2.2 * got[1]).all()
+    assert time.process_time() - begin < 60
+    assert max(map(len, langid.short_words([run]))) == langid.LONG_WORD and "".join(langid.short_words([run, "ab"])) == run + "ab"
 
 
 def test_language_id(spark, docs, empty):
@@ -400,6 +459,43 @@ def test_perplexity_matches_the_formula(spark, docs, empty):
     assert perplexity.classify(df, empty.select("doc_id")).where("kept").count() == 60
 
 
+def test_thresholds_are_quantiles_of_each_language(spark):
+    rng = random.Random(7)
+    langs = ["en", "de", None]
+    rows = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 2 + i % 3) for _ in range(rng.randint(0, 30))), langs[i % 3]) for i in range(300)] + [(300 + i, "a bb c", "fr") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("threshold", F.lit("clash")).repartition(3)
+    got = {r["doc_id"]: r for r in perplexity.classify(df, df.where("doc_id < 240").select("doc_id"), quantile=0.7, held_out=3).collect()}
+    assert len(got) == 304
+    aside = {r[0] for r in df.where("doc_id < 240").where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(3)) == 0).select("doc_id").collect()}
+    at = lambda ids: sorted(got[i]["perplexity"] for i in ids if got[i]["perplexity"] is not None)
+    quantile = lambda v: v[math.ceil(0.7 * len(v)) - 1]
+    limits = {x: quantile(at(i for i in aside if got[i]["lang"] == x)) for x in langs} | {"fr": quantile(at(aside))}
+    for i, t, lang in rows:
+        r = got[i]
+        assert r["threshold"] == limits[lang] and (r["perplexity"] is None) == (not t)
+        assert r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= limits[lang])
+
+
+def test_soft_counts_sum_over_all_segmentations():
+    vocab = langid.Vocabulary(["a", "b", "ab", "ba", "aba"])
+    p = np.array([0.05, 0.2, 0.25, 0.2, 0.1, 0.2, 0.0])
+
+    def ways(w):
+        if not w:
+            yield []
+        for k in range(1, min(3, len(w)) + 1):
+            piece = vocab.number.get(w[:k], 0 if k == 1 else -1)
+            if piece >= 0:
+                yield from ([piece, *rest] for rest in ways(w[k:]))
+
+    words, counts, want = ["abab", "c", "abba", "aba"], np.array([2.0, 1.0, 3.0, 5.0]), np.zeros(vocab.size)
+    for w, n in zip(words, counts, strict=True):
+        each = [(np.prod(p[x]), x) for x in ways(w)]
+        for q, x in each:
+            np.add.at(want, x, n * q / sum(q for q, _ in each))
+    assert np.allclose(langid.soft_counts(vocab, p, words, counts), want)
+
+
 def test_perplexity_sees_signs_and_case(spark):
     assert [len(x) for x in perplexity.word_ids(["ab !!, Ab\tab.", "...", " ", None, "a", "é-x"])] == [7, 3, 0, 0, 3, 5]
     ab, signs, Ab, again, stop = perplexity.word_ids(["ab !!, Ab\tab."])[0][1:-1].tolist()
