@@ -204,6 +204,16 @@ def lift_curve(df: DataFrame, score: str, label: str, cuts: int = 100) -> DataFr
     return g.select("band", "n", "pos", (F.sum("n").over(up) / F.sum("n").over(whole)).alias("depth"), ((F.sum("pos").over(up) / F.sum("n").over(up)) / (F.sum("pos").over(whole) / F.sum("n").over(whole))).alias("lift"))
 
 
+def lift_at(df: DataFrame, score: str, label: str, tops: tuple[float, ...] = (0.01, 0.05, 0.1)) -> DataFrame:
+    """``top, share, lift``: at the highest threshold that takes a share ``top`` of the rows at least,
+    ties taken together, the response over that of all rows."""
+    r = roc_points(df, score, label)
+    want = F.explode(F.array(*[F.lit(float(t)) for t in tops])).alias("top")
+    hit = r.select("*", want).where(F.col("share") >= F.col("top")).groupBy("top").agg(F.min_by(F.struct("share", "precision"), "share").alias("at"))
+    base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double")).alias("base"))
+    return hit.join(F.broadcast(base)).select("top", F.col("at.share").alias("share"), F.try_divide(F.col("at.precision"), F.col("base")).alias("lift"))  # one row
+
+
 def gini(df: DataFrame, actual: str, score: str) -> DataFrame:
     """``gini, gini_norm``: cumulative-loss Gini by score, ties sharing their loss evenly."""
 
@@ -254,6 +264,14 @@ def profit_curve(df: DataFrame, score: str, label: str, id_col: str, gain: float
     return pass_curve(df, score, label, id_col).withColumn("profit", rule_pass * (gain * (1 - r) * p - loss * p * r - cost_model) - cost_sell - cost_rule)
 
 
+def best_pass_rate(curve: DataFrame, spec_p: int | None = None) -> DataFrame:
+    """``pass_rate, profit, bad_rate`` of a profit curve where profit is largest (of equal ones at the
+    smallest pass rate), with ``spec_profit`` at a given pass rate."""
+    top = F.max_by(F.struct("pass_rate", "profit", "bad_rate"), F.struct(F.round("profit", 9), -F.col("pass_rate")))
+    out = curve.agg(top.alias("b"), F.max(F.when(F.col("pass_rate") == F.lit(spec_p), F.col("profit"))).alias("spec_profit"))
+    return out.select("b.pass_rate", "b.profit", "b.bad_rate", "spec_profit")
+
+
 def rule_metrics(df: DataFrame, rules: list[str], label: str) -> DataFrame:
     """``rule, class, count, hits, precision, recall, f1, lift`` of SQL predicates for both classes;
     one aggregation for all distinct rules."""

@@ -396,6 +396,17 @@ def profit_curve(spark, sf_dir):
     return stats.profit_curve(model(spark, sf_dir).where("balance IS NOT NULL"), "balance", "y", "id", 10, 6, 0.8, 0.1, 0.2, 0.05).select("pass_rate", "profit")
 
 
+@query(ROC + ", t(top) AS (VALUES (0.01::DOUBLE), (0.05), (0.1)) SELECT top, round(min(share), 6) AS share, round(arg_min(pr, share) / (SELECT avg(y) FROM m WHERE balance IS NOT NULL), 6) AS lift FROM p JOIN t ON share >= top GROUP BY top")
+def lift_at_top(spark, sf_dir):
+    return stats.lift_at(model(spark, sf_dir), "balance", "y")
+
+
+@query(PASS + ", c AS (SELECT pass_rate, bad_rate, 0.8 * (10 * (1 - bad_rate) * pass_rate / 100 - 6 * pass_rate / 100 * bad_rate - 0.1) - 0.2 - 0.05 AS profit FROM p) SELECT pass_rate, round(profit, 6) + 0.0 AS profit, round(bad_rate, 6) AS bad_rate, (SELECT round(profit, 6) + 0.0 FROM c WHERE pass_rate = 40) AS spec_profit FROM c ORDER BY round(profit, 9) DESC, pass_rate LIMIT 1")
+def best_pass_rate(spark, sf_dir):
+    curve = stats.profit_curve(model(spark, sf_dir).where("balance IS NOT NULL"), "balance", "y", "id", 10, 6, 0.8, 0.1, 0.2, 0.05)
+    return stats.best_pass_rate(curve, 40)
+
+
 @query("SELECT c_custkey AS id, round(greatest(350, least(950, 473.48 - 72.14 * ln(p / (1 - p)))), 4) AS score FROM (SELECT c_custkey, (c_acctbal + 1000) / 12000 AS p FROM customer)")
 def prob_to_score(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
