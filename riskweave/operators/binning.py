@@ -278,6 +278,29 @@ class BinningWOEEncoder:
         return out.drop(*self.woe.columns).withColumnsRenamed({f"{c}__woe": f"{c.removesuffix('__code')}{self.suffix}" for c in self.woe.columns})
 
 
+@dataclass
+class ClusterBinEncoder:
+    """Levels put together by their WOE: WOE, monotonic bins of it, and the WOE of those bins. Null is
+    a level; unseen levels are 0, as are columns whose WOE has no monotonic bins."""
+
+    columns: list[str] | None = None
+    suffix: str = "_cluster"
+
+    def fit(self, df: DataFrame, label: str) -> ClusterBinEncoder:
+        if self.columns is None:
+            self.columns = [c for c in infer_kinds(df).cate if c != label]
+        self.woe = WOEEncoder(columns=self.columns, suffix="__woe").fit(df, label)
+        self.woe.default = dict.fromkeys(self.columns)  # unseen levels have none, and so the bin 0
+        x = self.woe.transform(df)
+        self.binner = ContBinningEncoder(method="monot", suffix="__bin", columns=[f"{c}__woe" for c in self.columns]).fit(x, label)
+        self.last = WOEEncoder(columns=[f"{c}__woe__bin" for c in self.columns], suffix="__woe").fit(self.binner.transform(x), label)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.last.transform(self.binner.transform(self.woe.transform(df)))
+        return out.drop(*[f"{c}__woe" for c in self.columns], *self.last.columns).withColumnsRenamed({f"{c}__woe__bin__woe": f"{c}{self.suffix}" for c in self.columns})
+
+
 @dataclass
 class HistogramEncoder:
     """Counts of each column's levels or bins, fixed on one data set and counted on any.

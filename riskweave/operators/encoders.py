@@ -62,7 +62,8 @@ class _LevelMap:
 
 @dataclass
 class WOEEncoder(_LevelMap):
-    """Weight of evidence of each level; null is a level, unseen levels take null's value or 0.
+    """Weight of evidence of each level; null is a level, unseen levels take null's value or 0, or with
+    ``unseen='rate'`` the overall rate, as the older form does.
 
     ``null_policy='smoothed'`` is the older form: null's positives and negatives get
     ``int(n * m * nan_thr)`` more, where m is the class's share, and values are clipped.
@@ -75,6 +76,7 @@ class WOEEncoder(_LevelMap):
     columns: list[str] | None = None
     null_policy: str = "level"
     nan_thr: float = 0.01
+    unseen: str = "null"
 
     def fit(self, df: DataFrame, label: str) -> WOEEncoder:
         if self.columns is None:
@@ -91,6 +93,10 @@ class WOEEncoder(_LevelMap):
         self.iv = {r[0]: r[1] for r in t.groupBy("feature").agg(F.sum("iv")).collect()}
         null = {r["feature"]: r["value"] for r in self.table.where("level is null").collect()}
         self.default = {c: null.get(c, 0.0) for c in self.columns}
+        if self.unseen == "rate":
+            self.default = dict.fromkeys(self.columns, float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0))
+        elif self.unseen != "null":
+            raise ValueError(f"unknown value for unseen levels {self.unseen!r}")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

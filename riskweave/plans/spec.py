@@ -14,7 +14,7 @@ REGISTRY: dict[str, type] = {
     "ContBinningEncoder": binning.ContBinningEncoder, "CateBinningEncoder": binning.CateBinningEncoder, "BinningEncoder": binning.BinningEncoder, "BinningWOEEncoder": binning.BinningWOEEncoder,
     "ReduceGen": encoders.ReduceGen, "AppCateEncoder": encoders.AppCateEncoder, "FriedScale": encoders.FriedScale, "StableFilter": select.StableFilter,
     "SelectKBestFilter": select.SelectKBest, "SelectFromModelFilter": select.SelectFromModel, "RFEFilter": select.RFE, "LRFilter": select.LRFilter,
-    "IndexValueEncoder": encoders.IndexValueEncoder,
+    "IndexValueEncoder": encoders.IndexValueEncoder, "ClusterBinEncoder": binning.ClusterBinEncoder,
 }
 #: Parameter names of specifications, as those of the classes here.
 RENAMED = {"specified_features": "columns", "binning_method": "method", "indice_thr": "limit", "n_features_to_select": "n", "woe_min": "woe_min", "woe_max": "woe_max"}

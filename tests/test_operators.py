@@ -77,6 +77,15 @@ def test_encoders_on_unseen_and_null(spark, people):
         encoders.category_encoder("__import__")
 
 
+def test_levels_are_clustered_by_woe_and_unseen_ones_are_0_or_the_rate(spark):
+    rows = [(g, int(i % 10 < k)) for g, k in (("a", 1), ("b", 1), ("c", 5), ("d", 5), ("e", 9)) for i in range(100)]
+    df, new = spark.createDataFrame(rows, "g string, y int"), spark.createDataFrame([("a",), ("b",), ("e",), ("zzz",)], "g string")
+    a, b, e, unseen = [r["g_cluster"] for r in binning.ClusterBinEncoder(["g"]).fit(df, "y").transform(new).select("g_cluster").collect()]
+    assert a == b < 0 < e and unseen == 0.0
+    got = encoders.WOEEncoder(columns=["g"], unseen="rate").fit(df, "y").transform(new).where("g = 'zzz'").first()["g_woe"]
+    assert got == pytest.approx(0.42)
+
+
 def test_tree_cuts_are_exact():
     v, pos, neg = np.arange(6.0), np.array([0, 0, 0, 5, 5, 5]), np.array([5, 5, 5, 0, 0, 0])
     assert binning.tree_cuts(v, pos, neg, 4) == [2.5]

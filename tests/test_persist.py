@@ -22,7 +22,7 @@ def data(spark, tmp_path_factory):
 CASES = {
     "BaseEncoder": ("custom", ["x", "g", "z"], {}), "WOEEncoder": ("cate", ["g"], {}), "CountEncoder": ("cate", ["g"], {}), "CateLabelEncoder": ("cate", ["g"], {}), "CateOneHotEncoder": ("cate", ["g"], {}),
     "TargetEncoder": ("cate", ["g"], {}), "ImputeEncoder": ("cont", ["x"], {}), "ContImputerEncoder": ("cont", ["x"], {"strategy": "median"}), "ContBinningEncoder": ("cont", ["x", "z"], {"bins": 4}),
-    "CateBinningEncoder": ("cate", ["g"], {"bins": 2}), "BinningEncoder": ("custom", ["x", "g"], {}), "BinningWOEEncoder": ("custom", ["x", "g"], {}), "ReduceGen": ("cont", ["x", "z"], {}),
+    "ClusterBinEncoder": ("cate", ["g"], {}), "CateBinningEncoder": ("cate", ["g"], {"bins": 2}), "BinningEncoder": ("custom", ["x", "g"], {}), "BinningWOEEncoder": ("custom", ["x", "g"], {}), "ReduceGen": ("cont", ["x", "z"], {}),
     "AppCateEncoder": ("custom", ["apps"], {"names": {"p": "one", "q": "two"}, "unknown": "other"}), "FriedScale": ("cont", ["x"], {}), "IndexValueEncoder": ("custom", ["x", "g"], {}),
     "NothingEncoder": ("custom", ["x"], {}), "DropEncoder": ("custom", ["x"], {}), "StableEncoder": ("custom", ["x"], {}),
 }
