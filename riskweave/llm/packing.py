@@ -34,8 +34,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     Returns ``<id>, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian
     uint32)``; ``start`` counts the document's ids before the piece. Only the last sequence is
     shorter than ``seq_len``. A null or empty text is the single id ``end_id``; a null id stays
-    null; repeated rows are packed once each; an empty table gives no piece; further columns are
-    ignored.
+    null; repeated rows are packed once each; a text of any length is packed whole, over as many
+    sequences as it fills; an empty table gives no piece; further columns are ignored.
     """
     if seq_len < 1:
         raise ValueError("seq_len must be positive")

@@ -23,7 +23,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     Rows are dealt out by range of the id and sorted, so the file of part ``i`` precedes that of
     ``i+1``. A null or empty text is the single id ``end_id``; null ids come first; repeated ids
-    keep one row each, next to each other in an order that is fixed by the file.
+    keep one row each, next to each other in an order that is fixed by the file. A text of any
+    length is one row; an empty table gives files without rows; further columns are not written.
     """
     ranged = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
     (
