@@ -63,14 +63,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect dead shuffles so that their files leave the disks early."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def words_col(text) -> F.Column:
     """Array of the words of a text column; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

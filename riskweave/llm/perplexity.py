@@ -5,9 +5,10 @@ its interpolation weight as a context and of its continuation probability, for a
 probability adds to those of its words. A document's log-probability is then a sum over its keys,
 0 for unknown ones. Keys are dealt into shards by hash; counting, modelling and scoring run over
 a few groups of shards one after the other, so that only a part of all n-grams is on disk at once;
-in a shard's task the model's slice is looked up for the keys of blocks of documents. A shard with
-a frequent key is scored in several tasks, each with some of the blocks and the whole slice. Nothing
-of the corpus goes to the driver but counts of counts and each shard's count of keys.
+in a shard's task the model's slice is looked up for the keys of blocks of documents. Keys travel
+in packs of five bytes each, those of documents as those of the model. A shard with a frequent key
+is scored in several tasks, each with some of the blocks and the whole slice. Nothing of the corpus
+goes to the driver but counts of counts and each shard's count of keys.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, byte_values, drop_shared, hash_words, materialise, mix, release
+from .common import SPACES, byte_values, drop_shared, hash_words, materialise, mix
 
 _SPACE = np.array([chr(i) in SPACES for i in range(256)])
 _SIGN = np.array([chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for i in range(256)])
@@ -31,6 +32,8 @@ WORD_BITS, KEY_BITS = 48, 40
 BEGIN, END = 1, 2
 #: Keys of documents in a shard on average; a task gets about twice as many at most.
 SHARD_KEYS = 8_000_000
+#: Trusted ids that are broadcast, counted first (8 bytes each); with more, trusted texts are joined by key and written.
+BROADCAST_IDS = 1_000_000
 #: Keys are counted in so many bins, of which shards are made.
 BINS = 1 << 14
 #: Documents whose keys travel together.
@@ -64,6 +67,17 @@ def _bin(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(50)).astype(np.int64)
 
 
+def pack_keys(key: np.ndarray) -> np.ndarray:
+    """The lowest KEY_BITS of each key, 5 bytes a row."""
+    return np.ascontiguousarray((key & np.uint64((1 << KEY_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    key = np.zeros((len(raw) // 5, 8), np.uint8)
+    key[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return key.view("<i8").ravel()
+
+
 def _block_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """All keys of some texts, the number of the text that each belongs to, and each text's words."""
     seqs = word_ids(texts)
@@ -136,7 +150,7 @@ def _discount(col: str, d: list[float]) -> F.Column:
 
 
 class Model:
-    """``slices``: shard, key, value; ``floor``: log-probability of a word in a place where
+    """``slices``: shard, packed keys and values; ``floor``: log-probability of a word in a place where
     neither context nor word is known; ``ends``: what the marks of beginning and end add."""
 
     def __init__(self, slices: DataFrame, shards: int, floor: float, ends: float):
@@ -145,7 +159,9 @@ class Model:
 
 def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
     """Count bigrams of all trusted texts (column ``text``) and write the model in shards. A table of
-    texts in the shared folder is deleted as soon as it is counted."""
+    texts in the shared folder is deleted as soon as it is counted. Repeated texts count as often as
+    they stand there, null ones not at all; without texts the model knows no word and gives every
+    text the same."""
     counts, contexts, follows = [], [], []
     for g in range(groups):
         c = materialise(_pairs(trusted, g, groups).groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")).sortWithinPartitions("v", "w"), "kn-counts")
@@ -153,7 +169,6 @@ def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
         contexts.append(materialise(c.groupBy("v").agg(F.sum("c").alias("total"), of(1).alias("n1"), of(2).alias("n2"), F.sum((F.col("c") > 2).cast("long")).alias("n3")), "kn-contexts"))
         follows.append(materialise(c.groupBy("w").agg(F.count(F.lit(1)).alias("k")), "kn-follows"))
         counts.append(c)
-        release(trusted.sparkSession)
     drop_shared(trusted)
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionAll(union(parts[1:]))
     d = discounts([sum(x) for x in zip(*[_counts_of_counts(c, "c") for c in counts], strict=True)])
@@ -176,18 +191,22 @@ def train(trusted: DataFrame, shards: int, groups: int = 4) -> Model:
                 cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
                 ids = [c.view(np.uint64) for c in cols[:-1]]
                 key = pair_key(*ids) if pair else word_key(*ids)
-                yield pa.RecordBatch.from_arrays([pa.array((_bin(key) % shards).astype(np.int32)), pa.array((key & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)), pa.array(cols[-1].astype(np.float32))], ["shard", "key", "value"])
+                shard = (_bin(key) % shards).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                shard, packed, value = shard[order], pack_keys(key[order]), cols[-1][order].astype("<f4")
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist() if len(shard) else [0]
+                spans = list(zip(cut, cut[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]], pa.int32()), *[pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (packed, value)]], ["shard", "keys", "vals"])
 
         return run
 
-    schema, parts = "shard int, key long, value float", []
+    schema, parts = "shard int, keys binary, vals binary", []
     parts.append(materialise(both.where(F.col("w") > END).select("w", (F.col("lw") + F.col("lp") - floor).alias("value")).mapInArrow(keyed(False), schema), "kn-model"))
     for c, x in zip(counts, contexts, strict=True):
         j = c.join(x.select("v", "total", weight), "v").join(lower, "w")
         p = (F.col("c") - _discount("c", d)) / F.col("total") + F.col("weight") * F.col("p1")
         parts.append(materialise(j.select("v", "w", (F.log(p) - F.log("weight") - F.log("p1")).alias("value")).mapInArrow(keyed(True), schema), "kn-model"))
         drop_shared(c)
-        release(trusted.sparkSession)
     for x in (*contexts, *follows, cont):
         drop_shared(x)
     return Model(union(parts), shards, floor, ends)
@@ -208,7 +227,7 @@ def _keys(docs: DataFrame, shards: int, group: int, groups: int, split: dict[int
                 mine = np.flatnonzero(shard % groups == group)
                 mine = mine[np.lexsort((doc[mine], shard[mine]))]
                 shard, doc, key = shard[mine], doc[mine], key[mine]
-                packed = (key & np.uint64((1 << KEY_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                packed = pack_keys(key)
                 ids, out = b.column(0).to_numpy(zero_copy_only=False), []
                 for s in np.unique(shard).tolist():
                     lo, hi = np.searchsorted(shard, [s, s + 1])
@@ -224,20 +243,18 @@ def _keys(docs: DataFrame, shards: int, group: int, groups: int, split: dict[int
 
 def _look_up(_: tuple, model: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
     """Sum of the values of each document's keys in one shard, for the blocks of one salt."""
-    order = np.argsort(model["key"].to_numpy(), kind="stable")
-    known, value = model["key"].to_numpy()[order], model["value"].to_numpy()[order].astype(float)
-    ids, sums = [], []
+    known = unpack_keys(b"".join(model["keys"]))
+    order = np.argsort(known)
+    known, value = known[order], np.frombuffer(b"".join(model["vals"]), "<f4")[order].astype(float)
+    ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
     for r in docs.itertuples():
-        raw = np.frombuffer(r.keys, np.uint8).reshape(-1, 5)
-        key = np.zeros((len(raw), 8), np.uint8)
-        key[:, :5] = raw
-        key = key.view("<i8").ravel()
+        key = unpack_keys(r.keys)
         at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
         got = np.where(known[at] == key, value[at], 0.0) if len(known) else np.zeros(len(key))
         ends = np.cumsum(r.lens)
         ids.append(r.ids)
         sums.append(np.add.reduceat(got, ends - r.lens))
-    return pd.DataFrame({"id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "part": np.concatenate(sums) if sums else np.zeros(0)})
+    return pd.DataFrame({"id": np.concatenate(ids), "part": np.concatenate(sums)})
 
 
 def score(docs: DataFrame, model: Model, groups: int = 4, split: dict[int, int] | None = None) -> DataFrame:
@@ -248,13 +265,12 @@ def score(docs: DataFrame, model: Model, groups: int = 4, split: dict[int, int]
     for g in range(groups):
         mine = model.slices.where(F.col("shard") % groups == g)
         if split:
-            mine = mine.join(F.broadcast(salted), "shard", "left").select("shard", F.coalesce("salt", F.lit(0)).alias("salt"), "key", "value")
+            mine = mine.join(F.broadcast(salted), "shard", "left").select("shard", F.coalesce("salt", F.lit(0)).alias("salt"), "keys", "vals")
         else:
-            mine = mine.select("shard", F.lit(0).alias("salt"), "key", "value")
+            mine = mine.select("shard", F.lit(0).alias("salt"), "keys", "vals")
         keys = _keys(docs, model.shards, g, groups, split)
         found = mine.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInPandas(_look_up, "id long, part double")
         parts.append(materialise(found.groupBy("id").agg(F.sum("part").alias("part")), "kn-scores"))
-        release(docs.sparkSession)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -264,15 +280,15 @@ def score(docs: DataFrame, model: Model, groups: int = 4, split: dict[int, int]
     return out
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``<id>, lang, n_tokens, perplexity, threshold, kept`` for each row.
 
-    The model is counted on all texts with a trusted id (one row of each) but every
+    The model is counted on all texts with a trusted id (once each) but every
     ``held_out``-th, by a hash of the id; the perplexities of those give each language's
-    threshold, their ``quantile``. A language without such texts takes that of all; without
+    threshold, their ``quantile``. Of several texts of a trusted id the first in order counts. A language without such texts takes that of all; without
     trusted text everything with words is kept. Texts without words have no perplexity and are
     not kept. Null languages are a language. Rows with equal ids are scored together; null ids are
-    judged like texts without words. An empty table gives no row.
+    judged like texts without words. Texts of any length are scored whole. An empty table gives no row.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     measured = materialise(_sizes(named), "kn-sizes")
@@ -281,8 +297,13 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     shards = min(BINS, max(8 * groups, groups * math.ceil(2 * words / SHARD_KEYS / groups)))
     chosen = trusted_ids.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     aside = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(held_out)) == 0
-    trusted = materialise(named.where("text is not null").join(chosen.where(~aside), "id", "left_semi").dropDuplicates(["id"]).select("text"), "kn-trusted")
-    release(docs.sparkSession)
+    learned = materialise(chosen.where(~aside), "kn-learned")
+    trusted = named.where("text is not null").join(F.broadcast(learned) if learned.count() <= BROADCAST_IDS else learned, "id", "left_semi")
+    if sizes.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        trusted = trusted.groupBy("id").agg(F.min("text").alias("text"))  # a repeated id counts once
+    trusted = trusted.select("text")
+    if learned.count() > BROADCAST_IDS:
+        trusted = materialise(trusted, "kn-trusted")
     model = train(trusted, shards, 2 * groups)
     logprob = score(named.where("id is not null").select("id", "text"), model, groups, salts(measured, shards))
     per_id = sizes.where("id is not null and words > 0").groupBy("id").agg(F.sum("words").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("lang").alias("lang"))
