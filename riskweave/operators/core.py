@@ -173,6 +173,13 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[st
     return found
 
 
+def _between(values: dict[int, float], place: float) -> float:
+    """The value at a place between two ranks; never outside of theirs, so that equal neighbours give
+    themselves and quantiles do not fall as their places rise."""
+    lo, hi = values[math.floor(place)], values[math.ceil(place)]
+    return lo if lo == hi else min(max(lo + (hi - lo) * (place - math.floor(place)), lo), hi)
+
+
 def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
     """Column to its quantiles, interpolated between neighbours; empty for a column without values."""
     if not probs:
@@ -181,8 +188,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], counts: dict[s
     counts = counts or x.agg(*[F.count(c).alias(c) for c in probs]).first().asDict()
     place = {c: [p * (counts[c] - 1) for p in ps] if counts[c] else [] for c, ps in probs.items()}
     got = order_statistics(x, {c: [k for p in ps for k in (math.floor(p), math.ceil(p))] for c, ps in place.items()}, counts)
-    between = lambda v, p: v[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * v[math.floor(p)] + (p - math.floor(p)) * v[math.ceil(p)]
-    return {c: [between(got[c], p) for p in ps] for c, ps in place.items()}
+    return {c: [_between(got[c], p) for p in ps] for c, ps in place.items()}
 
 
 def above(df: DataFrame, value_col: str, id_cols: list[str], quota: Callable[[int], int]) -> Column:

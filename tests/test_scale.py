@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import core, drift, split
+from riskweave.operators import binning, core, drift, split
 
 
 @pytest.fixture
@@ -29,6 +29,27 @@ def test_quantiles_by_narrowing_are_exact(spark, narrow):
     assert core.order_statistics(big, {"v": [0, 249, 499, 500]})["v"] == {0: 2**60, 249: 2**60 + 24, 499: 2**60 + 49}
 
 
+@pytest.mark.parametrize("limit", [60, 250_000])
+def test_tied_decimals_keep_their_bins(spark, monkeypatch, limit):
+    monkeypatch.setattr(core, "SORTED_VALUES", limit)
+    rng = np.random.default_rng(4)
+    pool = [round(float(x), 2) for x in rng.uniform(-999, 9999, 60)] + [-440.82]
+    values = [pool[i] for i in rng.integers(0, len(pool), 3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    probs = [k / 97 for k in range(98)]
+    got = core.exact_quantiles(df, {"v": probs})["v"]
+    ranked = sorted(values)
+    for p, q in zip(probs, got, strict=True):
+        at = p * (len(values) - 1)
+        lo, hi = ranked[math.floor(at)], ranked[math.ceil(at)]
+        assert q == lo if lo == hi else lo <= q <= hi
+    assert all(a <= b for a, b in zip(got, got[1:]))
+    edges = sorted(set(binning.quantiles(df, ["v"], [k / 20 for k in range(1, 20)])["v"]))
+    bins = {(r["v"], r["b"]) for r in df.select("v", binning.bin_column("v", edges).alias("b")).collect()}
+    whole = [q for q in edges if q in pool]
+    assert bins == {(v, 1 + sum(v > e for e in edges)) for v in values} and len(whole) > 10
+
+
 def brute(rows, quota):
     """Ids of the rows of greatest value, null last, ties by id."""
     return {r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:quota]}
