@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, licenses, mixing, packing, perplexity, rules, token_files, warc
+from . import ann, fingerprints, jaccard, langid, licenses, mixing, packing, perplexity, phrases, rules, spelling, token_files, warc
 from .common import new_path
 
 
@@ -69,6 +69,18 @@ def op10_perplexity(spark, sf_dir):
     return perplexity.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), drop_every=97, least_length=5, least_count=3, ratio=2)
+
+
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=30, longest=4, top=2000, covered=80)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
@@ -106,6 +118,29 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first
 """
 
 
+OP13_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, piece_text FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece_text FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT piece, lang, list_filter(string_split_regex(piece_text, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM s),
+g AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+a AS (SELECT lang, 1 AS k, w AS phrase FROM g UNION ALL SELECT lang, 2, w || ' ' || w2 FROM g WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM g WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM g WHERE w4 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS n FROM a GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+d AS (SELECT s.lang, s.phrase FROM (SELECT lang, a, array_to_string(list_slice(ws, b, b + m - 1), ' ') AS phrase FROM c, (VALUES (2), (3)) m(m), (VALUES (1), (2), (3)) b(b) WHERE m < k AND b + m - 1 <= k) s
+  JOIN c ON s.lang = c.lang AND s.phrase = c.phrase AND 100 * s.a >= 80 * c.a),
+x AS (SELECT c.lang, c.phrase, c.a, q.q, array_to_string(list_slice(ws, 1, q.q), ' ') AS first, array_to_string(list_slice(ws, q.q + 1, k), ' ') AS rest
+  FROM c, (VALUES (1), (2), (3)) q(q) WHERE q.q < k AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND d.phrase = c.phrase)),
+y AS (SELECT x.lang, x.phrase, x.a, x.q, l.n AS l, r.n AS r, ((2000000 * x.a::HUGEINT) // (l.n + r.n))::BIGINT AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, q) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z),
+n AS (SELECT lang, count(*)::BIGINT AS n FROM t GROUP BY lang)
+SELECT k.lang, rank, phrase, a, l, r, n, score FROM k JOIN n ON k.lang = n.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries cannot be told in SQL: tokenizers, hashing searches, language models and subset sums."""
-    return {"op3_quality_rules": OP3_SQL, "op6_warc": OP6_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_warc": OP6_SQL, "op13_collocations": OP13_SQL}
