@@ -27,11 +27,11 @@ from .common import HASH_BYTES, _powers, byte_values, drop_shared, materialise,
 #: Shards of the corpus: a support of 30 is lowered to about 5.
 SHARDS = 6
 #: n-grams that a task holds before it counts them and hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Hashes of one shard that one task brings together, about.
 BUCKET = 2_000_000
 #: Bytes of text whose candidates are counted together in a task.
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 2 << 20
 #: Greatest size of all shards' filters of frequent n-grams, which every task holds; beyond the
 #: n-grams that fill it, filters let more pass, which costs time but no result.
 FILTER_BYTES = 48 << 20
@@ -232,6 +232,8 @@ def frequent_phrases(docs: DataFrame, support: int = 30, longest: int = 4, id_co
         table = materialise(packed.groupBy("shard", "bucket").applyInPandas(frequent, "shard int, bucket long, n long, grams binary"), f"phrases-{k}")
         known = _filter(table, shards, bits)
         drop_shared(table)
+        if shared:
+            shared.unpersist()
         kept.append(known.any())
     candidates = spark.sparkContext.broadcast(kept)
 
