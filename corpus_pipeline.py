@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import jaccard, langid, mixing, packing, rules
-from riskweave.llm.common import drop_shared, materialise, n_words_col
+from riskweave.llm.common import drop_shared, materialise
 from riskweave.llm.queries import vocabulary
 
 #: A document whose most probable language is less sure than this is rejected.
@@ -63,12 +63,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; one that it does not take goes. Rows of
-    one id, source and length are taken alike; null texts, ids and sources are values like others."""
-    key, source, size, times, copy = _unused(docs, "mix_id", "mix_source", "mix_size", "times", "copy")
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size)).agg(F.max("times").cast("int").alias(times)).where(F.col(times) > 0)
-    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (n_words_col(F.col("text")) == F.col(size))
-    return docs.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
+    """Repeats each document as often as the mix takes it; one that it does not take goes. Rows alike
+    in all columns are one class: if it is taken unevenly, its first row stands for all of them, as
+    often as they are taken together. Null texts, ids and sources are values like others."""
+    row, key, times, rows, copy = _unused(docs, "row_hash", "mix_row", "times", "mix_rows", "copy")
+    hashed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    total = F.col("rows") * F.col("passes") + F.col("extra")
+    even = (F.col("extra") == 0) | (F.col("extra") == F.col("rows"))
+    classes = mixing.mix_classes(hashed, carry=F.col(row)).select(F.col("carry").alias(key), F.when(even, total / F.col("rows")).otherwise(total).cast("long").alias(times), even.alias(rows)).where(F.col(times) > 0)
+    classes = materialise(classes, "pipeline-mix")
+    taken = hashed.join(classes.where(rows), F.col(row) == F.col(key))
+    uneven = hashed.join(classes.where(~F.col(rows)), F.col(row) == F.col(key)).dropDuplicates([row])
+    return mixing.repeated(taken.unionAll(uneven), F.col(times), copy).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -75,8 +75,10 @@ def fit_counts(sizes, counts, target: float, max_passes: int, seed: int) -> tupl
                 added = True
     free = [i for i in order if more[i] < counts[i] and sizes[i] <= rest]
     at = {int(sizes[i]): i for i in free}
-    if rest > 0 and free:
-        for size, n in knapsack([int(sizes[i]) for i in free], [int(counts[i] - more[i]) for i in free], min(rest, 4 * DP_BUDGET)).items():
+    if rest > DP_BUDGET and free:  # what is left to take is longer than half the rest, so one of them at most fits
+        more[max(free, key=lambda i: sizes[i])] += 1
+    elif rest > 0 and free:
+        for size, n in knapsack([int(sizes[i]) for i in free], [int(counts[i] - more[i]) for i in free], rest).items():
             more[at[size]] += n
     return passes, more
 
@@ -100,19 +102,20 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes:
     return x.withColumn("target", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``<id>, size, source, source_size, target, times, taken``: how often the mix takes each row.
+def mix_classes(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Column | None = None) -> DataFrame:
+    """``id, size, source, source_size, target, carry, rows, passes, extra``: for each class of rows that
+    agree in id, source, size and ``carry`` (by default a hash of the text) their number, the passes
+    that take all of them, and how many are taken once more.
 
-    ``size`` counts words, null texts have 0; ``taken`` is ``times * size``. Null is a source of
-    its own, last. The choice depends on the seed, ids and sizes alone, so reruns agree; repeated
-    ids are rows of their own. An empty table gives no row. Only narrow rows move: lengths and
-    hashes, written once to the shared folder. A hot source or length is dealt over HASH_PARTS.
+    Rows of a class are alike, so they are counted, never ranked: a much repeated row is one row here.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words_col(F.col(text_col)).alias("size"))
-    rank_hash = F.xxhash64(F.lit(seed), F.col("id"))
-    rows = materialise(sized.withColumn("key", key).withColumn("h", rank_hash).withColumn("part", F.shiftrightunsigned("h", 54).cast("int")), "mixing-sizes")
-    parts = rows.groupBy("key", "source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
+    carried = F.xxhash64(F.col(text_col)) if carry is None else carry
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words_col(F.col(text_col)).alias("size"), carried.alias("carry"))
+    rank_hash = F.xxhash64(F.lit(seed), F.col("id"), F.col("carry"))
+    rows = sized.groupBy("id", "source", "size", "carry").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialise(rows.withColumn("key", key).withColumn("h", rank_hash).withColumn("part", F.shiftrightunsigned("h", 54).cast("int")), "mixing-sizes")
+    parts = rows.groupBy("key", "source", "size", "part").agg(F.sum("n").alias("n"))
     lengths = parts.groupBy("key", "source", "size").agg(F.sum("n").alias("n"))
     goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_passes).withColumn("key", key)
 
@@ -128,7 +131,32 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes: int
     quota = materialise(quota, "mixing-quota")
     running = F.sum("n").over(W.partitionBy("key", "size").orderBy("part")) - F.col("n")
     by_part = parts.withColumn("before", running).join(quota, ["key", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("before"))))
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("key", "size", "part").orderBy("h", "id")))
-    out = ranked.join(by_part.select("key", "size", "part", "source_size", "target", "passes", "quota"), ["key", "size", "part"])
-    times = (F.col("passes") + (F.col("rn") <= F.col("quota")).cast("long")).alias("times")
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", times, (times * F.col("size")).alias("taken"))
+    upto = F.sum("n").over(W.partitionBy("key", "size", "part").orderBy("h", "id", "carry").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    out = rows.withColumn("ahead", upto).join(by_part.select("key", "size", "part", "source_size", "target", "passes", "quota"), ["key", "size", "part"])
+    extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("ahead"))).cast("long")
+    return out.select("id", "size", "source", "source_size", "target", "carry", F.col("n").alias("rows"), "passes", extra.alias("extra"))
+
+
+def repeated(df: DataFrame, times: Column, number: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 1; in two steps, so that no long array is built."""
+    step = 1000
+    block = F.explode(F.sequence(F.lit(0), ((times - 1) / step).cast("long")))
+    blocks = df.where(times > 0).select("*", block.alias(number))
+    own = F.sequence(F.col(number) * step + 1, F.least((F.col(number) + 1) * step, times))
+    return blocks.select(*df.columns, F.explode(own).alias(number))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_passes: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``<id>, size, source, source_size, target, times, taken``: how often the mix takes each row.
+
+    ``size`` counts words, null texts have 0; ``taken`` is ``times * size``. Null is a source of
+    its own, last. The choice depends on the seed, ids, texts and sizes alone, so reruns agree;
+    repeated rows are rows of their own. An empty table gives no row. Texts are only measured and
+    hashed where they are read, however long; columns besides the three are not read, so their
+    names do not matter. Only narrow rows move, written once to the shared folder; a hot source or
+    length is dealt over HASH_PARTS, a null or hot id by the hash of its texts.
+    """
+    classes = mix_classes(docs, weights, share, max_passes, seed, id_col, text_col, source_col)
+    each = repeated(classes, F.col("rows"), "at")
+    times = (F.col("passes") + (F.col("at") <= F.col("extra")).cast("long")).alias("times")
+    return each.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", times, (times * F.col("size")).alias("taken"))
