@@ -254,6 +254,45 @@ def cumulate(df: DataFrame, by: str, values: dict[str, str], descending: bool =
     return out.withColumns({k: F.sum(v).over(within) + F.col(f"__{k}") for k, v in values.items()}).drop("__part", *[f"__{k}" for k in values])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+
+
+def cumulate_within(df: DataFrame, keys: list[str], by: str, values: dict[str, str], parts: int = 32) -> DataFrame:
+    """Running sums within each key, null a key too, in ascending order of a numeric column whose
+    values are distinct within a key.
+
+    As `cumulate`, for all keys in one plan and without a job of its own: each key's values are cut
+    at approximate quantiles of that key, (key, range) is summed by a task, and the sums of the
+    ranges before, at most ``parts`` rows a key, are added. A key that holds most rows is spread like
+    any other. Keys, not rows, are what a window sees at once.
+    """
+    own = unused(df.withColumns({k: F.lit(0) for k in values}), "range", "range_of", "cuts", *[f"{k}_of" for k in keys], *[f"{k}_before" for k in values])
+    part, part_of, cuts, names, befores = *own[:3], own[3 : 3 + len(keys)], own[3 + len(keys) :]
+    x = F.col(by).cast("double")
+    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(x, [i / parts for i in range(1, parts)], 40 * parts)).alias(cuts))
+    edges = edges.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], cuts)
+    match = F.lit(True)
+    for k, n in zip(keys, names):
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    dealt = df.join(edges, match).withColumn(part, F.size(F.filter(cuts, lambda c: c < x))).drop(cuts, *names)
+    totals = dealt.groupBy(*keys, part).agg(*[F.sum(v).alias(b) for b, v in zip(befores, values.values())])
+    ahead = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(part).alias(part_of), *[F.coalesce(F.sum(b).over(ahead), F.lit(0)).alias(b) for b in befores])
+    within = W.partitionBy(*keys, part).orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = dealt.withColumns({k: F.sum(v).over(within) for k, v in values.items()}).join(totals, match & (F.col(part) == F.col(part_of)))
+    return out.withColumns({k: F.col(k) + F.col(b) for k, b in zip(values, befores)}).drop(part, part_of, *befores, *names)
+
+
 def stack_datasets(**parts: DataFrame) -> DataFrame:
     """Rows of several data sets with their name in ``dataset``."""
     out = None

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
-import random
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -13,8 +15,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .split import cut_off, fold
-from .stats import auc
+from .core import unused
+from .optimize import maximise
+from .split import at_random, cut_off, fold
+from .stats import auc, curve_within
 
 FILL = -999
 #: Classifiers that a specification may name; anything else is refused.
@@ -82,10 +86,58 @@ def probability(df: DataFrame) -> F.Column:
     return 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
 
 
+#: Boosted trees, whose rounds can be scored one by one.
+BOOSTED = ("GBTClassifier",)
+
+
+def leaf_values(model) -> list[list[float]]:
+    """For each tree the predictions of its leaves from left to right, as Spark numbers them."""
+    return [[float(v) for v in re.findall(r"Predict: ([-\d.Ee+]+)", t.toDebugString)] for t in model.trees]
+
+
+def staged_margins(model, df: DataFrame, name: str = "margins") -> DataFrame:
+    """Add an array with the ensemble's margin after each of its rounds: running sums of the trees'
+    weighted leaves, in one pass over the rows."""
+    leaf = unused(df, "leaf")[0]
+    weights = list(model.treeWeights)
+    values = F.array(*[F.array(*[F.lit(w * v) for v in tree]) for w, tree in zip(weights, leaf_values(model), strict=True)])
+    with_leaves = model.copy().setLeafCol(leaf).transform(df)
+    terms = F.zip_with(values, vector_to_array(leaf), lambda v, at: F.get(v, at.cast("int")))
+    running = F.aggregate(terms, F.array(F.lit(0.0)), lambda done, t: F.concat(done, F.array(F.element_at(done, -1) + t)))
+    return with_leaves.withColumn(name, F.slice(running, 2, len(weights))).drop(*[c for c in with_leaves.columns if c not in df.columns])
+
+
+def staged_auc(scored: DataFrame, label: str, *keys: str, margins: str = "margins") -> DataFrame:
+    """``keys, round, auc``: AUC after every round (from 0) within keys, all of them in one grouped pass."""
+    long = scored.select(*keys, label, F.posexplode(margins).alias("round", "margin"))
+    return curve_within(long, [*keys, "round"], "margin", label).drop("ks")
+
+
+def best_round(aucs: list[float], patience: int | None) -> int:
+    """The round (from 0) of greatest AUC, the first of equal ones, among those before ``patience`` rounds
+    have gone by without a better one."""
+    best = 0
+    for r, a in enumerate(aucs):
+        if a is not None and (aucs[best] is None or a > aucs[best]):
+            best = r
+        elif patience is not None and r - best >= patience:
+            break
+    return best
+
+
 @dataclass
 class ModelTrainer:
     """Cross-validated classifier: optional covariate-shift weights, cut-off and balancing, folds
-    stratified by a hash, out-of-fold scores, fold AUCs and a final fit on all rows."""
+    stratified by a hash, out-of-fold scores, fold AUCs and a final fit on all rows.
+
+    ``test_size`` sets rows aside first (a share, by hash of the id; ``holdout`` has their scores).
+    ``early_stopping_rounds`` is for boosted trees: each fold scores its validation rows after every
+    round and takes the round of greatest AUC before so many rounds without a better one; its scores
+    are those of that round, and the final model has ``sum(best rounds) // folds + 1`` rounds. Without
+    folds (``folds=0``) the rows set aside find the round. ``fold_metrics`` has the AUCs of each fold's
+    training, validation and set-aside rows; ``report=False`` leaves out all but validation. A label
+    of one class among the rows to be scored gives an AUC of None.
+    """
 
     estimator: str = "LogisticRegression"
     params: dict = field(default_factory=dict)
@@ -95,10 +147,18 @@ class ModelTrainer:
     cut_off_ratio: float | None = None
     weight_col: str | None = None
     shift_thr: float | None = None
+    early_stopping_rounds: int | None = None
+    test_size: float = 0.0
+    report: bool = False
 
     def fit(self, train: DataFrame, label: str, id_col: str, columns: list[str] | None = None, test: DataFrame | None = None) -> ModelTrainer:
         self.label, self.id_col = label, id_col
         self.columns = columns or [c for c in train.columns if c not in (label, id_col, self.weight_col)]
+        boosted = ALIASES.get(self.estimator, self.estimator) in BOOSTED
+        if self.early_stopping_rounds is not None and not boosted:
+            raise ValueError(f"{self.estimator} has no rounds to stop at")
+        if not self.folds and not self.test_size:
+            raise ValueError("neither folds nor rows set aside to score")
         weight = self.weight_col
         if self.shift_thr is not None and test is not None:
             from .drift import detect_covariate_shift
@@ -112,19 +172,83 @@ class ModelTrainer:
             n, p = train.agg(F.count(F.lit(1)), F.sum(label)).first()
             up = F.when(F.col(label) == 1, (n - p) / max(p, 1)).otherwise(1.0)
             train, weight = train.withColumn("__b", up * (F.col(weight) if weight else 1.0)), "__b"
-        x = fold(assemble(train, self.columns), label, self.folds, [id_col], "__fold", self.seed).select(id_col, label, "features", "__fold", *([weight] if weight else [])).persist()
+        x = assemble(train, self.columns)
+        x = at_random(x, self.test_size, [id_col], self.seed).withColumnRenamed("is_test", "__out") if self.test_size else x.withColumn("__out", F.lit(False))
+        if self.folds:
+            folded = fold(x.where(~F.col("__out")), label, self.folds, [id_col], "__fold", self.seed)
+            x = folded.unionByName(x.where("__out").withColumn("__fold", F.lit(-1))) if self.test_size else folded
+        else:
+            x = x.withColumn("__fold", F.lit(-1))
+        x = x.select(id_col, label, "features", "__fold", "__out", *([weight] if weight else [])).persist()
+        rows = x.where(~F.col("__out"))
         est = make_estimator(self.estimator, self.params, label=label, weight=weight)
-        parts = None
-        for k in range(self.folds):
-            scored = est.fit(x.where(F.col("__fold") != k)).transform(x.where(F.col("__fold") == k))
-            p = scored.select(id_col, "__fold", F.col(label).alias("y_true"), probability(scored).alias("y_pred"))
-            parts = p if parts is None else parts.unionAll(p)
-        self.out_of_fold = parts.persist()
-        self.fold_auc = [auc(self.out_of_fold.where(F.col("__fold") == k), "y_pred", "y_true").first()[0] for k in range(self.folds)]
-        self.model = est.fit(x)
+        scored = [self._scored(est.fit(rows.where(F.col("__fold") != k)), x, k) for k in range(self.folds)]
+        if not self.folds:
+            scored = [self._scored(est.fit(rows), x, -1)]
+        self.best_rounds = self._best_rounds(scored) if self.early_stopping_rounds is not None else None
+        scored = [self._at_round(s, None if self.best_rounds is None else self.best_rounds[i]) for i, s in enumerate(scored)]
+        every = scored[0]
+        for s in scored[1:]:
+            every = every.unionAll(s)
+        every = every.persist()
+        role = F.col("__role")
+        kept = every if self.report else every.where(role == ("val" if self.folds else "test"))
+        found = {(r["__k"], r["__role"]): r["auc"] for r in curve_within(kept, ["__k", "__role"], "y_pred", "y_true").collect()}
+        self.fold_metrics = [{"fold": k} | {f"{name}_auc": found.get((k, name)) for name in ("train", "val", "test") if (k, name) in found} for k in (range(self.folds) if self.folds else [-1])]
+        self.fold_auc = [found.get((k, "val")) for k in range(self.folds)]
+        self.rounds = None
+        if self.best_rounds is not None:
+            self.rounds = sum(self.best_rounds) // len(self.best_rounds) + 1
+            est.set(est.getParam("maxIter"), self.rounds)
+        self.model = est.fit(rows)
+        self.holdout = self.transform(train.join(x.where("__out").select(id_col), id_col, "left_semi")) if self.test_size else None
+        validation = every.where(role == "val") if self.folds else every.where(role == "test")
+        self.out_of_fold = validation.select(id_col, F.col("__k").alias("__fold"), "y_true", "y_pred").persist()
+        self.out_of_fold.count()
+        every.unpersist()
         x.unpersist()
         return self
 
+    def _scored(self, model, x: DataFrame, k: int) -> DataFrame:
+        """Rows with their part in fold ``k`` and the model's probability, or its margins by round."""
+        role = F.when(F.col("__out"), "test").when(F.col("__fold") == k, "val").otherwise("train")
+        y = x.withColumns({"__role": role, "__k": F.lit(k)})
+        if not self.report:
+            y = y.where(F.col("__role") == ("val" if self.folds else "test"))
+        if self.early_stopping_rounds is not None:
+            return staged_margins(model, y)
+        z = model.transform(y)
+        return z.withColumn("y_pred", probability(z))
+
+    def _best_rounds(self, scored: list[DataFrame]) -> list[int]:
+        """The best round of each fold; the AUCs of all rounds and folds come from one grouped pass."""
+        role, every = "val" if self.folds else "test", None
+        for s in scored:
+            one = s.where(F.col("__role") == role).select("__k", self.label, "margins")
+            every = one if every is None else every.unionAll(one)
+        found = {(r["__k"], r["round"]): r["auc"] for r in staged_auc(every, self.label, "__k").collect()}
+        keys = range(self.folds) if self.folds else [-1]
+        self.staged = [[found.get((k, r)) for r in range(1 + max((b for a, b in found if a == k), default=0))] for k in keys]
+        return [best_round(a, self.early_stopping_rounds) for a in self.staged]
+
+    def _at_round(self, scored: DataFrame, rounds: int | None) -> DataFrame:
+        p = F.col("y_pred") if rounds is None else 1 / (1 + F.exp(-2 * F.get("margins", rounds)))
+        return scored.select(self.id_col, "__k", "__role", F.col(self.label).alias("y_true"), p.alias("y_pred"))
+
+    def summary(self) -> dict[str, dict[str, float]]:
+        """Mean and standard deviation of each AUC over the folds."""
+        out = {}
+        for name in ("train_auc", "val_auc", "test_auc"):
+            got = [m[name] for m in self.fold_metrics if m.get(name) is not None]
+            if got:
+                mean = sum(got) / len(got)
+                out[name] = {"mean": mean, "std": (sum((g - mean) ** 2 for g in got) / len(got)) ** 0.5}
+        return out
+
+    def close(self) -> None:
+        """Lets go of the out-of-fold scores that are kept in memory."""
+        self.out_of_fold.unpersist()
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``<id>, y_pred`` and, where the label is there, ``y_true``."""
         scored = self.model.transform(assemble(df, self.columns))
@@ -134,32 +258,31 @@ class ModelTrainer:
         return sorted(zip(self.columns, _vector(self.model), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def search(df: DataFrame, columns: list[str], label: str, id_col: str, estimator: str, space: dict[str, tuple[float, float]], trials: int = 10, folds: int = 3, seed: int = 7) -> tuple[dict, list[dict]]:
-    """Best parameters of a seeded search: half of the trials drawn over the box, the others drawn
-    around the best so far in a box that shrinks. Bounds of at least 1 give whole numbers.
+def _target(df: DataFrame, columns: list[str], label: str, id_col: str, estimator: str, folds: int, seed: int, test_size: float) -> Callable[[dict], float]:
+    """Parameters to the mean AUC of the folds, or with fewer than two folds of rows set aside."""
+
+    def score(params: dict) -> float:
+        m = ModelTrainer(estimator, params, folds, seed) if folds > 1 else ModelTrainer(estimator, params, 0, seed, test_size=test_size)
+        m.fit(df, label, id_col, columns)
+        m.close()
+        return sum(m.fold_auc) / len(m.fold_auc) if folds > 1 else m.fold_metrics[0]["test_auc"]
+
+    return score
+
+
+def search(df: DataFrame, columns: list[str], label: str, id_col: str, estimator: str, space: dict[str, tuple[float, float]], trials: int = 10, folds: int = 3, seed: int = 7, strategy: str = "gp", init_points: int | None = None, kappa: float = 2.576, batch: int = 2, test_size: float = 0.2) -> tuple[dict, list[dict]]:
+    """Best parameters of a seeded search over a box (`optimize.maximise`): trials are trained
+    ``batch`` at a time, side by side. Bounds of at least 1 give whole numbers. With fewer than two
+    folds the score is the AUC of a share of ``test_size`` set aside.
     Returns (best trial, all trials), each with ``params`` and ``target`` (mean AUC)."""
-    rng, done = random.Random(seed), []
-
-    def value(lo, hi, centre, width):
-        x = rng.uniform(lo, hi) if centre is None else min(hi, max(lo, centre + rng.uniform(-width, width) * (hi - lo)))
-        return int(x) if lo >= 1 else x
-
-    for t in range(trials):
-        best = max(done, key=lambda d: d["target"]) if done and t >= trials // 2 else None
-        width = 0.5 * (1 - t / trials)
-        params = {k: value(lo, hi, best and best["params"][k], width) for k, (lo, hi) in space.items()}
-        m = ModelTrainer(estimator, params, folds, seed).fit(df, label, id_col, columns)
-        done.append({"params": params, "target": sum(m.fold_auc) / len(m.fold_auc)})
-    return max(done, key=lambda d: d["target"]), done
+    target = _target(df, columns, label, id_col, estimator, folds, seed, test_size)
+    return maximise(target, space, trials, seed, strategy, init_points, kappa, batch, wrap=inheritable_thread_target(df.sparkSession))
 
 
 def grid(df: DataFrame, columns: list[str], label: str, id_col: str, estimator: str, space: dict[str, list], folds: int = 3, seed: int = 7) -> tuple[dict, list[dict]]:
     """As `search`, over all combinations of listed values."""
-    done = []
-    for values in itertools.product(*space.values()):
-        params = dict(zip(space, values, strict=True))
-        m = ModelTrainer(estimator, params, folds, seed).fit(df, label, id_col, columns)
-        done.append({"params": params, "target": sum(m.fold_auc) / len(m.fold_auc)})
+    target = _target(df, columns, label, id_col, estimator, folds, seed, 0.2)
+    done = [{"params": p, "target": target(p)} for p in (dict(zip(space, values, strict=True)) for values in itertools.product(*space.values()))]
     return max(done, key=lambda d: d["target"]), done
 
 
@@ -168,12 +291,14 @@ def single_feature_auc(df: DataFrame, columns: list[str], label: str, id_col: st
     it alone, both reflected to 0.5 or more."""
     from .stats import auc_table
 
-    out = None
+    trees = []
     for c in columns:
         t = ModelTrainer("DecisionTreeClassifier", {"max_depth": 5, "random_state": seed}, folds, seed).fit(df, label, id_col, [c])
-        a = auc(t.out_of_fold, "y_pred", "y_true").select(F.lit(c).alias("feature"), F.greatest("auc", 1 - F.col("auc")).alias("tree"))
-        out = a if out is None else out.unionAll(a)
-    return auc_table(df, columns, label).join(out, "feature").select("feature", F.greatest("auc", "tree").alias("auc"))
+        a = auc(t.out_of_fold, "y_pred", "y_true").first()[0]
+        t.close()
+        trees.append((c, None if a is None else float(max(a, 1 - a))))
+    out = df.sparkSession.createDataFrame(trees, "feature string, tree double")  # a row for each column
+    return auc_table(df, columns, label).join(F.broadcast(out), "feature").select("feature", F.greatest("auc", "tree").alias("auc"))
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .binning import bin_column, bin_labels, quantiles
-from .core import cumulate, distinct_counts, is_numeric, to_long
+from .core import cumulate, cumulate_within, distinct_counts, is_numeric, to_long, unused
 from .encoders import woe_table
 
 
@@ -167,13 +167,53 @@ def ks(df: DataFrame, score: str, label: str) -> DataFrame:
     return r.agg(F.max("gap").alias("ks"), F.max_by("score", F.struct("gap", "score")).alias("threshold"), F.max_by("share", F.struct("gap", "score")).alias("share"))
 
 
+def curve_within(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """``keys, auc, ks`` of a score within each key (null is a key), exact, ties counting half; null where
+    a key has one class.
+
+    Rows without score or label are left out. Scores are counted by key, and running sums are
+    distributed over ranges within keys (`core.cumulate_within`): one plan for all keys.
+    """
+    y = F.col(label).cast("long")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    s = rows.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
+    return _curves(s, keys, {"n": "n", "pos": "pos"})
+
+
+def _curves(s: DataFrame, keys: list[str], counts: dict[str, str]) -> DataFrame:
+    """``keys, auc, ks`` from counts by key and ``score``: ``n`` and ``pos`` for the AUC, and for the KS those of
+    ``counts``."""
+    sums = {"cn": "n", "cp": "pos"} | ({"kn": counts["n"], "kp": counts["pos"]} if counts != {"n": "n", "pos": "pos"} else {})
+    c = cumulate_within(s, keys, "score", sums)
+    kn, kp = (F.col("kn"), F.col("kp")) if "kn" in sums else (F.col("cn"), F.col("cp"))
+    neg = F.col("n") - F.col("pos")
+    wins = F.sum(F.col("pos").cast("double") * (F.col("cn") - F.col("cp") - neg + neg / 2))
+    all_n, all_pos, *names = unused(c, "all_n", "all_pos", *[f"{k}_of" for k in keys])
+    total = s.groupBy(*keys).agg(F.sum(counts["n"]).alias(all_n), F.sum(counts["pos"]).alias(all_pos))
+    match = F.lit(True)
+    for k, o in zip(keys, names):
+        match = match & F.col(k).eqNullSafe(F.col(o))
+    total = total.select(*[F.col(k).alias(o) for k, o in zip(keys, names)], all_n, all_pos)
+    gap = F.abs(F.try_divide(kp, F.col(all_pos)) - F.try_divide(kn - kp, F.col(all_n) - F.col(all_pos)))
+    return c.join(total, match).groupBy(*keys).agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum(neg)).alias("auc"), F.max(gap).alias("ks"))
+
+
+def feature_curves(df: DataFrame, columns: list[str], labels: list[str], *keys: str, missing: float = -999) -> DataFrame:
+    """``keys, label, feature, auc, ks`` of every column for every label within every key, in one plan:
+    AUC with missing values filled and reflected to 0.5 or more, KS of the values there are."""
+    cells = [F.struct(F.lit(y).alias("label"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col(y).cast("long").alias("y")) for y in labels for c in columns]
+    label, feature, value, y = unused(df.select(*keys), "label", "feature", "value", "y")
+    long = df.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, *[F.col(f"cell.{n}").alias(o) for n, o in zip(("label", "feature", "value", "y"), (label, feature, value, y))])
+    filled = long.where(F.col(y).isNotNull()).withColumn("there", F.col(value).isNotNull().cast("long"))
+    s = filled.groupBy(*keys, label, feature, F.coalesce(value, F.lit(float(missing))).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"), F.sum("there").alias("vn"), F.sum(F.col("there") * F.col(y)).alias("vp"))
+    out = _curves(s, [*keys, label, feature], {"n": "vn", "pos": "vp"})
+    return out.select(*keys, label, feature, F.greatest("auc", 1 - F.col("auc")).alias("auc"), "ks")
+
+
 def ks_statistic(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """``feature, ks``: two-sample statistic of each column between the classes, either sign."""
-    out = None
-    for c in columns:
-        one = roc_points(df, c, label).agg(F.max(F.abs(F.col("tpr") - F.col("fpr"))).alias("ks")).select(F.lit(c).alias("feature"), "ks")
-        out = one if out is None else out.unionAll(one)
-    return out
+    """``feature, ks``: two-sample statistic of each column between the classes, either sign; all
+    columns in one plan."""
+    return feature_curves(df, columns, [label]).select("feature", "ks")
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -186,13 +226,9 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def auc_table(df: DataFrame, columns: list[str], label: str, missing: float = -999) -> DataFrame:
-    """``feature, auc``: raw AUC of each column with missing values filled, reflected to 0.5 or more."""
-    out = None
-    for c in columns:
-        a = auc(df.select(label, F.coalesce(F.col(c).cast("double"), F.lit(float(missing))).alias(c)), c, label)
-        one = a.select(F.lit(c).alias("feature"), F.greatest("auc", 1 - F.col("auc")).alias("auc"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    """``feature, auc``: raw AUC of each column with missing values filled, reflected to 0.5 or more;
+    all columns in one plan."""
+    return feature_curves(df, columns, [label], missing=missing).select("feature", "auc")
 
 
 def lift_curve(df: DataFrame, score: str, label: str, cuts: int = 100) -> DataFrame:
@@ -296,18 +332,21 @@ def fold_summary(df: DataFrame, metric: str) -> DataFrame:
 def feature_evaluation(df: DataFrame, columns: list[str], label: str | list[str], hue: str | None = None, bins: int | None = None) -> DataFrame:
     """``(hue,) feature, auc, ks`` of numeric columns, for each value of ``hue`` if given. Several
     labels give a column ``label``; with ``bins`` there is ``iv`` as well, over quantile bins that are
-    fitted on all rows."""
+    fitted on all rows. One plan for all columns, labels and values of ``hue``; values of ``hue`` never
+    come to the driver."""
     from .binning import ContBinningEncoder
 
-    labels, out = [label] if isinstance(label, str) else list(label), None
-    binner = ContBinningEncoder(bins, "qcut", columns=list(columns)).fit(df) if bins else None
-    for y in labels:
-        for value in [r[0] for r in df.select(hue).distinct().collect()] if hue else [None]:
-            part = df.where(F.col(hue).eqNullSafe(F.lit(value))) if hue else df
-            one = auc_table(part, columns, y).join(ks_statistic(part, columns, y), "feature")
-            if binner:
-                one = one.join(binned_woe_report(part, binner, y).groupBy("feature").agg(F.first("IV").alias("iv")), "feature", "left")
-            one = one.withColumn(hue, F.lit(value)) if hue else one
-            one = one.withColumn("label", F.lit(y)) if not isinstance(label, str) else one
-            out = one if out is None else out.unionByName(one)
-    return out
+    labels, keys = [label] if isinstance(label, str) else list(label), [hue] if hue else []
+    out = feature_curves(df, columns, labels, *keys)
+    if bins:
+        binner, iv = ContBinningEncoder(bins, "qcut", columns=list(columns)).fit(df), None
+        for y in labels:
+            one = binned_woe_report(df, binner, y, *keys).groupBy(*keys, "feature").agg(F.first("IV").alias("iv")).withColumn("label", F.lit(y))
+            iv = one if iv is None else iv.unionByName(one)
+        at = [*keys, "feature", "label"]
+        of = dict(zip(at, unused(out, *[f"{k}_of" for k in at])))
+        match = F.lit(True)
+        for k, o in of.items():
+            match = match & F.col(k).eqNullSafe(F.col(o))
+        out = out.join(iv.withColumnsRenamed(of), match, "left").drop(*of.values())
+    return out.drop("label") if isinstance(label, str) else out

@@ -19,7 +19,7 @@ from .spec import REGISTRY
 #: Classes that other ones hold, beside those that specifications may name.
 PARTS = (encoders.LabelEncoder, encoders.ContImputerEncoder, encoders.WOEEncoder, binning.ContBinningEncoder, binning.CateBinningEncoder, binning.BinningEncoder, binning.HistogramEncoder, encoders.IndexValueEncoder, models.ModelTrainer, select.QualityFilter)
 #: What is not needed once fitted.
-DROPPED = {"assembler", "out_of_fold", "levels_table"}
+DROPPED = {"assembler", "out_of_fold", "holdout", "levels_table"}
 
 
 def classes() -> dict[str, type]:

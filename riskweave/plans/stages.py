@@ -144,24 +144,34 @@ def _numeric(df: DataFrame, spec: StageSpec) -> list[str]:
 
 @stage("optimizer")
 def optimizer_ui(spark, spec, folder):
-    """Search of parameters over ``st.ranges`` for ``st.method``."""
+    """Search of parameters over ``st.ranges`` for ``st.method``; ``st.gp_params`` may have ``init_points``,
+    ``n_iter`` (then all trials are their sum) and ``kappa``."""
     (train,) = _read(spark, spec, "train")
-    s = spec.st
-    best, trials = models.search(train, _numeric(train, spec), spec.label, _ids(spec)[0], s["method"], {k: tuple(v) for k, v in s["ranges"].items()}, s.get("trials", 6), s.get("folds", 3))
+    s, g = spec.st, spec.st.get("gp_params") or {}
+    first = g.get("init_points")
+    trials = g["n_iter"] + (5 if first is None else first) if "n_iter" in g else s.get("trials", 6)
+    best, trials = models.search(train, _numeric(train, spec), spec.label, _ids(spec)[0], s["method"], {k: tuple(v) for k, v in s["ranges"].items()}, trials, s.get("folds", 3), s.get("seed", 7), s.get("strategy", "gp"), first, g.get("kappa", 2.576), s.get("parallelism", 2), s.get("test_size", 0.2))
     return _result(folder, spec, {"trials": trials}, {"best": best})
 
 
 @stage("trainer")
 def trainer_ui(spark, spec, folder):
-    """Cross-validated model of ``st.method``; scores of train (out of fold) and test, model and report."""
+    """Cross-validated model of ``st.method``; scores of train (out of fold) and test, model and report.
+    ``st`` may ask for ``test_size`` rows set aside and, for boosted trees, ``early_stopping_rounds``,
+    there or among the parameters."""
     train, test = _read(spark, spec, "train", "test")
     s, idc = spec.st, _ids(spec)[0]
-    t = models.ModelTrainer(s["method"], s.get("params", {}), s.get("folds", 5), s.get("seed", 7), s.get("oversample", False)).fit(train, spec.label, idc, _numeric(train, spec))
+    params = {k: v for k, v in s.get("params", {}).items() if k not in ("early_stopping_rounds", "eval_metric", "verbose")}
+    stop = s.get("early_stopping_rounds", s.get("params", {}).get("early_stopping_rounds"))
+    t = models.ModelTrainer(s["method"], params, s.get("folds", 5), s.get("seed", 7), s.get("oversample", False), early_stopping_rounds=stop, test_size=s.get("test_size", 0.0), report=s.get("cv_report", True)).fit(train, spec.label, idc, _numeric(train, spec))
     persist.save(t, folder.meta, spark)
     scored = {"train": t.out_of_fold.drop("__fold"), "test": t.transform(test) if test is not None else None}
     result = _result(folder, spec, {}, {"model": folder.meta, "path": folder.meta, "columns": t.columns}, **scored)
     edges = stats.score_edges(scored["train"], "y_pred")
-    result["report"] = {"fold_auc": t.fold_auc} | {k: {"auc": stats.auc(d, "y_pred", "y_true").first()[0], "ks": stats.ks(d, "y_pred", "y_true").first()[0], "bands": table_to_dicts(stats.score_bands(d, "y_pred", "y_true", edges).orderBy("band"))} for k, d in scored.items() if d is not None}
+    more = {"fold_auc": t.fold_auc, "folds": t.fold_metrics, "summary": t.summary(), "best_rounds": t.best_rounds, "rounds": t.rounds}
+    if t.holdout is not None:
+        more["holdout"] = table_to_dicts(stats.curve_within(t.holdout, [], "y_pred", "y_true"))[0]
+    result["report"] = more | {k: {"auc": stats.auc(d, "y_pred", "y_true").first()[0], "ks": stats.ks(d, "y_pred", "y_true").first()[0], "bands": table_to_dicts(stats.score_bands(d, "y_pred", "y_true", edges).orderBy("band"))} for k, d in scored.items() if d is not None}
     return result
 
 
