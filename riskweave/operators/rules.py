@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binning import quantiles
-from .core import distinct_counts
+from .core import distinct_counts, to_long, unused
 from .encoders import FriedScale
 from .models import assemble, probability
 from .stats import rule_metrics
@@ -115,7 +115,7 @@ class SkopeRules:
 
 @dataclass
 class Ripper:
-    """Rules grown and pruned one after the other (RIPPER).
+    """Rules grown and pruned one after the other, then rewritten in ``rounds`` (RIPPER-k).
 
     Candidate conditions are ``=`` and ``!=`` on discrete columns and ``>=`` and ``<=`` at deciles on
     continuous ones; each step counts the classes under all candidates in one aggregation. A rule
@@ -124,6 +124,11 @@ class Ripper:
     left; it is pruned on the rest by (p - n) / (p + n). Rules end when too few positives are left
     or the description grows beyond the least by 64 bits. ``max_rules`` and ``max_conditions`` end
     them earlier, where given.
+
+    In a round each rule in turn is revised: it grows on over all rows that the other rules leave. A
+    replacement, grown anew on the growing share of all rows and pruned so that all rules together
+    are best, takes its place if its description is shorter. What another rule says already goes.
+    Counts of the final rules are of the rows that the rules before leave.
     """
 
     least_positives: int = 100
@@ -133,19 +138,24 @@ class Ripper:
     seed: int = 7
     prune_share: float = 0.2
     least_gain: float = 0.0
+    rounds: int = 2
     rules: list[dict] = field(default_factory=list)
 
     def candidates(self, df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
-        """``(feature, condition)`` pairs."""
-        n, out = distinct_counts(df, columns), []
+        """``(feature, condition)`` pairs; levels of all discrete columns come in one job, deciles of all
+        continuous ones by one narrowing."""
+        n = distinct_counts(df, columns)
+        few, many = [c for c in columns if n[c] <= self.discrete], [c for c in columns if n[c] > self.discrete]
+        levels: dict[str, list[str]] = {c: [] for c in few}
+        for r in to_long(df, few).where("value is not null").distinct().collect() if few else []:  # at most ``discrete`` a column
+            levels[r["feature"]].append(r["value"])
+        edges, out = quantiles(df, many, [i / 10 for i in range(1, 10)]) if many else {}, []
         for c in columns:
-            if n[c] <= self.discrete:
-                for r in df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").collect():
-                    v = r["v"].replace("\\", "\\\\").replace("'", "\\'")
-                    out += [(c, f"cast(`{c}` as string) = '{v}'"), (c, f"cast(`{c}` as string) != '{v}'")]
-            else:
-                for q in sorted(set(quantiles(df, [c], [i / 10 for i in range(1, 10)])[c])):
-                    out += [(c, f"`{c}` >= {q}D"), (c, f"`{c}` <= {q}D")]
+            for v in sorted(levels.get(c, [])):
+                v = v.replace("\\", "\\\\").replace("'", "\\'")
+                out += [(c, f"cast(`{c}` as string) = '{v}'"), (c, f"cast(`{c}` as string) != '{v}'")]
+            for q in sorted(set(edges.get(c, []))):
+                out += [(c, f"`{c}` >= {q}D"), (c, f"`{c}` <= {q}D")]
         return out
 
     @staticmethod
@@ -154,54 +164,116 @@ class Ripper:
         r = df.agg(*[e for c in conditions for e in (F.sum(F.when(F.expr(c), y).otherwise(0)), F.sum(F.when(F.expr(c), 1 - y).otherwise(0)))]).first()
         return [(int(r[2 * i] or 0), int(r[2 * i + 1] or 0)) for i in range(len(conditions))]
 
+    def _grow(self, part: DataFrame, label: str, begin: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        """A rule, as (feature, condition) pairs, grown further on some rows."""
+        rule = list(begin)
+        if rule:
+            part = part.where(F.expr(_text(rule)))
+        p0, n0 = self._counts(part, label, ["true"])[0]
+        while (n0 or not rule) and (self.max_conditions is None or len(rule) < self.max_conditions):
+            used = {f for f, _ in rule}
+            free = [(f, c) for f, c in self.conditions if f not in used]
+            counts = self._counts(part, label, [c for _, c in free]) if free and p0 + n0 else []
+            gain = [(math.log10(p) * (p / (p + n) - p0 / (p0 + n0) - self.least_gain) if p >= max(self.least_positives, 1) else -math.inf, c, f, p, n) for (f, c), (p, n) in zip(free, counts, strict=False)]
+            best = max(gain, key=lambda g: (g[0], g[1]), default=(0,))
+            if best[0] <= 0:
+                break
+            rule.append((best[2], best[1]))
+            part, p0, n0 = part.where(F.expr(best[1])), best[3], best[4]
+        return rule
+
+    def _prune(self, part: DataFrame, label: str, rule: list[tuple[str, str]], others: list[list[tuple[str, str]]] = ()) -> list[tuple[str, str]]:
+        """The beginning of a rule that has, together with other rules, the best (p - n) / (p + n)."""
+        if len(rule) < 2:
+            return rule
+        beside = "".join(f" OR ({_text(o)})" for o in others)
+        counts = self._counts(part, label, [f"({_text(rule[: i + 1])}){beside}" for i in range(len(rule))])
+        if counts[-1] == (0, 0):
+            return rule
+        value = [(p - n) / (p + n) if p + n else -1.0 for p, n in counts]
+        return rule[: 1 + max(range(len(rule)), key=lambda i: (value[i], i))]
+
+    def description(self, rule: list[tuple[str, str]]) -> int:
+        """Bits of a rule of k conditions out of all candidates, halved as some of them say the same."""
+        k, n = len(rule), len(self.conditions)
+        if not k or k >= n:
+            return 0
+        return int(0.5 * (math.log2(k) + k * math.log2(n / k) + (n - k) * math.log2(n / (n - k))))
+
     def fit(self, df: DataFrame, label: str, columns: list[str], id_col: str) -> Ripper:
         grow = F.pmod(F.xxhash64(F.lit(self.seed), id_col), F.lit(1000)) >= int(1000 * self.prune_share)
-        base = df.select(id_col, label, *columns).withColumn("__grow", grow).persist()
-        conditions, left, self.rules, shortest = self.candidates(base, columns), base, [], None
-        while self.max_rules is None or len(self.rules) < self.max_rules:
-            rule, used, (p0, n0) = [], set(), self._counts(left.where("__grow"), label, ["true"])[0]
-            if p0 < self.least_positives:
+        self._part, *_ = unused(df, "part")
+        base = df.select(id_col, label, *columns).withColumn(self._part, grow).persist()
+        self.conditions = self.candidates(base, columns)
+        found = self._learn(base, label)
+        for _ in range(self.rounds):
+            better = self._rewrite(base, label, found)
+            if better == found:
+                break
+            found = better
+        self.rules, left = [], base
+        for rule in found:
+            p, n = self._counts(left, label, [_text(rule)])[0]
+            self.rules.append({"rule": _text(rule), "pos": p, "neg": n})
+            left = left.where(~F.coalesce(F.expr(_text(rule)), F.lit(False)))
+        base.unpersist()
+        return self
+
+    def _learn(self, base: DataFrame, label: str) -> list[list[tuple[str, str]]]:
+        found, left, shortest = [], base, None
+        while self.max_rules is None or len(found) < self.max_rules:
+            grown = left.where(F.col(self._part))
+            if self._counts(grown, label, ["true"])[0][0] < self.least_positives:
                 break
-            part = left.where("__grow")
-            while n0 and (self.max_conditions is None or len(rule) < self.max_conditions):
-                free = [(f, c) for f, c in conditions if f not in used]
-                counts = self._counts(part, label, [c for _, c in free]) if free else []
-                gain = [(math.log10(p) * (p / (p + n) - p0 / (p0 + n0) - self.least_gain) if p >= max(self.least_positives, 1) else -math.inf, c, f, p, n) for (f, c), (p, n) in zip(free, counts, strict=True)]
-                best = max(gain, key=lambda g: (g[0], g[1]), default=(0,))
-                if best[0] <= 0:
-                    break
-                rule.append(best[1])
-                used.add(best[2])
-                part, p0, n0 = part.where(F.expr(best[1])), best[3], best[4]
+            rule = self._grow(grown, label, [])
             if not rule:
                 break
-            cuts = [" AND ".join(rule[: i + 1]) for i in range(len(rule))]
-            value = [(p - n) / (p + n) if p + n else -1.0 for p, n in self._counts(left.where("NOT __grow"), label, cuts)]
-            text = cuts[max(range(len(cuts)), key=lambda i: (value[i], -i))]
-            p, n = self._counts(left, label, [text])[0]
-            if p <= n and self.rules:
+            rule = self._prune(left.where(~F.col(self._part)), label, rule)
+            p, n = self._counts(left, label, [_text(rule)])[0]
+            if p <= n and found:
                 break
-            self.rules.append({"rule": text, "pos": p, "neg": n})
-            left = left.where(~F.coalesce(F.expr(text), F.lit(False)))
-            bits = self._bits(base, label, len(conditions))
+            found.append(rule)
+            left = left.where(~F.coalesce(F.expr(_text(rule)), F.lit(False)))
+            bits = self._bits(base, label, found)
             shortest = bits if shortest is None else min(shortest, bits)
             if bits > shortest + 64:
-                self.rules.pop()
+                found.pop()
                 break
-        base.unpersist()
-        return self
+        return found
+
+    def _rewrite(self, base: DataFrame, label: str, rules: list[list[tuple[str, str]]]) -> list[list[tuple[str, str]]]:
+        """One round: every rule revised or replaced."""
+        anew = self._grow(base.where(F.col(self._part)), label, []) if rules else []
+        out = list(rules)
+        i = 0
+        while i < len(out):
+            others = out[:i] + out[i + 1 :]
+            covered = " OR ".join(f"({_text(o)})" for o in others) or "false"
+            revised = self._grow(base.where(~F.coalesce(F.expr(covered), F.lit(False))), label, out[i])
+            replaced = self._prune(base.where(~F.col(self._part)), label, anew, others)
+            rule = replaced if replaced and self.description(replaced) < self.description(revised) else revised
+            if any(set(rule) == set(o) for o in others):
+                out.pop(i)
+            else:
+                out[i] = rule
+                i += 1
+        return out
 
-    def _bits(self, base: DataFrame, label: str, conditions: int) -> float:
-        covered = " OR ".join(f"({r['rule']})" for r in self.rules)
-        p, n = self._counts(base, label, [covered])[0]
-        all_p, all_n = self._counts(base, label, ["true"])[0]
+    def _bits(self, base: DataFrame, label: str, rules: list[list[tuple[str, str]]]) -> float:
+        covered = " OR ".join(f"({_text(r)})" for r in rules)
+        (p, n), (all_p, all_n) = self._counts(base, label, [covered, "true"])
         entropy = lambda k, m: 0.0 if k in (0, m) or not m else m * -(k / m * math.log2(k / m) + (1 - k / m) * math.log2(1 - k / m))
-        theory = sum(0.5 * (1 + r["rule"].count(" AND ")) * math.log2(max(conditions, 2)) for r in self.rules)
+        theory = sum(0.5 * (1 + len(r)) * math.log2(max(len(self.conditions), 2)) for r in rules)
         return theory + entropy(n, p + n) + entropy(all_p - p, all_p + all_n - p - n)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``y_pred``: precision of the first rule that holds, else 0."""
         out = F.lit(0.0)
         for r in reversed(self.rules):
-            out = F.when(F.coalesce(F.expr(r["rule"]), F.lit(False)), r["pos"] / (r["pos"] + r["neg"])).otherwise(out)
+            share = r["pos"] / (r["pos"] + r["neg"]) if r["pos"] + r["neg"] else 0.0
+            out = F.when(F.coalesce(F.expr(r["rule"]), F.lit(False)), share).otherwise(out)
         return df.withColumn("y_pred", out)
+
+
+def _text(rule: list[tuple[str, str]]) -> str:
+    return " AND ".join(c for _, c in rule)
