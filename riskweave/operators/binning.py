@@ -158,8 +158,9 @@ def monotonic(df: DataFrame, columns: list[str], label: str, start: int = 8) ->
     return {c: out.get(c, []) for c in columns}
 
 
-def cut_points(df: DataFrame, columns: list[str], method: str = "dt", bins: int = 10, label: str | None = None, exact: bool = True) -> dict[str, list[float]]:
-    """Inner cut points by ``cut``, ``qcut``, ``dt`` or ``monot``."""
+def cut_points(df: DataFrame, columns: list[str], method: str = "dt", bins: int = 10, label: str | None = None, exact: bool = True, tree: dict | None = None) -> dict[str, list[float]]:
+    """Inner cut points by ``cut``, ``qcut``, ``dt`` or ``monot``. ``tree`` has the ``depth``, ``least`` and
+    ``quantise`` of `decision_tree`; ``{"quantise": None}`` grows on the values themselves."""
     if not columns:
         return {}
     if method == "cut":
@@ -169,7 +170,7 @@ def cut_points(df: DataFrame, columns: list[str], method: str = "dt", bins: int
     if method in ("dt", "monot") and label is None:
         raise ValueError(f"{method} needs a label")
     if method == "dt":
-        return decision_tree(df, columns, label, bins)
+        return decision_tree(df, columns, label, bins, **(tree or {}))
     if method == "monot":
         return monotonic(df, columns, label)
     raise ValueError(f"unknown binning method {method!r}")
@@ -187,11 +188,12 @@ class ContBinningEncoder:
     base: int = 1
     missing: int | None = 0
     exact: bool = True
+    tree: dict | None = None
 
     def fit(self, df: DataFrame, label: str | None = None) -> ContBinningEncoder:
         if self.columns is None:
             self.columns = [c for c in infer_kinds(df, self.cate_threshold).cont if c != label]
-        self.cuts = cut_points(df, self.columns, self.method, self.bins, label, self.exact)
+        self.cuts = cut_points(df, self.columns, self.method, self.bins, label, self.exact, self.tree)
         return self
 
     @property
@@ -210,6 +212,7 @@ class CateBinningEncoder:
     bins: int = 10
     suffix: str = "_woebin"
     columns: list[str] | None = None
+    tree: dict | None = None
 
     def fit(self, df: DataFrame, label: str) -> CateBinningEncoder:
         from .core import distinct_counts
@@ -221,7 +224,7 @@ class CateBinningEncoder:
         many, few = [c for c in self.columns if n[c] > self.bins], [c for c in self.columns if n[c] <= self.bins]
         self.codes = LabelEncoder(columns=few, suffix=self.suffix).fit(df)
         self.woe = WOEEncoder(columns=many, suffix="__woe").fit(df, label)
-        self.binner = ContBinningEncoder(self.bins, "dt", suffix="", columns=[f"{c}__woe" for c in many]).fit(self.woe.transform(df), label) if many else None
+        self.binner = ContBinningEncoder(self.bins, "dt", suffix="", columns=[f"{c}__woe" for c in many], tree=self.tree).fit(self.woe.transform(df), label) if many else None
         self.many = many
         return self
 
@@ -241,11 +244,12 @@ class BinningEncoder:
     cont_bins: int = 20
     method: str = "dt"
     suffix: str = "_bin"
+    tree: dict | None = None
 
     def fit(self, df: DataFrame, label: str, columns: list[str] | None = None) -> BinningEncoder:
         kinds = infer_kinds(df, self.cate_threshold, [c for c in columns or df.columns if c != label])
-        self.cont = ContBinningEncoder(self.cont_bins, self.method, self.suffix, columns=kinds.cont).fit(df, label)
-        self.cate = CateBinningEncoder(self.cate_bins, self.suffix, kinds.cate).fit(df, label)
+        self.cont = ContBinningEncoder(self.cont_bins, self.method, self.suffix, columns=kinds.cont, tree=self.tree).fit(df, label)
+        self.cate = CateBinningEncoder(self.cate_bins, self.suffix, kinds.cate, self.tree).fit(df, label)
         self.columns = [*kinds.cate, *kinds.cont]
         return self
 
@@ -262,11 +266,12 @@ class BinningWOEEncoder:
     cont_bins: int = 10
     method: str = "dt"
     suffix: str = "_binwoe"
+    tree: dict | None = None
 
     def fit(self, df: DataFrame, label: str, columns: list[str] | None = None) -> BinningWOEEncoder:
         from .core import distinct_counts
 
-        self.binner = BinningEncoder(self.cate_threshold, self.cate_bins, self.cont_bins, self.method, "__code").fit(df, label, columns)
+        self.binner = BinningEncoder(self.cate_threshold, self.cate_bins, self.cont_bins, self.method, "__code", self.tree).fit(df, label, columns)
         coded = self.binner.transform(df)
         codes = [f"{c}__code" for c in self.binner.columns]
         n = distinct_counts(coded, codes)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .core import declare, exact_quantiles, infer_kinds, lookup, require_columns, to_long
+from .core import declare, exact_quantiles, infer_kinds, lookup, require_columns, to_long, unused
 
 #: Bounds that stand for an infinite weight of evidence.
 WOE_MIN, WOE_MAX = -4.6, 4.6
@@ -25,17 +25,21 @@ def woe_expr(pos, neg, all_pos, all_neg, woe_min: float = WOE_MIN, woe_max: floa
 def woe_table(df: DataFrame, columns: list[str], label: str, *keys: str, woe_min: float = WOE_MIN, woe_max: float = WOE_MAX) -> DataFrame:
     """``keys, feature, level, n, pos, neg, woe, iv`` for each level; null is a level.
 
-    All columns share one shuffle on (keys, feature, level); totals are sums over its small result.
+    All columns share one shuffle on (keys, feature, level); totals, a row for each feature, are summed
+    from its result and joined.
     """
     y = F.col(label).cast("long")
     cells = to_long(df.where(F.col(label).isNotNull()), columns, label, *keys)
     g = cells.groupBy(*keys, "feature", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
     g = g.withColumn("neg", F.col("n") - F.col("pos"))
-    all_of = W.partitionBy(*keys, "feature")
-    tp, tn = F.sum("pos").over(all_of), F.sum("neg").over(all_of)
-    woe = woe_expr(F.col("pos"), F.col("neg"), F.col("tp"), F.col("tn"), woe_min, woe_max)
-    out = g.withColumns({"tp": tp, "tn": tn}).withColumn("woe", woe)
-    return out.withColumn("iv", (F.try_divide("pos", "tp") - F.try_divide("neg", "tn")) * F.col("woe")).drop("tp", "tn")
+    tp, tn, *names = unused(g, "tp", "tn", *[f"{k}_of" for k in (*keys, "feature")])
+    totals = g.groupBy(*[F.col(k).alias(o) for k, o in zip((*keys, "feature"), names)]).agg(F.sum("pos").alias(tp), F.sum("neg").alias(tn))
+    match = F.lit(True)
+    for k, o in zip((*keys, "feature"), names):
+        match = match & F.col(k).eqNullSafe(F.col(o))
+    woe = woe_expr(F.col("pos"), F.col("neg"), F.col(tp), F.col(tn), woe_min, woe_max)
+    out = g.join(totals, match).withColumn("woe", woe)
+    return out.withColumn("iv", (F.try_divide(F.col("pos"), F.col(tp)) - F.try_divide(F.col("neg"), F.col(tn))) * F.col("woe")).drop(tp, tn, *names)
 
 
 def information_value(df: DataFrame, columns: list[str], label: str, *keys: str) -> DataFrame:
@@ -118,14 +122,28 @@ class CountEncoder(_LevelMap):
         if self.columns is None:
             self.columns = [c for c in infer_kinds(df).cate if c != label]
         g = to_long(df, self.columns).groupBy("feature", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-        total = F.sum("n").over(W.partitionBy("feature"))
-        self._keep(g.withColumn("value", F.col("n") / total if self.mode == "ratio" else F.log(F.col("n") + self.smoothing)))
+        total = g.groupBy("feature").agg(F.sum("n").alias("total"))
+        self._keep(g.join(total, "feature").withColumn("value", F.col("n") / F.col("total") if self.mode == "ratio" else F.log(F.col("n") + self.smoothing)))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self._map(df, 0.0 if self.mode == "ratio" else math.log(self.unseen_value + self.smoothing) if self.unseen_value + self.smoothing > 0 else 0.0)
 
 
+def numbered(levels: DataFrame) -> DataFrame:
+    """Add ``number``: the place, from 1, of each ``value`` among those of its ``feature``, all distinct.
+
+    Levels are dealt in order over as many tasks as they fill, numbered there and shifted by the
+    tasks before, a row for each task and feature; no task sorts a column. The dealt levels stay
+    in memory or on disk, so that both steps see the same tasks.
+    """
+    dealt = levels.repartitionByRange("feature", "value").withColumn("task", F.spark_partition_id()).persist()
+    ahead = W.partitionBy("feature").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("feature", "task").agg(F.count(F.lit(1)).alias("n")).select("feature", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("feature", "task").orderBy("value"))
+    return dealt.withColumn("number", own).join(before, ["feature", "task"]).select("feature", "value", (F.col("number") + F.col("before")).alias("number"))
+
+
 @dataclass
 class LabelEncoder(_LevelMap):
     """Codes 1..k of the sorted levels, null and unseen 0. ``across=True`` goes on counting from
@@ -143,7 +161,7 @@ class LabelEncoder(_LevelMap):
             self.columns = []
             self.table, self.sizes = df.sparkSession.createDataFrame([], "feature string, level string, value double"), {}
             return self
-        coded = g.select("feature", F.col("value").alias("level"), F.row_number().over(W.partitionBy("feature").orderBy("value")).cast("double").alias("value"))
+        coded = numbered(g).select("feature", F.col("value").alias("level"), F.col("number").cast("double").alias("value"))
         if self.across:
             n, start = {r[0]: r[1] for r in coded.groupBy("feature").count().collect()}, F.lit(0)
             before = 0
@@ -247,8 +265,8 @@ class ContImputerEncoder:
         self.columns = self.columns or [c for c in infer_kinds(df).cont if c != label]
         if self.strategy == "most_frequent":
             g = to_long(df, self.columns, as_type="double").where("value is not null").groupBy("feature", "value").count()
-            best = W.partitionBy("feature").orderBy(F.desc("count"), "value")
-            found = {r["feature"]: r["value"] for r in g.withColumn("r", F.row_number().over(best)).where("r = 1").collect()}
+            best = F.min(F.struct((-F.col("count")).alias("m"), "value"))
+            found = {r["feature"]: r["b"]["value"] for r in g.groupBy("feature").agg(best.alias("b")).collect()}
         else:
             if self.strategy == "median":
                 found = {c: q[0] for c, q in exact_quantiles(df, dict.fromkeys(self.columns, [0.5])).items() if q}

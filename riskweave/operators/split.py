@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .core import above, cumulate
+from .core import above, cumulate_within, unused
 
 
 def derive_label(df: DataFrame, label_col: str, label: str) -> DataFrame:
@@ -32,45 +33,58 @@ def latest(df: DataFrame, test_size: float, time_col: str, id_cols: list[str]) -
     The time and the id of the last row taken are found first; the split is then a comparison
     with them, without a join or a sort of the table.
     """
-    x = df.withColumn("__t", _moment(df, time_col))
-    return x.withColumn("is_test", above(x, "__t", id_cols, lambda n: math.floor(n * test_size))).drop("__t")
+    (t,) = unused(df, "t")
+    x = df.withColumn(t, _moment(df, time_col))
+    return x.withColumn("is_test", above(x, t, id_cols, lambda n: math.floor(n * test_size))).drop(t)
 
 
-def _greatest_in_group(df: DataFrame, group_col: str, order, quota, id_cols: list[str]) -> DataFrame:
-    """Add ``__taken``: in each group the first ``quota`` rows (a column over ``n``, the group's rows,
-    and the group; null takes none) by ``order`` descending, nulls last, ties by id.
+def _greatest_in_group(df: DataFrame, group_col: str | Column, order: Column, quota, id_cols: list[str], name: str) -> DataFrame:
+    """Add ``name``: in each group the first ``quota(group, rows)`` rows (null takes none) by a numeric
+    ``order`` descending, nulls last, ties by id.
 
-    Rows are counted by group and value; running counts give each group's last value taken, and
-    only the ids tied there are ranked. What joins the table is one row for each group.
+    Rows are counted by group and value, and running counts over ranges within groups
+    (`core.cumulate_within`) give each group's last value taken; among the rows tied there a whole-number
+    id is found the same way, ids of other types are ranked. What joins the table is one row for
+    each group; no window sees a group.
     """
-    x = df.withColumns({"__g": F.col(group_col), "__o": order})
-    counted = x.groupBy("__g", "__o").agg(F.count(F.lit(1)).alias("c"))
-    down = W.partitionBy("__g").orderBy(F.col("__o").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    upto = counted.withColumns({"upto": F.sum("c").over(down), "n": F.sum("c").over(W.partitionBy("__g"))}).withColumn("quota", F.least(quota, F.col("n")))
-    edge = upto.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota"))).select(F.col("__g").alias("__eg"), F.col("__o").alias("__eo"), (F.col("quota") - F.col("upto") + F.col("c")).alias("__left"))
-    tied = x.select("__g", "__o", F.struct(*id_cols).alias("id")).join(edge, F.col("__g").eqNullSafe(F.col("__eg")) & F.col("__o").eqNullSafe(F.col("__eo"))).select("__g", "__left", "id")
-    ranked = tied.withColumn("r", F.row_number().over(W.partitionBy("__g").orderBy("id"))).where(F.col("r") <= F.col("__left"))
-    last = ranked.groupBy(F.col("__g").alias("__lg")).agg(F.max("id").alias("__last"))
-    ends = edge.join(last, F.col("__eg").eqNullSafe(F.col("__lg"))).select("__eg", "__eo", "__last")
-    over = F.when(F.col("__eo").isNull(), F.col("__o").isNotNull()).otherwise(F.col("__o") > F.col("__eo"))
-    taken = F.col("__last").isNotNull() & (F.coalesce(over, F.lit(False)) | (F.col("__o").eqNullSafe(F.col("__eo")) & (F.struct(*id_cols) <= F.col("__last"))))
-    return x.join(ends, F.col("__g").eqNullSafe(F.col("__eg")), "left").withColumn("__taken", F.coalesce(taken, F.lit(False))).drop("__g", "__o", "__eg", "__eo", "__last")
+    g, o, i, n, c, cum, filled, want, eg, eo, left, last, lg = unused(df, "group", "order", "id_struct", "rows", "count", "upto", "filled", "quota", "edge_group", "edge", "left", "last", "last_group")
+    x = df.withColumns({g: F.col(group_col) if isinstance(group_col, str) else group_col, o: order})
+    totals = x.groupBy(F.col(g).alias(eg)).agg(F.count(F.lit(1)).alias(n), F.count(o).alias(filled))
+    totals = totals.withColumn(want, F.least(quota(F.col(eg), F.col(n)), F.col(n))).where(F.col(want) > 0)
+    counted = x.where(F.col(o).isNotNull()).groupBy(g, o).agg(F.count(F.lit(1)).alias(c))
+    upto = cumulate_within(counted, [g], o, {cum: c}).join(totals, F.col(g).eqNullSafe(F.col(eg)))
+    ahead = F.col(filled) - F.col(cum)  # rows of greater value
+    some = upto.where((F.col(want) <= F.col(filled)) & (ahead < F.col(want)) & (ahead + F.col(c) >= F.col(want)))
+    edge = some.select(eg, F.col(o).alias(eo), (F.col(want) - ahead).alias(left)).unionAll(totals.where(F.col(want) > F.col(filled)).select(eg, F.lit(None).cast(x.schema[o].dataType), F.col(want) - F.col(filled)))
+    tied = x.join(edge, F.col(g).eqNullSafe(F.col(eg)) & F.col(o).eqNullSafe(F.col(eo)))
+    if len(id_cols) == 1 and isinstance(df.schema[id_cols[0]].dataType, (T.LongType, T.IntegerType, T.ShortType)):
+        k = id_cols[0]
+        ids = tied.groupBy(g, F.coalesce(k, F.lit(-(1 << 63))).alias(i)).agg(F.count(F.lit(1)).alias(c), F.first(left).alias(left))
+        at = cumulate_within(ids, [g], i, {cum: c})
+        ends_at = at.where((F.col(cum) - F.col(c) < F.col(left)) & ((F.col(cum) >= F.col(left)))).select(F.col(g).alias(lg), F.col(i).alias(last))
+        first = F.coalesce(k, F.lit(-(1 << 63))) <= F.col(last)
+    else:
+        ranked = tied.select(g, left, F.struct(*id_cols).alias(i)).withColumn(c, F.row_number().over(W.partitionBy(g).orderBy(i))).where(F.col(c) <= F.col(left))
+        ends_at = ranked.groupBy(F.col(g).alias(lg)).agg(F.max(i).alias(last))
+        first = F.struct(*id_cols) <= F.col(last)
+    ends = edge.join(ends_at, F.col(eg).eqNullSafe(F.col(lg))).select(eg, eo, last)
+    over = F.when(F.col(eo).isNull(), F.col(o).isNotNull()).otherwise(F.col(o) > F.col(eo))
+    taken = F.col(last).isNotNull() & (F.coalesce(over, F.lit(False)) | (F.col(o).eqNullSafe(F.col(eo)) & first))
+    return x.join(ends, F.col(g).eqNullSafe(F.col(eg)), "left").withColumn(name, F.coalesce(taken, F.lit(False))).drop(g, o, eg, eo, last)
 
 
 def latest_in_group(df: DataFrame, test_size: float, time_col: str, group_col: str, id_cols: list[str]) -> DataFrame:
-    """Add ``is_test``: in each group the ``floor(n * test_size)`` latest rows."""
-    out = _greatest_in_group(df, group_col, _moment(df, time_col), F.floor(F.col("n") * test_size), id_cols)
-    return out.withColumnRenamed("__taken", "is_test")
+    """Add ``is_test``: in each group the ``floor(n * test_size)`` latest rows. Of rows that share group,
+    time and id all or none are taken."""
+    return _greatest_in_group(df, group_col, _moment(df, time_col), lambda g, n: F.floor(n * test_size), id_cols, "is_test")
 
 
 def at_random(df: DataFrame, test_size: float, id_cols: list[str], seed: int = 7) -> DataFrame:
-    """Add ``is_test``: exactly ``ceil(n * test_size)`` rows by a seeded hash of the id."""
-    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *id_cols))
-    quota = math.ceil(df.count() * test_size)
-    counted = h.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
-    upto = cumulate(counted, "__h", {"__upto": "__n"}).select("__h", "__upto", "__n")
-    x = h.join(upto, "__h").withColumn("__r", F.row_number().over(W.partitionBy("__h").orderBy(*id_cols)))
-    return x.withColumn("is_test", F.col("__upto") - F.col("__n") + F.col("__r") <= quota).drop("__h", "__upto", "__n", "__r")
+    """Add ``is_test``: exactly ``ceil(n * test_size)`` rows by a seeded hash of the id, equal hashes by id;
+    rows of one id are taken together. The last hash taken is found first, nothing is joined."""
+    (h,) = unused(df, "hash")
+    x = df.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.lit(seed), *id_cols), 12))  # whole as a double
+    return x.withColumn("is_test", above(x, h, id_cols, lambda n: math.ceil(n * test_size))).drop(h)
 
 
 def split(df: DataFrame, method: str, test_size: float, time_col: str | None = None, group_col: str | None = None, id_cols: list[str] = (), drop_cols: list[str] = (), seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -135,12 +149,14 @@ def quotas(available: dict[str, int], ratio: dict[str, float], threshold: float)
 
 
 def take_newest(df: DataFrame, level_col: str, quota: dict[str, int], sort_col: str, id_cols: list[str]) -> DataFrame:
-    """Of each level the quota's rows that are highest in ``sort_col``, ties by id."""
+    """Of each level the quota's rows that are highest in ``sort_col`` (a number, time or date, or text that
+    reads as a time), ties by id. Of rows that share level, value and id all or none are taken."""
     if not quota:
         return df.where(F.lit(False))
-    of = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), c.cast("string"))
+    of = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
     listed = df.where(F.col(level_col).cast("string").isin(list(quota)))
-    return _greatest_in_group(listed, level_col, F.col(sort_col), of(F.col("__g")), id_cols).where("__taken").drop("__taken")
+    (taken,) = unused(df, "taken")
+    return _greatest_in_group(listed, level_col, _moment(df, sort_col), lambda g, n: F.element_at(of, g.cast("string")), id_cols, taken).where(taken).drop(taken)
 
 
 def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], ratio: dict | None = None, base: DataFrame | None = None, threshold: float = 0.1, bins: int = 10, few: int = 20) -> DataFrame:
@@ -155,7 +171,8 @@ def sample(df: DataFrame, level_col: str, sort_col: str, id_cols: list[str], rat
         level = bin_column(F.col(level_col).cast("double"), edges, missing=None).cast("string")
     count = lambda d: {r[0]: r[1] for r in d.select(level.alias("l")).where("l is not null").groupBy("l").count().collect()}
     quota = quotas(count(df), ratio or count(base), threshold)
-    return take_newest(df.withColumn("__level", level), "__level", quota, sort_col, id_cols).drop("__level")
+    (own,) = unused(df, "level")
+    return take_newest(df.withColumn(own, level), own, quota, sort_col, id_cols).drop(own)
 
 
 def cut_off(df: DataFrame, weight_col: str, ratio: float, id_cols: list[str], keep_weight: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .binning import bin_column, bin_labels, quantiles
-from .core import cumulate, cumulate_within, distinct_counts, is_numeric, to_long, unused
+from .core import BROADCAST_ROWS, cumulate, cumulate_within, distinct_counts, is_numeric, to_long, unused
 from .encoders import woe_table
 
 
@@ -36,10 +36,9 @@ def freq_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """``feature, count, unique, top, freq, freq_ratio``; null counts as the value ``nan``, and of
     equally frequent values the smallest is the top."""
     g = level_counts(df, columns, "nan")
-    best = F.max_by(F.struct("value", "n"), F.struct(F.col("n"), -F.col("rank")))
-    ranked = g.withColumn("rank", F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "value")))
-    out = ranked.groupBy("feature").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("b"))
-    return out.select("feature", "count", "unique", F.col("b.value").alias("top"), F.col("b.n").alias("freq"), (F.col("b.n") / F.col("count")).alias("freq_ratio"))
+    best = F.min(F.struct((-F.col("n")).alias("m"), "value"))
+    out = g.groupBy("feature").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("b"))
+    return out.select("feature", "count", "unique", F.col("b.value").alias("top"), (-F.col("b.m")).alias("freq"), (-F.col("b.m") / F.col("count")).alias("freq_ratio"))
 
 
 def desc_stats(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
@@ -76,9 +75,12 @@ def distribution(df: DataFrame, columns: list[str], few: int = 20, bins: int = 2
     wide = [c for c in columns if c not in plain]
     parts = []
     if plain:
-        g = level_counts(df, plain, "missing").withColumn("r", F.row_number().over(W.partitionBy("feature").orderBy(F.desc(F.col("value") != "missing"), F.desc("n"), "value")))
-        shown = F.when((F.col("r") <= bins) | (F.col("value") == "missing"), F.col("value")).otherwise("others+")
-        parts.append(g.groupBy("feature", shown.alias("bin")).agg(F.sum("n").alias("n")))
+        g = level_counts(df, plain, "missing")
+        best = F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "value"))  # tasks keep their first ``bins`` before rows move
+        top = g.where("value != 'missing'").withColumn("r", best).where(F.col("r") <= bins).select(F.col("feature").alias("of"), F.col("value").alias("bin"))
+        shown = F.when(F.col("value") == "missing", F.col("value")).otherwise(F.coalesce("bin", F.lit("others+")))
+        marked = g.join(F.broadcast(top) if len(plain) * bins <= BROADCAST_ROWS else top, (F.col("feature") == F.col("of")) & (F.col("value") == F.col("bin")), "left")
+        parts.append(marked.groupBy("feature", shown.alias("bin")).agg(F.sum("n").alias("n")))
     if wide:
         ends = quantiles(df, wide, [0.05, 0.95])
         cells = []

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import binning, core, drift, split
+from riskweave.operators import binning, core, drift, encoders, split, stats
 
 
 @pytest.fixture
@@ -98,3 +98,33 @@ def test_a_cell_with_the_fill_value_equals_a_null(spark):
     assert (got["v"]["raw"], got["v"]["filled"]) == (0.25, 0.75)
     assert (got["s"]["raw"], got["s"]["filled"]) == (0.25, 0.5)
     assert {r["feature"]: r["filled"] for r in drift.consistency_ratio(pairs, ["v"], None).collect()} == {"v": 0.25}
+
+
+def test_helper_columns_never_clash(spark):
+    names = ["t", "group", "order", "taken", "level", "hash", "range", "cuts", "edge", "last", "__o", "__g", "__t", "__h"]
+    df = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], *[f"own {i}"] * len(names)) for i in range(60)], ["id", "v", "g", *names])
+    for out in (split.latest(df, 0.3, "v", ["id"]), split.latest_in_group(df, 0.3, "v", "g", ["id"]), split.at_random(df, 0.3, ["id"])):
+        assert out.columns == [*df.columns, "is_test"] and out.where("is_test").count() == 18
+        assert all(r["order"] == r["__o"] == f"own {r['id']}" for r in out.collect())
+    assert split.take_newest(df, "g", {"a": 5}, "v", ["id"]).columns == df.columns
+    assert split.sample(df, "g", "v", ["id"], {"a": 1, "b": 1}).columns == df.columns
+
+
+def test_levels_are_numbered_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"k{rng.integers(0, 900)}", None if i % 13 == 0 else "xyz"[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(5)
+    for across in (False, True):
+        enc = encoders.LabelEncoder(columns=["a", "b"], across=across).fit(df)
+        got = enc.transform(df).distinct().collect()
+        a, b = sorted({r[0] for r in rows}), ["x", "y", "z"]
+        for r in got:
+            assert r["a_label"] == a.index(r["a"]) + 1
+            assert r["b_label"] == (0 if r["b"] is None else b.index(r["b"]) + 1 + across * len(a))
+    top = {(r["feature"], r["bin"]): r["n"] for r in stats.distribution(df, ["a", "b"], bins=4).collect()}
+    count = {v: sum(x[0] == v for x in rows) for v in a}
+    best = sorted(a, key=lambda v: (-count[v], v))[:4]
+    assert {k[1] for k in top if k[0] == "a"} == {*best, "others+"} and top["a", "others+"] == 3000 - sum(count[v] for v in best)
+    assert {k[1] for k in top if k[0] == "b"} == {"x", "y", "z", "missing"}
+    shares = encoders.CountEncoder(columns=["b"]).fit(df).transform(df).where("b is null").first()["b_count"]
+    assert shares == pytest.approx(sum(x[1] is None for x in rows) / 3000)
