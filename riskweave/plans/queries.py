@@ -637,3 +637,16 @@ def binning_woe(spark, sf_dir):
     return binning.BinningWOEEncoder().fit(train, "y", ["balance", "segment", "status"]).transform(test).select("id", "balance_binwoe", "segment_binwoe", "status_binwoe")
 
 
+def _levels(part: str) -> str:
+    return " UNION ALL ".join(f"SELECT y, '{c}' AS feature, {c}::VARCHAR AS level FROM {part}" for c in ("priority", "status", "segment", "nation"))
+
+
+REPORT = R + f", la AS ({_levels('tr')}), lb AS ({_levels('te')}), a AS ({WOE.format('la')}), b AS ({WOE.format('lb')}), ia AS (SELECT feature, sum(d * woe) AS iv FROM a GROUP BY 1), ib AS (SELECT feature, sum(d * woe) AS iv, row_number() OVER (ORDER BY sum(d * woe) DESC, feature) AS k FROM b GROUP BY 1)"
+
+
+@query(REPORT + " SELECT coalesce(a.feature, b.feature) AS feature, coalesce(a.level, b.level, 'missing') AS level, a.n::BIGINT AS n_train, b.n::BIGINT AS n_test, round(a.rate, 6) AS rate_train, round(b.rate, 6) AS rate_test, round(a.share, 6) AS share_train, round(b.share, 6) AS share_test, round(a.woe, 6) AS woe_train, round(b.woe, 6) AS woe_test, round(ia.iv, 6) AS iv_train, round(ib.iv, 6) AS iv_test, ib.k::INTEGER AS feature_rank, coalesce(a.level, b.level) IS NULL AS level_missing, TRY_CAST(coalesce(a.level, b.level) AS DOUBLE) AS level_number FROM a FULL JOIN b ON a.feature = b.feature AND a.level IS NOT DISTINCT FROM b.level JOIN ia ON ia.feature = coalesce(a.feature, b.feature) JOIN ib ON ib.feature = ia.feature")
+def level_report(spark, sf_dir):
+    from . import reports
+
+    train, test = (d.withColumn("nation", F.col("nation").cast("string")) for d in parts(spark, sf_dir))
+    return reports.level_report(train, test, ["priority", "status", "segment", "nation"], "y").drop("auc_train", "auc_test", "ks_train", "ks_test")

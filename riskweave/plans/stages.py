@@ -8,6 +8,7 @@ and writes Parquet and a JSON report. Answers are ``{code: 1, result: {ds, meta,
 from __future__ import annotations
 
 import json
+import math
 import traceback
 from collections.abc import Callable
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from ..operators import binning, models, select, split, stats
 from ..operators.core import FeatureSpec, auto_spec, coerce_numeric, declare, is_numeric
 from ..operators.drift import psi, psi_warnings, report_psi
-from ..sources.io import StageFolder, get_data, report_json, table_to_dicts
-from . import persist
+from ..sources.io import StageFolder, get_data, report_json, table_to_dicts, write_json
+from . import persist, reports
 from .spec import StageSpec, instantiate
 
 
@@ -193,7 +194,7 @@ def inference(df: DataFrame, encoders: list, trainer: models.ModelTrainer | None
 
 def data_report(train: DataFrame, test: DataFrame, columns: list[str], label: str, bins: int = 10) -> dict[str, list[dict]]:
     """Description, WOE, stability and warnings of two parts, as lists of rows in order of the
-    features' information. Numeric columns have the quantile bins of train, others their levels."""
+    features' information on test, levels by number where they are numbers, missing ones last. Numeric columns have the quantile bins of train, others their levels."""
     numeric = [c for c in columns if is_numeric(train, c)]
     levels = [c for c in columns if c not in numeric]
     stable = psi(train, test, numeric) if numeric else None
@@ -210,13 +211,57 @@ def data_report(train: DataFrame, test: DataFrame, columns: list[str], label: st
         "psi": stable, "warnings": psi_warnings(stable) if stable is not None else None,
     }
     rows = {k: table_to_dicts(v) for k, v in out.items() if v is not None}
-    iv = {r["feature"]: r["IV"] or 0.0 for r in rows["woe_train"]}
-    return {k: sorted(v, key=lambda r: (-iv.get(r["feature"], 0.0), r["feature"], str(r.get("level") or ""))) for k, v in rows.items()}
+    iv = {r["feature"]: r["IV"] for r in rows["woe_test"] if r["IV"] is not None}
+
+    def place(r: dict) -> tuple:
+        level = r.get("level")
+        try:
+            number = float(level) if level is not None else math.inf
+        except ValueError:
+            number = math.inf
+        return (-iv.get(r["feature"], -math.inf), r["feature"], level is None, number, str(level or ""))
+
+    return {k: sorted(v, key=place) for k, v in rows.items()}
+
+
+@stage("reporter")
+def reporter_ui(spark, spec, folder):
+    """The report of a whole flow, from the parts that its stages left: ``ds.flow`` lists ``[stage, {train,
+    test}]`` as `chain` gathers them (without it, ``ds.train`` and ``ds.test`` alone).
+
+    For each stage with both parts and a label: levels with WOE and evaluation in order of the IV on
+    test, stability tests, description, and warnings beyond ``st.limit`` (0.2). Every table is written
+    as JSON under ``report/<stage>_<table>``, all warnings together under ``report/warning_report``; the
+    answer has the warnings and where the tables are.
+    """
+    flow = spec.ds.get("flow") or [["flow", {"train": spec.ds["train"], "test": spec.ds["test"]}]]
+    limit, paths, warned = spec.st.get("limit", 0.2), {}, None
+    for name, parts in flow:
+        if not (parts.get("train") and parts.get("test")):
+            continue
+        train, test = (coerce_numeric(get_data(spark, parts[k])) for k in ("train", "test"))
+        if spec.label not in train.columns:
+            continue
+        known = (spec.label, *_ids(spec), *spec.st.get("exclude", []))
+        columns = [c for c in train.columns if c in test.columns and c not in known]
+        for kind, table in reports.flow_report(train, test, columns, spec.label, spec.st.get("bins", 10), limit).items():
+            if kind == "warnings":
+                own = table.withColumn("stage", F.lit(name))
+                warned = own if warned is None else warned.unionByName(own)
+            else:
+                write_json(table, folder.report(f"{name}_{kind}"))
+                paths.setdefault(name, {})[kind] = folder.report(f"{name}_{kind}")
+    if warned is None:
+        raise ValueError("no stage of the flow has train, test and label")
+    write_json(warned, folder.report("warning_report"))
+    written = spark.read.schema(warned.schema).json(folder.report("warning_report")).orderBy("stage", "feature", "kind", "metric")
+    return _result(folder, spec, {"warnings": table_to_dicts(written), "tables": paths}, {"path": folder.report("warning_report")})
 
 
 def chain(spark: SparkSession, steps: list[tuple[str, dict]], data: dict) -> list[dict]:
-    """Stages one after the other, each on the files of the one before; ends at a failure."""
-    run = {"sampler": sampler_ui, "spliter": spliter_ui, "transformer": transformer_ui, "filter": filter_ui, "optimizer": optimizer_ui, "trainer": trainer_ui, "inference": inference_ui}
+    """Stages one after the other, each on the files of the one before; ends at a failure. The parts that
+    splitting, encoding and filtering left are kept in ``ds.flow`` for a reporter at the end."""
+    run = {"sampler": sampler_ui, "spliter": spliter_ui, "transformer": transformer_ui, "filter": filter_ui, "optimizer": optimizer_ui, "trainer": trainer_ui, "inference": inference_ui, "reporter": reporter_ui}
     answers, ds = [], dict(data)
     for name, settings in steps:
         got = json.loads(run[name](spark, {"ds": ds, "out": settings.get("out", {}), "st": settings.get("st", {})}))
@@ -224,7 +269,9 @@ def chain(spark: SparkSession, steps: list[tuple[str, dict]], data: dict) -> lis
         if got["code"] == 2:
             break
         new = {k: v for k, v in got["result"]["ds"].items() if v is not None}
-        if got["result"]["meta"].get("path") and name != "inference":
+        if name in ("spliter", "transformer", "filter"):
+            ds["flow"] = [*ds.get("flow", []), [name, {k: new.get(k) for k in ("train", "test")}]]
+        if got["result"]["meta"].get("path") and name not in ("inference", "reporter"):
             ds["meta"] = [*ds.get("meta", []), got["result"]["meta"]["path"]]
         ds = ds | new | ({"table": new["train"]} if name == "sampler" else {})
     return answers

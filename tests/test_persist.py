@@ -80,5 +80,5 @@ def test_data_report_has_bins_of_numeric_columns(spark, data):
     _, df = data
     r = stages.data_report(df.where("id < 200"), df.where("id >= 200"), ["x", "g", "z"], "y")
     assert {x["feature"] for x in r["woe_train"]} == {x["feature"] for x in r["v_psi"]} == {"x", "g", "z"}
-    iv = {x["feature"]: x["IV"] for x in r["woe_train"]}
+    iv = {x["feature"]: x["IV"] for x in r["woe_test"]}
     assert [x["feature"] for x in r["v_psi"]] == sorted(iv, key=lambda k: (-iv[k], k))
