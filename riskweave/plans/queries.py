@@ -650,3 +650,8 @@ def level_report(spark, sf_dir):
 
     train, test = (d.withColumn("nation", F.col("nation").cast("string")) for d in parts(spark, sf_dir))
     return reports.level_report(train, test, ["priority", "status", "segment", "nation"], "y").drop("auc_train", "auc_test", "ks_train", "ks_test")
+
+
+@query(R + ", x AS (SELECT 'balance' AS feature, balance AS v, 0 AS k FROM tr UNION ALL SELECT 'amount', amount, 0 FROM tr UNION ALL SELECT 'balance', balance, 1 FROM te UNION ALL SELECT 'amount', amount, 1 FROM te), s AS (SELECT feature, v, sum(1 - k)::DOUBLE AS a, sum(k)::DOUBLE AS b FROM x WHERE v IS NOT NULL GROUP BY ALL), c AS (SELECT feature, sum(a) OVER w / sum(a) OVER p - sum(b) OVER w / sum(b) OVER p AS d FROM s WINDOW w AS (PARTITION BY feature ORDER BY v), p AS (PARTITION BY feature)), d AS (SELECT feature, max(abs(d)) AS ks FROM c GROUP BY 1), n AS (SELECT feature, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE k = 0) AS a, avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE k = 1) AS b FROM x GROUP BY 1) SELECT feature, round(ks, 4) AS ks, round(a, 4) AS null_train, round(b, 4) AS null_test FROM d JOIN n USING (feature)")
+def consistency_distances(spark, sf_dir):
+    return drift.consistency_tests(*parts(spark, sf_dir), ["balance", "amount"]).select("feature", "ks", "null_train", "null_test")
