@@ -157,7 +157,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int | None = None,
     ``is_query`` is a condition on ``id``. Score is the inner product in double precision; ties
     go to the smaller id. A query is no candidate of its own. Null, zero and non-finite vectors
     and null ids take no part; rows with equal ids and vectors count once; no usable vector, no
-    row. Every vector is indexed; cells of any size are searched whole, in blocks.
+    row. Every vector is indexed; cells of any size are searched whole, in blocks. Other columns are
+    not read, so their names do not matter; vectors of differing length are an error.
     """
     spark = vectors.sparkSession
     v = materialise(usable(vectors, id_col, vector_col), "ann-vectors")

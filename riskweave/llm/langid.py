@@ -257,7 +257,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", batc
 
     Only the text is looked at, all of it, in time linear in its length. Null texts and texts without a letter are ``und`` with
     score 0, as are all texts of a model without languages; equal posteriors go to the first
-    language by name. Columns of the same names are replaced; repeated rows stay.
+    language by name. Columns of the same names are replaced; repeated rows stay. An empty table gives
+    no row.
     """
     docs = docs.drop(lang_name, score_name)
     held = docs.sparkSession.sparkContext.broadcast(model)

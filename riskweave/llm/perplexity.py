@@ -289,6 +289,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     trusted text everything with words is kept. Texts without words have no perplexity and are
     not kept. Null languages are a language. Rows with equal ids are scored together; null ids are
     judged like texts without words. Texts of any length are scored whole. An empty table gives no row.
+    Columns besides the three are not read, so their names do not matter. Thresholds are exact
+    quantiles up to 10 000 texts of a language set aside and approximate ones beyond.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     measured = materialise(_sizes(named), "kn-sizes")

@@ -105,6 +105,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     The measures are written once to the shared folder; only these narrow rows meet the hosts'
     verdicts, and hosts, however many, are joined by key, where Spark splits a hot one.
     Empty tables give no row; repeated rows are judged once each; other columns are ignored.
+    Null texts have no words and fail; texts of any length are measured whole.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), *carry)
     m = materialise(measure(named).drop("text"), "rules")
