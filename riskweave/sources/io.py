@@ -23,18 +23,45 @@ def get_data(spark: SparkSession, src: DataFrame | str, **options) -> DataFrame:
     return null_nans(reader.csv(src, header=True, inferSchema="schema" not in options) if kind == "csv" else reader.format(kind).load(src))
 
 
-def execute(spark: SparkSession, sql: str, engine: str = "spark", columns: list[str] | None = None, **jdbc) -> DataFrame:
+def execute(spark: SparkSession, sql: str, engine: str = "spark", columns: list[str] | None = None, partition_on: str | None = None, partitions: int = 32, bounds: tuple | None = None, predicates: list[str] | None = None, **jdbc) -> DataFrame:
     """Run SQL in Spark's catalog, or elsewhere by JDBC (``url`` and further options given by the
-    caller, never by this library). Errors are raised."""
+    caller, never by this library). Errors are raised.
+
+    By JDBC the rows come in one task unless ``partition_on`` names a column of the result, a number,
+    date or timestamp: they then come in ``partitions`` tasks by equal steps between ``bounds``, which
+    are asked of the engine where not given. Bounds only place the steps: rows beyond them, and
+    nulls, come too. ``predicates``, for columns of uneven or other kinds, are conditions that each
+    hold for a task's rows; that every row meets exactly one of them is up to the caller. Names of
+    columns are written, and quoted, as the engine wants them. Filters and choices of columns made
+    on the result reach the engine in every form.
+    """
     if engine == "spark":
         out = spark.sql(sql)
     elif engine == "jdbc":
-        out = spark.read.format("jdbc").options(**jdbc).option("query", sql).load()
+        out = _by_jdbc(spark, sql, partition_on, partitions, bounds, predicates, jdbc)
     else:
         raise ValueError(f"unknown engine {engine!r}")
     return out.toDF(*columns) if columns else out
 
 
+def _by_jdbc(spark: SparkSession, sql: str, on: str | None, partitions: int, bounds: tuple | None, predicates: list[str] | None, options: dict) -> DataFrame:
+    if on and predicates:
+        raise ValueError("rows are divided by a column or by predicates, not by both")
+    source = f"({sql}) parted"
+    if predicates:
+        rest = {k: str(v) for k, v in options.items() if k != "url"}
+        return spark.read.jdbc(options["url"], source, predicates=predicates, properties=rest)
+    reader = spark.read.format("jdbc").options(**options)
+    if not on:
+        return reader.option("query", sql).load()
+    if bounds is None:
+        asked = spark.read.format("jdbc").options(**options).option("query", f"SELECT MIN({on}) AS lo, MAX({on}) AS hi FROM {source}").load()
+        bounds = tuple(asked.first())
+    if bounds[0] is None or bounds[0] == bounds[1]:  # no value, or one: no steps to take
+        return reader.option("query", sql).load()
+    return reader.options(dbtable=source, partitionColumn=on, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=partitions).load()
+
+
 def download_table(spark: SparkSession, table: str, path: str, kind: str = "parquet", overwrite: bool = False, **options) -> str:
     """A table to files, column names without the table's prefix; existing files stay unless asked."""
     df = spark.table(table)
