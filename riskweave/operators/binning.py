@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import exact_quantiles, infer_kinds, to_long
+from .core import SORTED_VALUES, best_first, cumulate_within, exact_quantiles, infer_kinds, null_nans, to_long
 from .encoders import WOEEncoder
 
 
@@ -73,47 +72,91 @@ def heavy_quantiles(df: DataFrame, columns: list[str], bins: int = 10, exact: bo
 
 def tree_cuts(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, bins: int, depth: int | None = None, least: int = 1) -> list[float]:
     """Cut points of a best-first Gini tree with at most ``bins`` leaves on one sorted feature."""
-    depth = depth or math.ceil(math.sqrt(bins))
     cp, cn = np.concatenate([[0], np.cumsum(pos)]), np.concatenate([[0], np.cumsum(neg)])
+    place: dict[tuple[int, int], int] = {}
 
     def impurity(p, n):
         return 2 * p * n / np.maximum(p + n, 1)
 
-    def best(lo: int, hi: int):
+    def gain(span: tuple[int, int]) -> float | None:
+        lo, hi = span
         at = np.arange(lo + 1, hi)
         lp, ln, rp, rn = cp[at] - cp[lo], cn[at] - cn[lo], cp[hi] - cp[at], cn[hi] - cn[at]
         ok = (lp + ln >= least) & (rp + rn >= least)
         if not ok.any():
             return None
-        gain = np.where(ok, impurity(cp[hi] - cp[lo], cn[hi] - cn[lo]) - impurity(lp, ln) - impurity(rp, rn), -1)
-        i = int(np.argmax(gain))
-        return (float(gain[i]), int(at[i])) if gain[i] > 1e-12 else None
-
-    heap, cuts, order = [], [], 0
-    if len(values) > 1 and (b := best(0, len(values))):
-        heap.append((-b[0], order, 0, len(values), b[1], 0))
-    while heap and len(cuts) < bins - 1:
-        _, _, lo, hi, at, level = heapq.heappop(heap)
-        cuts.append((values[at - 1] + values[at]) / 2)
-        for a, z in ((lo, at), (at, hi)):
-            if level + 1 < depth and z - a > 1 and (b := best(a, z)):
-                order += 1
-                heapq.heappush(heap, (-b[0], order, a, z, b[1], level + 1))
-    return sorted(float(c) for c in cuts)
-
-
-def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10, depth: int | None = None, least: int = 1, quantise: int | None = 20_000) -> dict[str, list[float]]:
-    """Tree cut points of every column: Spark counts labels by value, each column's tree grows on
-    its counts in one task.
-
-    Values are first brought up to the next of ``quantise`` approximate quantiles, at every size of
-    table, so that a task's counts are bounded; with as many rows or fewer each value is a quantile
-    of its own. ``quantise=None`` grows on the values themselves, whose distinct ones must then fit
-    in a task.
+        gains = np.where(ok, impurity(cp[hi] - cp[lo], cn[hi] - cn[lo]) - impurity(lp, ln) - impurity(rp, rn), -1)
+        i = int(np.argmax(gains))
+        place[span] = int(at[i])
+        return float(gains[i]) if gains[i] > 1e-12 else None
+
+    split = best_first((0, len(values)), gain, lambda s: ((s[0], place[s]), (place[s], s[1])), bins - 1, depth or math.ceil(math.sqrt(bins)))
+    return sorted(float((values[place[s] - 1] + values[place[s]]) / 2) for s in split)
+
+
+def _spread_tree_cuts(counted: DataFrame, columns: list[str], bins: int, depth: int | None, least: int, parts: int) -> dict[str, list[float]]:
+    """The cut points of `tree_cuts` for columns with more values than a task should hold.
+
+    ``counted`` has ``feature, value, pos, neg``. Running sums of the classes are made once, over ranges
+    of each column's values. A round asks for the best splits of all spans, of all columns, that
+    the trees need as far as they are known: each row gives the gain of a split behind it, and a
+    span keeps the largest. At most ``2 * (bins - 1)`` spans a column are asked for in a round, and
+    a round settles at least one more split, mostly a level.
+    """
+    spark = counted.sparkSession
+    sums = cumulate_within(counted, ["feature"], "value", {"cp": "pos", "cn": "neg"}, parts).persist()
+    ends = {r["feature"]: r for r in sums.groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("value").alias("hi")).collect()}
+    edges = {c: {None: (0.0, 0.0), ends[c]["hi"]: (ends[c]["p"], ends[c]["n"])} for c in columns}
+    best: dict[str, dict[tuple, tuple | None]] = {c: {} for c in columns}
+    impurity = lambda p, n: F.lit(2.0) * p * n / F.greatest(p + n, F.lit(1.0))
+    while True:
+        split, unknown = {}, []
+        for c in columns:
+            known = best[c]
+
+            def gain(span):
+                if span not in known:
+                    unknown.append((c, span))
+                return known[span][0] if known.get(span) else None
+
+            split[c] = [known[s][1] for s in best_first((None, ends[c]["hi"]), gain, lambda s: ((s[0], known[s][1]), (known[s][1], s[1])), bins - 1, depth or math.ceil(math.sqrt(bins)))]
+        if not unknown:
+            break
+        asked = spark.createDataFrame([(c, i, lo, hi, *map(float, edges[c][lo]), *map(float, edges[c][hi])) for i, (c, (lo, hi)) in enumerate(unknown)], "feature string, span int, lo double, hi double, p0 double, n0 double, p1 double, n1 double")
+        inside = (sums["feature"] == asked["feature"]) & (asked["lo"].isNull() | (sums["value"] > asked["lo"])) & (sums["value"] < asked["hi"])
+        x = sums.join(F.broadcast(asked), inside)
+        left, right = (F.col("cp") - F.col("p0"), F.col("cn") - F.col("n0")), (F.col("p1") - F.col("cp"), F.col("n1") - F.col("cn"))
+        gains = impurity(F.col("p1") - F.col("p0"), F.col("n1") - F.col("n0")) - impurity(*left) - impurity(*right)
+        x = x.where((left[0] + left[1] >= least) & (right[0] + right[1] >= least)).select("span", F.struct(gains.alias("gain"), (-F.col("value")).alias("least"), "cp", "cn").alias("s"))
+        found = {r["span"]: r["s"] for r in x.groupBy("span").agg(F.max("s").alias("s")).collect()}
+        for i, (c, span) in enumerate(unknown):
+            s = found.get(i)
+            best[c][span] = None if s is None or s["gain"] <= 1e-12 else (s["gain"], -s["least"])
+            if s is not None:
+                edges[c][-s["least"]] = (s["cp"], s["cn"])
+    after = [(c, at, upto) for c in columns for at, upto in zip(sorted(split[c]), [*sorted(split[c])[1:], ends[c]["hi"]])]
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    if after:
+        cuts = spark.createDataFrame(after, "feature string, at double, upto double")
+        beyond = (sums["feature"] == cuts["feature"]) & (sums["value"] > cuts["at"]) & (sums["value"] <= cuts["upto"])
+        for r in sums.join(F.broadcast(cuts), beyond).groupBy(cuts["feature"], "at").agg(F.min("value").alias("next")).collect():
+            out[r["feature"]].append((r["at"] + r["next"]) / 2)
+    sums.unpersist()
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10, depth: int | None = None, least: int = 1, quantise: int | None = None, task_values: int = SORTED_VALUES) -> dict[str, list[float]]:
+    """Tree cut points of every column: Spark counts labels by value, and trees grow on the counts.
+
+    A column of up to ``task_values`` values grows in one task, the columns next to each other;
+    splits of larger ones are searched by all tasks (`_spread_tree_cuts`), with the same result.
+    ``quantise`` first brings values up to the next of so many approximate quantiles, at every size
+    of table, so that every column fits in a task. NaN counts as missing; a column without values,
+    or with one, has no cut.
     """
-    x = df.select(label, *[F.col(c).cast("double").alias(c) for c in columns])
+    x = null_nans(df.select(label, *[F.col(c).cast("double").alias(c) for c in columns]))
     if quantise:
-        made = quantiles(df, columns, [i / quantise for i in range(1, quantise + 1)], exact=False)
+        made = quantiles(x, columns, [i / quantise for i in range(1, quantise + 1)], exact=False)
         edges = {c: np.array(sorted(set(e))) for c, e in made.items() if e}  # at most ``quantise`` numbers a column
 
         def up(e):
@@ -131,7 +174,13 @@ def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10,
         pdf = pdf.sort_values("value")
         return pd.DataFrame({"feature": [key[0]], "cuts": [tree_cuts(pdf["value"].to_numpy(), pdf["pos"].to_numpy(), pdf["neg"].to_numpy(), bins, depth, least)]})
 
-    got = {r["feature"]: list(r["cuts"]) for r in counted.groupBy("feature").applyInPandas(grow, "feature string, cuts array<double>").collect()}
+    counted = counted.persist()
+    size = {r["feature"]: r["count"] for r in counted.groupBy("feature").count().collect()}
+    many = [c for c in columns if size.get(c, 0) > max(task_values, quantise or 0)]
+    got = _spread_tree_cuts(counted.where(F.col("feature").isin(many)), many, bins, depth, least, max(32, max(size[c] for c in many) // 1_000_000)) if many else {}
+    if few := [c for c in size if c not in many]:
+        got |= {r["feature"]: list(r["cuts"]) for r in counted.where(F.col("feature").isin(few)).groupBy("feature").applyInPandas(grow, "feature string, cuts array<double>").collect()}
+    counted.unpersist()
     return {c: got.get(c, []) for c in columns}
 
 
@@ -160,7 +209,8 @@ def monotonic(df: DataFrame, columns: list[str], label: str, start: int = 8) ->
 
 def cut_points(df: DataFrame, columns: list[str], method: str = "dt", bins: int = 10, label: str | None = None, exact: bool = True, tree: dict | None = None) -> dict[str, list[float]]:
     """Inner cut points by ``cut``, ``qcut``, ``dt`` or ``monot``. ``tree`` has the ``depth``, ``least`` and
-    ``quantise`` of `decision_tree`; ``{"quantise": None}`` grows on the values themselves."""
+    ``quantise`` of `decision_tree`, which grows on the values themselves or, where not ``exact``, on
+    20 000 quantiles."""
     if not columns:
         return {}
     if method == "cut":
@@ -170,7 +220,7 @@ def cut_points(df: DataFrame, columns: list[str], method: str = "dt", bins: int
     if method in ("dt", "monot") and label is None:
         raise ValueError(f"{method} needs a label")
     if method == "dt":
-        return decision_tree(df, columns, label, bins, **(tree or {}))
+        return decision_tree(df, columns, label, bins, **({} if exact else {"quantise": 20_000}) | (tree or {}))
     if method == "monot":
         return monotonic(df, columns, label)
     raise ValueError(f"unknown binning method {method!r}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -265,26 +266,30 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-
-
 def cumulate_within(df: DataFrame, keys: list[str], by: str, values: dict[str, str], parts: int = 32) -> DataFrame:
     """Running sums within each key, null a key too, in ascending order of a numeric column whose
     values are distinct within a key.
 
     As `cumulate`, for all keys in one plan and without a job of its own: each key's values are cut
-    at approximate quantiles of that key, (key, range) is summed by a task, and the sums of the
+    at quantiles of a sample of that key's, (key, range) is summed by a task, and the sums of the
     ranges before, at most ``parts`` rows a key, are added. A key that holds most rows is spread like
     any other. Keys, not rows, are what a window sees at once.
+
+    Rows and sums meet by range, and Spark may work the cuts out once for each, or again for a lost
+    executor. So the sample hangs on the values alone, the one of least hash in each of ``40 * parts``
+    slots of hashes, not on the order in which tasks end, as approximate quantiles do.
     """
     own = unused(df.withColumns({k: F.lit(0) for k in values}), "range", "range_of", "cuts", *[f"{k}_of" for k in keys], *[f"{k}_before" for k in values])
     part, part_of, cuts, names, befores = *own[:3], own[3 : 3 + len(keys)], own[3 + len(keys) :]
     x = F.col(by).cast("double")
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(x, [i / parts for i in range(1, parts)], 40 * parts)).alias(cuts))
-    edges = edges.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], cuts)
+    drawn = df.where(x.isNotNull()).groupBy(*keys, F.pmod(F.xxhash64(x), F.lit(40 * parts)).alias(part)).agg(F.min(F.struct(F.xxhash64(x).alias("hash"), x.alias("value"))).alias(cuts))
+    drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(cuts)["value"])).alias(cuts))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(max(parts, 2) - 1)), lambda i: F.get(cuts, F.floor(i * F.size(cuts) / max(parts, 2)).cast("int")))
+    edges = drawn.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.array_distinct(ends).alias(cuts))
     match = F.lit(True)
     for k, n in zip(keys, names):
         match = match & F.col(k).eqNullSafe(F.col(n))
-    dealt = df.join(edges, match).withColumn(part, F.size(F.filter(cuts, lambda c: c < x))).drop(cuts, *names)
+    dealt = df.join(edges, match, "left").withColumn(part, F.coalesce(F.size(F.filter(cuts, lambda c: c < x)), F.lit(0))).drop(cuts, *names)
     totals = dealt.groupBy(*keys, part).agg(*[F.sum(v).alias(b) for b, v in zip(befores, values.values())])
     ahead = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(part).alias(part_of), *[F.coalesce(F.sum(b).over(ahead), F.lit(0)).alias(b) for b in befores])
@@ -293,6 +298,28 @@ def cumulate_within(df: DataFrame, keys: list[str], by: str, values: dict[str, s
     return out.withColumns({k: F.col(k) + F.col(b) for k, b in zip(values, befores)}).drop(part, part_of, *befores, *names)
 
 
+def best_first(root, gain: Callable, children: Callable, splits: int, depth: int) -> list:
+    """Nodes that a best-first tree splits, in order: the open one of largest ``gain`` (None splits
+    nothing), of equal ones the one met first; at most ``splits``, none below ``depth`` levels."""
+    heap, out, met = [], [], 0
+
+    def meet(node, level: int) -> None:
+        nonlocal met
+        g = gain(node)
+        if g is not None:
+            heapq.heappush(heap, (-g, met, node, level))
+            met += 1
+
+    meet(root, 0)
+    while heap and len(out) < splits:
+        _, _, node, level = heapq.heappop(heap)
+        out.append(node)
+        if level + 1 < depth:
+            for child in children(node):
+                meet(child, level + 1)
+    return out
+
+
 def stack_datasets(**parts: DataFrame) -> DataFrame:
     """Rows of several data sets with their name in ``dataset``."""
     out = None

@@ -6,12 +6,15 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import classification as C
+from pyspark.ml import regression as R
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binning import quantiles
-from .core import distinct_counts, to_long, unused
+from .core import best_first, distinct_counts, to_long, unused
 from .encoders import FriedScale
 from .models import assemble, probability
 from .stats import rule_metrics
@@ -36,6 +39,79 @@ def ensemble_rules(df: DataFrame, columns: list[str], label: str, generator: str
     return list(dict.fromkeys(r for t in est.fit(x).trees for r in tree_rules(t.toDebugString, columns)))
 
 
+def tree_sizes(trees: int | None, mean: float = 4, leaves: int | None = None, seed: int = 7) -> list[int]:
+    """Leaves of each tree of a forest, ``2 + floor(e)`` with ``e`` of an exponential law of mean
+    ``mean - 2``: ``trees`` of them, or as many as have ``leaves`` together."""
+    draw, scale, out = np.random.default_rng(seed), max(mean - 2, 0.0), []
+    while sum(out) < leaves if leaves is not None else len(out) < trees:
+        out.append(2 + int(draw.exponential(scale)))
+    return out
+
+
+@dataclass
+class _Node:
+    """A node of a parsed tree: how it is reached, its children, and the rows and positives in it."""
+
+    rule: str
+    children: list[_Node] = field(default_factory=list)
+    rows: int = 0
+    positives: float = 0.0
+
+    def gini(self) -> float:
+        return 2 * self.positives * (self.rows - self.positives) / max(self.rows, 1)
+
+    def gain(self) -> float | None:
+        won = self.gini() - sum(c.gini() for c in self.children) if self.children else 0.0
+        return won if won > 1e-12 else None
+
+
+def _parsed(debug: str, columns: list[str], counts: dict[int, tuple[int, float]]) -> _Node:
+    """The tree of a model's text, its leaves, from left to right, with (rows, positives)."""
+    lines = iter(debug.strip().splitlines()[1:])
+    leaf = 0
+
+    def node(line: str, rule: str) -> _Node:
+        nonlocal leaf
+        if "Predict:" in line:
+            out = _Node(rule, [], *counts.get(leaf, (0, 0.0)))
+            leaf += 1
+            return out
+        out = _Node(rule)
+        for side in (line, None):
+            side = side or next(lines)
+            m = re.search(r"\(feature (\d+) (<=|>) ([-\d.Ee+]+)\)", side)
+            if not m:
+                raise ValueError(f"not a split of a number: {side.strip()}")
+            condition = f"`{columns[int(m[1])]}` {m[2]} {m[3]}"
+            out.children.append(node(next(lines), f"{rule} AND {condition}" if rule else condition))
+        out.rows, out.positives = (sum(getattr(c, k) for c in out.children) for k in ("rows", "positives"))
+        return out
+
+    return node(next(lines), "")
+
+
+def sized_forest(df: DataFrame, columns: list[str], label: str, sizes: list[int], depth: int = 5, seed: int = 7) -> list[list[str]]:
+    """For each tree of a forest the rules of its nodes but the root; the i-th tree has at most
+    ``sizes[i]`` leaves.
+
+    The forest grows to ``depth`` in one go, by variance, which for a 0/1 label splits as Gini does
+    and keeps splits between leaves of one class. One aggregation counts the rows of all leaves of
+    all trees; each tree is then opened best split first, by Gini over all rows, until it has its
+    leaves. At most ``2 ** depth`` counts a tree come to the driver.
+    """
+    x = assemble(df, columns).select(F.col(label).cast("double").alias("label"), "features")
+    model = R.RandomForestRegressor(numTrees=len(sizes), maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, leafCol="leaf").fit(x)
+    met = model.transform(x).select("label", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+    counts: dict[int, dict[int, tuple[int, float]]] = {}
+    for r in met.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect():
+        counts.setdefault(r["tree"], {})[int(r["leaf"])] = (r["n"], r["p"] or 0.0)
+    out = []
+    for i, (tree, size) in enumerate(zip(model.trees, sizes, strict=True)):
+        root = _parsed(tree.toDebugString, columns, counts.get(i, {}))
+        out.append([c.rule for n in best_first(root, _Node.gain, lambda n: n.children, size - 1, depth) for c in n.children])
+    return out
+
+
 @dataclass
 class Tree2Rule:
     """Rules of a tree ensemble with their metrics."""
@@ -53,22 +129,29 @@ class Tree2Rule:
 @dataclass
 class RuleFit:
     """Rules of trees as 0/1 columns and scaled, cut linear terms under an L1 logistic regression.
-    All rules of the ensemble take part; ``max_rules``, where given, keeps those of largest support."""
+
+    The trees of a forest have random numbers of leaves around ``tree_size`` (`tree_sizes`), not deeper
+    than ``depth``, unless ``random_sizes`` is off; boosted trees all have ``depth``. There are ``trees``
+    of them or, where ``max_rules`` is given, as many as have so many leaves together
+    (``max_rules / tree_size`` of those of one depth). All their rules take part."""
 
     generator: str = "RandomForestClassifier"
     trees: int = 20
-    depth: int = 3
+    depth: int = 5
     max_rules: int | None = None
     reg: float = 0.01
     seed: int = 7
+    tree_size: int = 4
+    random_sizes: bool = True
 
     def fit(self, df: DataFrame, label: str, columns: list[str]) -> RuleFit:
         self.columns, filled = columns, df.fillna(-999, columns)
-        self.rules = ensemble_rules(df, columns, label, self.generator, self.trees, self.depth, self.seed)
-        if self.max_rules is not None and len(self.rules) > self.max_rules:
-            n = filled.agg(*[F.sum(F.expr(r).cast("long")).alias(f"{i}") for i, r in enumerate(self.rules)]).first()
-            order = sorted(range(len(self.rules)), key=lambda i: (-(n[i] or 0), self.rules[i]))
-            self.rules = [self.rules[i] for i in order[: self.max_rules]]
+        if self.random_sizes and self.generator == "RandomForestClassifier":
+            self.sizes = tree_sizes(self.trees, self.tree_size, self.max_rules, self.seed)
+            self.rules = list(dict.fromkeys(r for rules in sized_forest(filled, columns, label, self.sizes, self.depth, self.seed) for r in rules))
+        else:
+            trees = self.trees if self.max_rules is None else math.ceil(self.max_rules / self.tree_size)
+            self.rules = ensemble_rules(df, columns, label, self.generator, trees, self.depth, self.seed)
         self.scale = FriedScale(columns=columns).fit(filled)
         x = self._terms(filled)
         self.names = [f"__r{i}" for i in range(len(self.rules))] + columns
