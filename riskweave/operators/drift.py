@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .binning import HistogramEncoder, bin_column, heavy_quantiles, quantiles
-from .core import cumulate_within, stack_datasets, to_long
+from .core import coerce_numeric, cumulate_within, is_numeric, stack_datasets, to_long
 from .stats import binned_woe_report, woe_report
 
 
@@ -271,6 +273,89 @@ def compare_report(a: DataFrame, b: DataFrame, key: str, list_columns: list[str]
     return consistency_ratio(pairs, columns), difference_values(pairs, key, columns, names)
 
 
+def same_names(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
+    """Columns in lower case, then by the names of a map, which is taken in lower case too; two columns
+    of one name are refused."""
+    names = {k.lower(): v.lower() for k, v in (rename or {}).items()}
+    out = [names.get(c.lower(), c.lower()) for c in df.columns]
+    if twice := sorted({c for c in out if out.count(c) > 1}):
+        raise ValueError(f"columns of one name: {twice}")
+    return df.toDF(*out)
+
+
+def align(key: str, parts: dict[str, DataFrame], rename: dict[str, dict[str, str]] | None = None, digits: int = 3, list_columns: list[str] = (), delimiter: str = "|") -> tuple[DataFrame, list[str], list[str]]:
+    """(rows, numbers, texts): the rows whose key is in all data sets, a struct of the shared columns for
+    each, and which of those are numbers everywhere, as doubles of ``digits`` places, or texts.
+
+    Names are matched by `same_names`, with a map for each data set that has one. Texts that all parse
+    are numbers. Delimited lists are sorted, names once each. Null keys meet nothing; a repeated
+    one is refused. Joins are by key, one for each data set.
+    """
+    if len(parts) < 2 or {"key", "feature"} & {n.lower() for n in parts} or len({n.lower() for n in parts}) < len(parts):
+        raise ValueError("two or more data sets by different names, neither key nor feature")
+    key, lists = key.lower(), [c.lower() for c in list_columns]
+    named = {n: same_names(df, (rename or {}).get(n)) for n, df in parts.items()}
+    named = {n: coerce_numeric(df, [c for c in df.columns if c not in (key, *lists)]) for n, df in named.items()}
+    for n, df in named.items():
+        if df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
+            raise ValueError(f"{key} is not unique in {n}")
+    shared = sorted(set.intersection(*[set(df.columns) for df in named.values()]) - {key})
+    if not shared:
+        raise ValueError("no column is in all data sets")
+    numbers = [c for c in shared if c not in lists and all(is_numeric(df, c) for df in named.values())]
+    texts = [c for c in shared if c not in numbers]
+
+    def cell(c: str) -> Column:
+        x = F.round(F.col(c).cast("double"), digits) if c in numbers else F.col(c).cast("string")
+        return (canonical_list(x, delimiter, True) if c in lists else x).alias(c)
+
+    rows = None
+    for n, df in named.items():
+        one = df.select(F.col(key).alias("key"), F.struct(*[cell(c) for c in shared]).alias(n))
+        rows = one if rows is None else rows.join(one, "key")
+    return rows, numbers, texts
+
+
+def agreement(rows: DataFrame, names: list[str], numbers: list[str], texts: list[str], zero: float = 0, missing: float = -999) -> DataFrame:
+    """How often the cells of each two data sets agree in `align`'s rows: ``feature, left, right, rows``,
+    ``raw`` (nulls never equal), ``at_zero`` and ``at_missing`` (null numbers filled with either, null texts
+    equal), ``zero_or_null``, the share that only a zero for a null explains, and ``consistent``, whether
+    there is none. One grouped pass for all columns and pairs; no rows, no result."""
+    cells = []
+    for c in (*numbers, *texts):
+        for a, b in itertools.combinations(names, 2):
+            x, y = F.col(a)[c], F.col(b)[c]
+            filled = [F.coalesce(x, F.lit(float(v))) == F.coalesce(y, F.lit(float(v))) for v in (zero, missing)] if c in numbers else [x.eqNullSafe(y)] * 2
+            cells.append(F.struct(F.lit(c).alias("feature"), F.lit(a).alias("left"), F.lit(b).alias("right"), *[k.cast("long").alias(n) for k, n in zip((F.coalesce(x == y, F.lit(False)), *filled), ("r", "z", "m"))]))
+    n = F.count(F.lit(1))
+    return rows.select(F.inline(F.array(*cells))).groupBy("feature", "left", "right").agg(n.alias("rows"), *[(F.sum(k) / n).alias(out) for k, out in (("r", "raw"), ("z", "at_zero"), ("m", "at_missing"))], ((F.sum("z") - F.sum("m")) / n).alias("zero_or_null"), (F.sum("z") == F.sum("m")).alias("consistent"))
+
+
+def cell_differences(rows: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """``key, feature`` and each data set's cell as text, for the cells that are not alike in all."""
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(n)[c].cast("string").alias(n) for n in names]) for c in columns]
+    alike = functools.reduce(lambda x, y: x & y, [F.col(names[0]).eqNullSafe(F.col(n)) for n in names[1:]])
+    long = rows.select("key", F.explode(F.array(*cells)).alias("cell")).select("key", "cell.*")
+    return long.where(~alike)
+
+
+def compare_all(key: str, parts: dict[str, DataFrame], rename: dict[str, dict[str, str]] | None = None, beside: dict[str, DataFrame] | None = None, digits: int = 3, list_columns: list[str] = (), zero: float = 0, missing: float = -999) -> dict[str, DataFrame]:
+    """Two or more data sets by key (`align`): ``rates`` (`agreement`), ``differences`` (`cell_differences`)
+    and ``means`` of the numbers, over the common rows, next to those over all rows of further data
+    sets ``beside``, which share names but no keys."""
+    rows, numbers, texts = align(key, parts, rename, digits, list_columns)
+    names = list(parts)
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(n)[c].alias(n) for n in names]) for c in numbers]))) if numbers else None
+    means = values.groupBy("feature").agg(*[F.avg(n).alias(n) for n in names]) if numbers else None
+    for n, df in (beside or {}).items():
+        other = same_names(df, (rename or {}).get(n))
+        both = [c for c in numbers if c in other.columns]
+        if both:
+            means = means.join(compare_means(both, **{n: other}), "feature", "left")
+    out = {"rates": agreement(rows, names, numbers, texts, zero, missing), "differences": cell_differences(rows, names, [*numbers, *texts])}
+    return out | ({"means": means} if numbers else {})
+
+
 def compare_means(columns: list[str], **parts: DataFrame) -> DataFrame:
     """``feature`` and the mean of each data set."""
     out = None

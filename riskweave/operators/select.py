@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import is_numeric, require_columns, to_long
@@ -22,6 +22,21 @@ def column_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     return g.groupBy("feature").agg((F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / n).alias("missing"), (F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("n"))), n) / n).alias("same"), (F.count("value") / n).alias("unique"))
 
 
+def _described(inputs: list[str], kept: list[str], ranking: dict[str, int] | None = None, **measures: dict[str, float]) -> list[dict]:
+    """What every filter says of its columns, one row each: ``feature, support, ranking, score, pvalue,
+    importance`` and ``detail``, further measures by name. ``support`` is whether it stays, ``ranking``
+    1 for the first to stay (without a ranking: 1 for all that stay, 2 for the rest); a measure that
+    a filter does not take is None. Rows go by ranking, then by name."""
+    plain = lambda v: None if v is None or v != v else float(v)
+    rows = [
+        {"feature": c, "support": c in kept, "ranking": ranking[c] if ranking else 1 if c in kept else 2}
+        | {k: plain(measures.get(k, {}).get(c)) for k in ("score", "pvalue", "importance")}
+        | {"detail": {k: plain(v.get(c)) for k, v in measures.items() if k not in ("score", "pvalue", "importance")}}
+        for c in inputs
+    ]
+    return sorted(rows, key=lambda r: (r["ranking"], r["feature"]))
+
+
 @dataclass
 class QualityFilter:
     """Drops columns with too many nulls, one value too often, or too many texts."""
@@ -32,8 +47,10 @@ class QualityFilter:
 
     def fit(self, df: DataFrame, label: str | None = None) -> QualityFilter:
         columns = [c for c in df.columns if c != label]
-        self.exclude = [r["feature"] for r in column_quality(df, columns).collect() if r["missing"] > self.missing_thr or r["same"] > self.same_thr or (not is_numeric(df, r["feature"]) and r["unique"] > self.cate_thr)]
+        quality = column_quality(df, columns).collect()
+        self.exclude = [r["feature"] for r in quality if r["missing"] > self.missing_thr or r["same"] > self.same_thr or (not is_numeric(df, r["feature"]) and r["unique"] > self.cate_thr)]
         self.columns = [c for c in columns if c not in self.exclude]
+        self.features = _described(columns, self.columns, **{k: {r["feature"]: r[k] for r in quality} for k in ("missing", "same", "unique")})
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -51,6 +68,7 @@ class StableFilter:
         columns = self.columns or [c for c in train.columns if c != label and is_numeric(train, c)]
         self.psi = {r["feature"]: r["psi"] for r in psi(train, test, columns).collect()}
         self.exclude = [c for c in columns if self.psi.get(c) is None or not self.psi[c] <= self.limit]
+        self.features = _described(columns, [c for c in columns if c not in self.exclude], score=self.psi)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -89,6 +107,7 @@ class SelectKBest(_Chosen):
         rows = anova(df, self.inputs, label).collect()
         self.report = sorted(((r["feature"], r["f"], f_tail(r["f"], r["df1"], r["df2"]) if r["f"] is not None else 1.0) for r in rows), key=lambda x: (x[2], -(x[1] or 0), x[0]))
         self.columns = [x[0] for x in self.report[: min(self.k, len(self.report))]]
+        self.features = _described(self.inputs, self.columns, {x[0]: i for i, x in enumerate(self.report, 1)}, score={c: f for c, f, _ in self.report}, pvalue={c: p for c, _, p in self.report})
         return self
 
 
@@ -106,6 +125,7 @@ class SelectFromModel(_Chosen):
         self.inputs = columns or [c for c in df.columns if c != label]
         self.report = importances(df, self.inputs, label, self.estimator, self.params)
         self.columns = [c for c, _ in self.report[: self.n]]
+        self.features = _described(self.inputs, self.columns, {c: i for i, (c, _) in enumerate(self.report, 1)}, importance=dict(self.report))
         return self
 
 
@@ -128,6 +148,7 @@ class RFE(_Chosen):
             left.remove(worst)
         self.ranking |= dict.fromkeys(left, 1)
         self.columns = left
+        self.features = _described(self.inputs, left, self.ranking, importance=dict(importances(df, left, label, self.estimator, self.params)) if left else {})
         return self
 
 
@@ -147,16 +168,17 @@ class LRFilter(_Chosen):
         self.inputs = columns or [c for c in df.columns if c != label]
         df = df.fillna(FILL, self.inputs)
         if self.method == "coef":
-            left, self.ranking, level = list(self.inputs), {}, 1
+            left, dropped, coef = list(self.inputs), [], {}
             while left:
                 coef = coefficients(df, left, label)
                 bad = [c for c in left if coef[c] < 0]
                 if not bad:
                     break
-                level += 1
+                dropped.append([c for c in left if not coef[c] > 0])
                 left = [c for c in left if coef[c] > 0]
-                self.ranking |= dict.fromkeys(bad, level)
             self.columns = left
+            self.ranking = dict.fromkeys(left, 1) | {c: 2 + i for i, gone in enumerate(reversed(dropped)) for c in gone}
+            self.features = _described(self.inputs, left, self.ranking, importance={c: coef[c] for c in left})
         elif self.method == "stepwise":
             left, chosen = list(self.inputs), []
             while left and len(chosen) < self.n:
@@ -168,11 +190,20 @@ class LRFilter(_Chosen):
                 left = [c for c in left if c != best]
             final = p_values(df, chosen, label) if chosen else {}
             self.columns = [c for c in chosen if final[c] <= self.alpha]
+            first = [*self.columns, *[c for c in chosen if c not in self.columns]]
+            self.ranking = {c: first.index(c) + 1 if c in first else len(first) + 1 for c in self.inputs}
+            self.features = _described(self.inputs, self.columns, self.ranking, pvalue=final)
         else:
             raise ValueError(f"unknown method {self.method!r}")
         return self
 
 
+def features_table(spark: SparkSession, filters: list) -> DataFrame:
+    """The reports of fitted filters as one table, ``step, filter`` and the columns of `_described`."""
+    kind = "step int, filter string, feature string, support boolean, ranking int, score double, pvalue double, importance double, detail map<string, double>"
+    return spark.createDataFrame([(i, type(f).__name__, *r.values()) for i, f in enumerate(filters, 1) for r in getattr(f, "features", [])], kind)
+
+
 def run_filters(train: DataFrame, test: DataFrame | None, filters: list, label: str, keep: list[str] = ()) -> tuple[DataFrame, DataFrame | None, list]:
     """Fit filters one after the other on train and apply each to both; stops when no column is left."""
     for f in filters:

@@ -504,6 +504,40 @@ def difference_values(spark, sf_dir):
     return drift.difference_values(_pairs(spark, sf_dir), "o_orderkey", ["o_orderstatus"])
 
 
+def _three(spark, sf_dir):
+    """Orders as they are with their customers, with nulls, and with zeros for those and other names."""
+    o, k, x = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_totalprice")
+    a = o.select("o_orderkey", F.when(k % 9 != 0, x).alias("o_totalprice"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    b = o.select(k.alias("ORDER_ID"), F.when(k % 9 == 0, 0.0).when(k % 10 == 0, x + 1).otherwise(x).alias("Price"), F.when(k % 6 != 0, F.col("o_orderstatus")).alias("STATE"))
+    c = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "o_orderstatus", "c_acctbal")
+    names = {"order_id": "o_orderkey", "PRICE": "o_totalprice", "state": "o_orderstatus"}
+    return drift.compare_all("o_orderkey", {"a": a, "b": b, "c": c}, {"b": names}, beside={"whole": o})
+
+
+THREE = """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN round(o_totalprice, 3) END AS xa, CASE WHEN o_orderkey % 9 = 0 THEN 0.0::DOUBLE WHEN o_orderkey % 10 = 0 THEN round(o_totalprice + 1, 3) ELSE round(o_totalprice, 3) END AS xb, round(o_totalprice, 3) AS xc,
+ CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS sa, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderstatus END AS sb, o_orderstatus AS sc FROM orders JOIN customer ON o_custkey = c_custkey)"""
+_RATES = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{a}' AS \"left\", '{b}' AS \"right\", count(*) AS rows, round(avg(coalesce({x}{a} = {x}{b}, false)::INT), 6) AS raw, round(avg(({zero})::INT), 6) AS at_zero, round(avg(({missing})::INT), 6) AS at_missing, round(avg(({zero})::INT) - avg(({missing})::INT), 6) + 0.0 AS zero_or_null, sum(({zero})::INT) = sum(({missing})::INT) AS consistent FROM p"
+    for a, b in ("ab", "ac", "bc") for f, x in (("o_totalprice", "x"), ("o_orderstatus", "s"))
+    for zero, missing in [[f"coalesce(x{a}, {v}) = coalesce(x{b}, {v})" for v in (0, -999)] if x == "x" else [f"s{a} IS NOT DISTINCT FROM s{b}"] * 2]
+)
+
+
+@query(THREE + " " + _RATES)
+def three_way_rates(spark, sf_dir):
+    return _three(spark, sf_dir)["rates"]
+
+
+@query(THREE + " SELECT k AS key, 'o_orderstatus' AS feature, sa AS a, sb AS b, sc AS c FROM p WHERE sa IS DISTINCT FROM sb OR sa IS DISTINCT FROM sc")
+def three_way_differences(spark, sf_dir):
+    return _three(spark, sf_dir)["differences"].where("feature = 'o_orderstatus'")
+
+
+@query(THREE + " SELECT 'o_totalprice' AS feature, round(avg(xa), 6) AS a, round(avg(xb), 6) AS b, round(avg(xc), 6) AS c, (SELECT round(avg(o_totalprice), 6) FROM orders) AS whole FROM p")
+def three_way_means(spark, sf_dir):
+    return _three(spark, sf_dir)["means"]
+
+
 @query(R + ", a AS (SELECT status AS feature, avg(balance) AS tr FROM tr GROUP BY 1), b AS (SELECT status AS feature, avg(balance) * 1.5 AS te FROM te GROUP BY 1) SELECT feature, 'mean' AS metric, round(tr, 6) AS train, round(te, 6) AS test, round(1 - (te + 0.01) / (tr + 0.01), 6) AS difference FROM a JOIN b USING (feature) WHERE abs(1 - (te + 0.01) / (tr + 0.01)) >= 0.2")
 def drift_warnings(spark, sf_dir):
     a, b = (p.groupBy(F.col("status").alias("feature")).agg((F.avg("balance") * k).alias("mean")) for p, k in zip(parts(spark, sf_dir), (1.0, 1.5), strict=True))
@@ -584,6 +618,13 @@ def _numbers(spark, sf_dir):
     return model(spark, sf_dir).select("id", "y", "balance", "nation", (F.col("amount") * 0 + F.pmod(F.hash("id", "y"), F.lit(100)) + 20 * F.col("y")).alias("noisy"))
 
 
+@query(M + ", x AS (SELECT y, 'balance' AS feature, coalesce(balance, -999) AS v FROM m UNION ALL SELECT y, 'nation', nation FROM m UNION ALL SELECT y, 'id', id FROM m), g AS (SELECT feature, y, count(*)::DOUBLE AS n, sum(v) AS s, var_pop(v) AS vp FROM x GROUP BY ALL), f AS (SELECT feature, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / (sum(n * vp) / (sum(n) - count(*))) AS f FROM g GROUP BY feature), k AS (SELECT *, row_number() OVER (ORDER BY f DESC, feature)::INT AS ranking FROM f) SELECT 1 AS step, 'SelectKBest' AS filter, feature, ranking <= 2 AS support, ranking, round(f, 6) AS score FROM k")
+def filter_report(spark, sf_dir):
+    """One p-value for one F, as all columns have the same degrees of freedom: SQL ranks by F."""
+    chosen = select.SelectKBest(k=2).fit(model(spark, sf_dir), "y", ["balance", "nation", "id"])
+    return select.features_table(spark, [chosen]).select("step", "filter", "feature", "support", "ranking", "score")
+
+
 @query()
 def select_kbest(spark, sf_dir):
     return spark.createDataFrame([(c, float(f), float(p)) for c, f, p in select.SelectKBest(k=2).fit(_numbers(spark, sf_dir), "y", ["balance", "nation", "noisy"]).report], "feature string, f double, p double")

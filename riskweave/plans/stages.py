@@ -129,14 +129,18 @@ def _takes_columns(method: str) -> bool:
 
 @stage("filter")
 def filter_ui(spark, spec, folder):
-    """Filters one after the other on train, applied to both parts (test may be absent)."""
+    """Filters one after the other on train, applied to both parts (test may be absent). What each says
+    of its columns (``select.features_table``) is in the report, in a table beside it and in the saved flow."""
     train, test = _read(spark, spec, "train", "test")
     ids, label = _ids(spec), spec.label
     filters = [instantiate(f["method"], f.get("params", {})) for f in spec.st]
     text = [c for c in train.columns if c not in (label, *ids) and not is_numeric(train, c)]
     train, test, done = select.run_filters(train, test, filters, label, [*ids, *text])
     meta = persist.save(persist.Flow(done), folder.meta, spark)
-    return _result(folder, spec, {"columns": [c for c in train.columns if c not in (label, *ids)], "filters": [type(f).__name__ for f in done]}, {"path": meta}, train=train, test=test)
+    said = select.features_table(spark, done)
+    write_json(said, folder.report("filter_report"))
+    report = {"columns": [c for c in train.columns if c not in (label, *ids)], "filters": [type(f).__name__ for f in done], "features": table_to_dicts(said), "table": folder.report("filter_report")}
+    return _result(folder, spec, report, {"path": meta}, train=train, test=test)
 
 
 def _numeric(df: DataFrame, spec: StageSpec) -> list[str]:
