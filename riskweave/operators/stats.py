@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .binning import bin_column, bin_labels, quantiles
-from .core import BROADCAST_ROWS, cumulate, cumulate_within, distinct_counts, is_numeric, to_long, unused
+from .core import BROADCAST_ROWS, cumulate, cumulate_within, distinct_counts, is_numeric, null_nans, to_long, unused
 from .encoders import woe_table
 
 
@@ -107,10 +107,16 @@ def target_stats(df: DataFrame, label: str, time_col: str, *keys: str) -> DataFr
 
 
 def woe_report(df: DataFrame, columns: list[str], label: str, *keys: str) -> DataFrame:
-    """WOE table with rates: overdue ratio, share of the rows and IV of the feature."""
+    """WOE table with rates: overdue ratio, share of the rows and IV of the feature. Totals of a feature
+    are aggregated from its levels and joined, so no task holds all of them."""
     t = woe_table(df, columns, label, *keys)
-    w = W.partitionBy(*keys, "feature")
-    return t.select(*keys, "feature", "level", F.col("n").alias("total_sample_num"), F.col("pos").alias("overdue_sample_num"), (F.col("pos") / F.col("n")).alias("overdue_ratio"), (F.col("n") / F.sum("n").over(w)).alias("group_sample_ratio"), "woe", F.sum("iv").over(w).alias("IV"))
+    all_n, all_iv, *names = unused(t, "all_n", "all_iv", *[f"{k}_of" for k in (*keys, "feature")])
+    totals = t.groupBy(*[F.col(k).alias(o) for k, o in zip((*keys, "feature"), names)]).agg(F.sum("n").alias(all_n), F.sum("iv").alias(all_iv))
+    match = F.lit(True)
+    for k, o in zip((*keys, "feature"), names):
+        match = match & F.col(k).eqNullSafe(F.col(o))
+    t = t.join(totals, match)
+    return t.select(*keys, "feature", "level", F.col("n").alias("total_sample_num"), F.col("pos").alias("overdue_sample_num"), (F.col("pos") / F.col("n")).alias("overdue_ratio"), (F.col("n") / F.col(all_n)).alias("group_sample_ratio"), "woe", F.col(all_iv).alias("IV"))
 
 
 def binned_woe_report(df: DataFrame, binner, label: str, *keys: str) -> DataFrame:
@@ -123,12 +129,20 @@ def binned_woe_report(df: DataFrame, binner, label: str, *keys: str) -> DataFram
 
 
 def score_edges(df: DataFrame, score: str, bands: int = 10) -> list[float]:
-    """Inner edges of quantile bands, with fewer bands until every one has rows."""
-    for q in range(bands, 1, -1):
-        edges = quantiles(df, [score], [i / q for i in range(1, q)])[score]
-        if len(set(edges)) == q - 1 and df.select(bin_column(score, edges).alias("b")).distinct().count() == q:
-            return edges
-    return []
+    """Inner edges of quantile bands, with fewer bands until every one has rows. Where the wanted
+    number leaves a band empty, all lesser ones are tried in the same jobs."""
+
+    def filled(numbers: list[int]) -> list[float]:
+        probs = sorted({i / q for q in numbers for i in range(1, q)})
+        at = dict(zip(probs, quantiles(df, [score], probs)[score]))
+        edges = {q: [at[i / q] for i in range(1, q)] for q in numbers} if at else {}
+        edges = {q: e for q, e in edges.items() if len(set(e)) == q - 1}
+        met = df.where(F.col(score).isNotNull()).agg(*[F.collect_set(bin_column(score, e)).alias(f"{q}") for q, e in edges.items()]).first() if edges else {}
+        return next((e for q, e in edges.items() if len(met[f"{q}"]) == q), [])
+
+    if bands < 2:
+        return []
+    return filled([bands]) or filled(list(range(bands - 1, 1, -1)))
 
 
 def score_bands(df: DataFrame, score: str, label: str, edges: list[float]) -> DataFrame:
@@ -272,11 +286,47 @@ def feature_curve(df: DataFrame, column: str, label: str, *keys: str, few: int =
     if edges is None and (not is_numeric(df, column) or distinct_counts(df, [column])[column] <= few):
         return df.groupBy(*keys, F.col(column).cast("string").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
     edges = sorted(set(edges if edges is not None else quantiles(df, [column], [i / 10 for i in range(1, 10)])[column]))
-    g = df.groupBy(*keys, bin_column(column, edges).cast("string").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
-    bins = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    bins = bins.withColumn("bin", F.explode(F.array(*[F.lit(str(i)) for i in range(1, len(edges) + 2)])))
-    full = bins.join(g, [*keys, "bin"], "full")
-    return full.select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    binned = df.select(*keys, bin_column(column, edges).cast("string").alias("bin"), F.col(label).cast("double").alias("y"), F.lit(1).alias("row"))
+    bins = (df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()).withColumn("bin", F.explode(F.lit([str(i) for i in range(1, len(edges) + 2)])))
+    return _rates(binned.unionAll(bins.select(*keys, "bin", F.lit(None).cast("double"), F.lit(0))), *keys)
+
+
+def _rates(cells: DataFrame, *keys: str) -> DataFrame:
+    """``keys, bin, n, rate`` of cells with ``bin, y`` and ``row``, which is 0 for a place that need not have rows."""
+    return cells.groupBy(*keys, "bin").agg(F.sum("row").alias("n"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("rate"))
+
+
+def contrast_curves(df: DataFrame, columns: list[str], label: str, part: str, base=None, bins: int = 10, few: int = 20) -> DataFrame:
+    """``part, feature, bin, n, rate``: the curves of several columns side by side for every value of ``part``.
+
+    Numeric columns with more than ``few`` values are cut at quantiles of the rows whose ``part`` is
+    ``base``, or of all rows without one; other columns keep their levels. A missing value is the bin
+    null. Every bin of a column is there in every part, with 0 where it has no rows; columns
+    without numbers that have more than ``few`` levels show those that each part has. A null part is a
+    part. A base without rows is an error, as its edges would be none. Rows without a label count as
+    rows. One plan for all columns and parts; parts never come to the driver.
+    """
+    rows = null_nans(df.select(F.col(part).alias("part"), F.col(label).cast("double").alias("y"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+    at = {f"c{i}": c for i, c in enumerate(columns)}
+    of_base = rows if base is None else rows.where(F.col("part") == F.lit(base))
+    if base is not None and not of_base.take(1):
+        raise ValueError(f"no row has {base!r} in {part}")
+    if not columns:
+        return rows.select("part", F.lit("").alias("feature"), F.lit("").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rate")).where(F.lit(False))
+    counts = distinct_counts(rows, list(at))
+    cut = [c for c in at if counts[c] > few and is_numeric(rows, c)]
+    edges = {c: sorted(set(e)) for c, e in quantiles(of_base, cut, [i / bins for i in range(1, bins)]).items()} if cut else {}
+    listed = [c for c in at if counts[c] <= few]
+    met = rows.agg(*[F.max(F.col(c).isNull()).alias(f"null_{c}") for c in at], *[F.collect_set(F.col(c).cast("string")).alias(c) for c in listed]).first()
+    places = {c: [str(i) for i in range(1, len(edges[c]) + 2)] for c in cut} | {c: sorted(met[c]) for c in listed}
+    bin_of = {c: F.when(F.col(c).isNotNull(), bin_column(c, edges[c])).cast("string") if c in cut else F.col(c).cast("string") for c in at}
+    cells = rows.select("part", "y", F.inline(F.array(*[F.struct(F.lit(at[c]).alias("feature"), b.alias("bin")) for c, b in bin_of.items()])))
+    grid = [F.struct(F.lit(at[c]).alias("feature"), F.array_append(F.array(*map(F.lit, p)).cast("array<string>"), F.lit(None).cast("string")).alias("bins") if met[f"null_{c}"] else F.array(*map(F.lit, p)).cast("array<string>").alias("bins")) for c, p in places.items()]
+    out = cells.select("part", "feature", "bin", "y", F.lit(1).alias("row"))
+    if grid:
+        empty = rows.select("part").distinct().select("part", F.inline(F.array(*grid))).select("part", "feature", F.explode("bins").alias("bin"))
+        out = out.unionAll(empty.select("part", "feature", "bin", F.lit(None).cast("double"), F.lit(0)))
+    return _rates(out, "part", "feature").select("part", "feature", "bin", "n", "rate").withColumnRenamed("part", part)
 
 
 def pass_curve(df: DataFrame, score: str, label: str, id_col: str) -> DataFrame:

@@ -211,6 +211,33 @@ def bin_rates(spark, sf_dir):
     return stats.feature_curve(m, "balance", "y", "status")
 
 
+_DECILES = "[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]"
+
+
+def _contrast(base):
+    return f""", p AS (SELECT *, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part FROM r),
+ e AS (SELECT 'amount' AS feature, unnest(quantile_cont(amount, {_DECILES})) AS q FROM {base} UNION ALL SELECT 'balance', unnest(quantile_cont(balance, {_DECILES})) FROM {base}),
+ x AS (SELECT part, y, 'amount' AS feature, amount AS v, NULL AS level FROM p UNION ALL SELECT part, y, 'balance', balance, NULL FROM p UNION ALL SELECT part, y, 'segment', NULL, segment FROM p),
+ b AS (SELECT part, y, feature, CASE WHEN feature = 'segment' THEN level WHEN v IS NOT NULL THEN (1 + (SELECT count(*) FROM e WHERE e.feature = x.feature AND x.v > e.q))::VARCHAR END AS bin FROM x),
+ g AS (SELECT * FROM (SELECT DISTINCT part FROM b), (SELECT DISTINCT feature, bin FROM b))
+ SELECT g.part, g.feature, g.bin, count(b.y) AS n, round(coalesce(avg(b.y), 0), 6) AS rate FROM g LEFT JOIN b ON g.part = b.part AND g.feature = b.feature AND g.bin IS NOT DISTINCT FROM b.bin GROUP BY ALL"""
+
+
+def _in_parts(spark, sf_dir):
+    marked = split.latest(model(spark, sf_dir), 0.25, "t", ["id"])
+    return marked.withColumn("part", F.when(F.col("is_test"), "test").otherwise("train"))
+
+
+@query(R + _contrast("tr"))
+def contrast_rates(spark, sf_dir):
+    return stats.contrast_curves(_in_parts(spark, sf_dir), ["amount", "balance", "segment"], "y", "part", base="train")
+
+
+@query(R + _contrast("m"))
+def rates_by_part(spark, sf_dir):
+    return stats.contrast_curves(_in_parts(spark, sf_dir), ["amount", "balance", "segment"], "y", "part")
+
+
 @query(R + ", e AS (SELECT DISTINCT unnest(quantile_cont(balance, [i / 20.0 for i in range(1, 20)])) AS q FROM tr), b AS (SELECT CASE WHEN balance IS NULL THEN 'missing' ELSE (1 + (SELECT count(*) FROM e WHERE balance > q))::VARCHAR END AS k FROM te) SELECT k, count(*) AS n FROM b GROUP BY k")
 def histogram(spark, sf_dir):
     train, test = parts(spark, sf_dir)
