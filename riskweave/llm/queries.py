@@ -32,7 +32,8 @@ def op2_token_files(spark, sf_dir):
 
 def op3_quality_rules(spark, sf_dir):
     judged = rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rates = [F.round(f"rate_{k}", 6).alias(f"host_{k}") for k in rules.rules()]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_ok", *rates)
 
 
 def op4_nearest_neighbours(spark, sf_dir):
@@ -88,7 +89,7 @@ def queries() -> dict:
 _RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
 _MOMENTS = ", ".join(f"avg(f_{k} / docs) AS mu_{k}, var_pop(f_{k} / docs) AS var_{k}" for k in _RULES)
 _WEIGHT = "CASE WHEN var_{0} > 0 AND mu_{0} * (1 - mu_{0}) > var_{0} THEN least(mu_{0} * (1 - mu_{0}) / var_{0} - 1, 1e6) WHEN var_{0} > 0 THEN 1.0 ELSE m_docs END"
-_RATES = ", ".join(f"(f_{k} + ({_WEIGHT.format(k)}) * mu_{k}) / (docs + ({_WEIGHT.format(k)}))" for k in _RULES)
+_RATES = ", ".join(f"(f_{k} + ({_WEIGHT.format(k)}) * mu_{k}) / (docs + ({_WEIGHT.format(k)})) AS rate_{k}" for k in _RULES)
 
 OP3_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -105,8 +106,10 @@ f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS re
   n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS word_length FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS docs, {", ".join(f"sum({k}::INTEGER)::DOUBLE AS f_{k}" for k in _RULES)} FROM f GROUP BY source),
 a AS (SELECT avg(docs) AS m_docs, {_MOMENTS} FROM h),
-v AS (SELECT source, greatest({_RATES}) <= 0.5 AS host_ok FROM h, a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND host_ok AS kept
+s AS (SELECT source, {_RATES} FROM h, a),
+v AS (SELECT *, greatest({", ".join(f"rate_{k}" for k in _RULES)}) <= 0.5 AS host_ok FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, NOT (short OR repeats) AND host_ok AS kept,
+  host_ok, {", ".join(f"round(rate_{k}, 6) AS host_{k}" for k in _RULES)}
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
