@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.operators.core import cumulate_within
+
 from .common import SPACES, byte_values, drop_shared, hash_words, materialise, mix
 
 _SPACE = np.array([chr(i) in SPACES for i in range(256)])
@@ -280,6 +282,19 @@ def score(docs: DataFrame, model: Model, groups: int = 4, split: dict[int, int]
     return out
 
 
+def _thresholds(known: DataFrame, quantile: float) -> DataFrame:
+    """``lang, whole, own``: the least perplexity that a share ``quantile`` of a language's texts does not
+    pass, and with ``whole`` that of all texts. Counts by perplexity are added up over ranges of each
+    language, so no task holds the texts of one."""
+    lang = known.schema["lang"].dataType
+    sides = F.inline(F.array(F.struct("lang", F.lit(False).alias("whole")), F.struct(F.lit(None).cast(lang).alias("lang"), F.lit(True).alias("whole"))))
+    counted = known.select("perplexity", sides).groupBy("lang", "whole", "perplexity").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.groupBy(F.col("lang").alias("of"), F.col("whole").alias("whole_of")).agg(F.sum("n").alias("all_n"))
+    placed = cumulate_within(counted, ["lang", "whole"], "perplexity", {"upto": "n"})
+    placed = placed.join(total, F.col("lang").eqNullSafe(F.col("of")) & (F.col("whole") == F.col("whole_of")))
+    return placed.where(F.col("upto") >= F.ceil(quantile * F.col("all_n"))).groupBy("lang", "whole").agg(F.min("perplexity").alias("own"))
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``<id>, lang, n_tokens, perplexity, threshold, kept`` for each row.
 
@@ -290,7 +305,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     not kept. Null languages are a language. Rows with equal ids are scored together; null ids are
     judged like texts without words. Texts of any length are scored whole. An empty table gives no row.
     Columns besides the three are not read, so their names do not matter. Thresholds are exact
-    quantiles up to 10 000 texts of a language set aside and approximate ones beyond.
+    quantiles at any number of texts set aside.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     measured = materialise(_sizes(named), "kn-sizes")
@@ -313,9 +328,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     total = F.coalesce("logprob", F.lit(0.0)) + F.col("n") * model.floor + F.col("rows") * model.ends
     scored = materialise(per_id.join(logprob, "id", "left").select("id", "lang", (F.col("n") + F.col("rows")).alias("n_tokens"), F.exp(-total / (F.col("n") + F.col("rows"))).alias("perplexity")), "kn-perplexity")
     known = scored.join(chosen.where(aside), "id", "left_semi")
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("all_langs"))
-    limits = materialise(by_lang, "kn-limits")
+    limits = materialise(_thresholds(known, quantile), "kn-limits")
+    overall = limits.where("whole").agg(F.max("own").alias("all_langs"))
+    limits = limits.where("not whole")
     x = sizes.select("id", "lang").join(scored.drop("lang"), "id", "left").alias("x").join(limits.alias("t"), F.col("x.lang").eqNullSafe(F.col("t.lang")), "left").crossJoin(F.broadcast(overall))
     out = x.select(F.col("x.id").alias(id_col), F.col("x.lang").alias(lang_col), "n_tokens", "perplexity", F.coalesce("own", "all_langs").alias("threshold"))
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
