@@ -289,10 +289,13 @@ def _thresholds(known: DataFrame, quantile: float) -> DataFrame:
     lang = known.schema["lang"].dataType
     sides = F.inline(F.array(F.struct("lang", F.lit(False).alias("whole")), F.struct(F.lit(None).cast(lang).alias("lang"), F.lit(True).alias("whole"))))
     counted = known.select("perplexity", sides).groupBy("lang", "whole", "perplexity").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "kn-counted")  # read by cuts, sums and totals
     total = counted.groupBy(F.col("lang").alias("of"), F.col("whole").alias("whole_of")).agg(F.sum("n").alias("all_n"))
     placed = cumulate_within(counted, ["lang", "whole"], "perplexity", {"upto": "n"})
     placed = placed.join(total, F.col("lang").eqNullSafe(F.col("of")) & (F.col("whole") == F.col("whole_of")))
-    return placed.where(F.col("upto") >= F.ceil(quantile * F.col("all_n"))).groupBy("lang", "whole").agg(F.min("perplexity").alias("own"))
+    out = materialise(placed.where(F.col("upto") >= F.ceil(quantile * F.col("all_n"))).groupBy("lang", "whole").agg(F.min("perplexity").alias("own")), "kn-limits")
+    drop_shared(counted)
+    return out
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, held_out: int = 10, groups: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -328,7 +331,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.995, h
     total = F.coalesce("logprob", F.lit(0.0)) + F.col("n") * model.floor + F.col("rows") * model.ends
     scored = materialise(per_id.join(logprob, "id", "left").select("id", "lang", (F.col("n") + F.col("rows")).alias("n_tokens"), F.exp(-total / (F.col("n") + F.col("rows"))).alias("perplexity")), "kn-perplexity")
     known = scored.join(chosen.where(aside), "id", "left_semi")
-    limits = materialise(_thresholds(known, quantile), "kn-limits")
+    limits = _thresholds(known, quantile)
     overall = limits.where("whole").agg(F.max("own").alias("all_langs"))
     limits = limits.where("not whole")
     x = sizes.select("id", "lang").join(scored.drop("lang"), "id", "left").alias("x").join(limits.alias("t"), F.col("x.lang").eqNullSafe(F.col("t.lang")), "left").crossJoin(F.broadcast(overall))
