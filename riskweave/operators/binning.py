@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import SORTED_VALUES, best_first, cumulate_within, exact_quantiles, infer_kinds, null_nans, to_long
+from .core import SORTED_VALUES, best_first, cumulate_within, exact_quantiles, held, infer_kinds, null_nans, to_long
 from .encoders import WOEEncoder
 
 
@@ -187,23 +187,25 @@ def decision_tree(df: DataFrame, columns: list[str], label: str, bins: int = 10,
 def monotonic(df: DataFrame, columns: list[str], label: str, start: int = 8) -> dict[str, list[float]]:
     """Fewer and fewer quantiles until the label's mean is monotonic in the feature's mean; one job
     for each number of quantiles and all columns. Cut points are the bins' least values and the
-    greatest value; inner ones are returned."""
+    greatest value; inner ones are returned. Label and columns are kept for these jobs, so that what
+    ``df`` joins is joined once."""
     out: dict[str, list[float]] = {}
-    for q in range(start, 1, -1):
-        left = [c for c in columns if c not in out]
-        if not left:
-            break
-        edges = quantiles(df, left, [i / q for i in range(1, q)])
-        binned = df.select(label, *left, *[bin_column(F.col(c).cast("double"), sorted(set(edges[c])), missing=None).alias(f"__{c}") for c in left])
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(f"__{c}").alias("bin")) for c in left])
-        rows = binned.select(label, F.inline(cells)).where("bin is not null").groupBy("feature", "bin").agg(F.avg("x").alias("mx"), F.avg(label).alias("my"), F.min("x").alias("lo")).collect()
-        for c in left:
-            own = sorted((r for r in rows if r["feature"] == c), key=lambda r: r["mx"])
-            ys = [r["my"] for r in own]
-            up = all(a < b for a, b in zip(ys, ys[1:]))
-            down = all(a > b for a, b in zip(ys, ys[1:]))
-            if len(own) > 1 and (up or down):
-                out[c] = [r["lo"] for r in own][1:]
+    with held(df.select(label, *columns)) as rows:
+        for q in range(start, 1, -1):
+            left = [c for c in columns if c not in out]
+            if not left:
+                break
+            edges = quantiles(rows, left, [i / q for i in range(1, q)])
+            binned = rows.select(label, *left, *[bin_column(F.col(c).cast("double"), sorted(set(edges[c])), missing=None).alias(f"__{c}") for c in left])
+            cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(f"__{c}").alias("bin")) for c in left])
+            got = binned.select(label, F.inline(cells)).where("bin is not null").groupBy("feature", "bin").agg(F.avg("x").alias("mx"), F.avg(label).alias("my"), F.min("x").alias("lo")).collect()
+            for c in left:
+                own = sorted((r for r in got if r["feature"] == c), key=lambda r: r["mx"])
+                ys = [r["my"] for r in own]
+                up = all(a < b for a, b in zip(ys, ys[1:]))
+                down = all(a > b for a, b in zip(ys, ys[1:]))
+                if len(own) > 1 and (up or down):
+                    out[c] = [r["lo"] for r in own][1:]
     return {c: out.get(c, []) for c in columns}
 
 

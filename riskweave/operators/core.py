@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +106,20 @@ def lookup(df: DataFrame, table: DataFrame, rows: int, key: str, table_key: str,
     return joined.withColumn(out, got).drop(*[c for c in ("__key", "__value") if c != out])
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """The table, kept by the executors for the jobs of a block, so that its joins (and what they broadcast
+    by way of the driver) are made once and not for each job. One that is kept already stays kept."""
+    kept = df.storageLevel != StorageLevel.NONE
+    if not kept:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if not kept:
+            df.unpersist()
+
+
 #: Values of a span that one task sorts to find exact ranks in it; larger spans are narrowed first.
 SORTED_VALUES = 250_000
 #: Parts into which each round of narrowing cuts a span.
@@ -182,13 +198,15 @@ def _between(values: dict[int, float], place: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, list[float]], counts: dict[str, int] | None = None) -> dict[str, list[float]]:
-    """Column to its quantiles, interpolated between neighbours; empty for a column without values."""
+    """Column to its quantiles, interpolated between neighbours; empty for a column without values.
+    The columns are kept for the rounds, unless ``df`` is."""
     if not probs:
         return {}
     x = df.select(*[F.col(c).cast("double").alias(c) for c in probs])
-    counts = counts or x.agg(*[F.count(c).alias(c) for c in probs]).first().asDict()
-    place = {c: [p * (counts[c] - 1) for p in ps] if counts[c] else [] for c, ps in probs.items()}
-    got = order_statistics(x, {c: [k for p in ps for k in (math.floor(p), math.ceil(p))] for c, ps in place.items()}, counts)
+    with held(x) if df.storageLevel == StorageLevel.NONE else nullcontext():
+        counts = counts or x.agg(*[F.count(c).alias(c) for c in probs]).first().asDict()
+        place = {c: [p * (counts[c] - 1) for p in ps] if counts[c] else [] for c, ps in probs.items()}
+        got = order_statistics(x, {c: [k for p in ps for k in (math.floor(p), math.ceil(p))] for c, ps in place.items()}, counts)
     return {c: [_between(got[c], p) for p in ps] for c, ps in place.items()}
 
 
