@@ -133,12 +133,13 @@ def _within(x: Column, after, upto, strict: bool) -> Column:
     return out if upto is None else out & ((x < F.lit(upto)) if strict else (x <= F.lit(upto)))
 
 
-def _part(x: Column, cuts: list, value) -> Column:
-    """``value(i)`` of the part that a value lies in: up to the i-th cut, the last part beyond all."""
-    out = F.when(x <= F.lit(cuts[0]), value(0))
-    for i, c in enumerate(cuts[1:], 1):
-        out = out.when(x <= F.lit(c), value(i))
-    return out.otherwise(value(len(cuts)))
+def _part(x: Column, cuts: list, value, first: int = 0) -> Column:
+    """``value(i)`` of the part that a value lies in: up to the i-th cut, the last part beyond all. Halves
+    are told apart first, so that a row meets as many cuts as there are halvings."""
+    if not cuts:
+        return value(first)
+    m = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[m]), _part(x, cuts[:m], value, first)).otherwise(_part(x, cuts[m + 1 :], value, first + m + 1))
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int] | None = None) -> dict[str, dict[int, object]]:
@@ -214,8 +215,14 @@ def above(df: DataFrame, value_col: str, id_cols: list[str], quota: Callable[[in
     """Condition that holds for ``quota(rows)`` rows of greatest value (numeric, null the least), ties
     by smallest id: value and id are compared with those of the last row taken, nothing is joined.
 
-    Rows that share value and id are taken together, the last ones too.
+    Rows that share value and id are taken together, the last ones too. Values and ids are kept for
+    the jobs that look for the last row.
     """
+    with held(df.select(*dict.fromkeys([value_col, *id_cols]))) as rows:
+        return _above(rows, value_col, id_cols, quota)
+
+
+def _above(df: DataFrame, value_col: str, id_cols: list[str], quota: Callable[[int], int]) -> Column:
     x = F.col(value_col)
     n, filled = df.agg(F.count(F.lit(1)), F.count(value_col)).first()
     quota = quota(n)

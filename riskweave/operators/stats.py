@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .binning import bin_column, bin_labels, quantiles
-from .core import BROADCAST_ROWS, cumulate, cumulate_within, distinct_counts, is_numeric, null_nans, to_long, unused
+from .core import BROADCAST_ROWS, cumulate, cumulate_within, distinct_counts, held, is_numeric, null_nans, to_long, unused
 from .encoders import woe_table
 
 
@@ -304,20 +304,22 @@ def contrast_curves(df: DataFrame, columns: list[str], label: str, part: str, ba
     null. Every bin of a column is there in every part, with 0 where it has no rows; columns
     without numbers that have more than ``few`` levels show those that each part has. A null part is a
     part. A base without rows is an error, as its edges would be none. Rows without a label count as
-    rows. One plan for all columns and parts; parts never come to the driver.
+    rows. One plan for all columns and parts; parts never come to the driver. Rows are kept
+    while edges and levels are looked for.
     """
     rows = null_nans(df.select(F.col(part).alias("part"), F.col(label).cast("double").alias("y"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
     at = {f"c{i}": c for i, c in enumerate(columns)}
-    of_base = rows if base is None else rows.where(F.col("part") == F.lit(base))
-    if base is not None and not of_base.take(1):
-        raise ValueError(f"no row has {base!r} in {part}")
-    if not columns:
-        return rows.select("part", F.lit("").alias("feature"), F.lit("").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rate")).where(F.lit(False))
-    counts = distinct_counts(rows, list(at))
-    cut = [c for c in at if counts[c] > few and is_numeric(rows, c)]
-    edges = {c: sorted(set(e)) for c, e in quantiles(of_base, cut, [i / bins for i in range(1, bins)]).items()} if cut else {}
-    listed = [c for c in at if counts[c] <= few]
-    met = rows.agg(*[F.max(F.col(c).isNull()).alias(f"null_{c}") for c in at], *[F.collect_set(F.col(c).cast("string")).alias(c) for c in listed]).first()
+    with held(rows):
+        of_base = rows if base is None else rows.where(F.col("part") == F.lit(base))
+        if base is not None and not of_base.take(1):
+            raise ValueError(f"no row has {base!r} in {part}")
+        if not columns:
+            return rows.select("part", F.lit("").alias("feature"), F.lit("").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rate")).where(F.lit(False))
+        counts = distinct_counts(rows, list(at))
+        cut = [c for c in at if counts[c] > few and is_numeric(rows, c)]
+        edges = {c: sorted(set(e)) for c, e in quantiles(of_base, cut, [i / bins for i in range(1, bins)]).items()} if cut else {}
+        listed = [c for c in at if counts[c] <= few]
+        met = rows.agg(*[F.max(F.col(c).isNull()).alias(f"null_{c}") for c in at], *[F.collect_set(F.col(c).cast("string")).alias(c) for c in listed]).first()
     places = {c: [str(i) for i in range(1, len(edges[c]) + 2)] for c in cut} | {c: sorted(met[c]) for c in listed}
     bin_of = {c: F.when(F.col(c).isNotNull(), bin_column(c, edges[c])).cast("string") if c in cut else F.col(c).cast("string") for c in at}
     cells = rows.select("part", "y", F.inline(F.array(*[F.struct(F.lit(at[c]).alias("feature"), b.alias("bin")) for c, b in bin_of.items()])))

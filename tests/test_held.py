@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 from pyspark import StorageLevel
+from pyspark.sql import functions as F
 
-from riskweave.operators import binning, core
+from riskweave.operators import binning, core, split, stats
 
 
 @pytest.fixture
@@ -43,6 +44,29 @@ def test_quantiles_work_their_rows_out_once(spark, narrow, counted):
     assert np.allclose([*got["a"], *got["b"]], [*np.quantile([r[2] for r in rows], [0.1, 0.5]), np.quantile([r[3] for r in rows], 0.9)])
 
 
+def test_curves_work_their_rows_out_once_for_edges_and_levels(spark, narrow, counted):
+    df, met, rows = counted
+    out = stats.contrast_curves(df, ["a", "part"], "y", "part", base="u")
+    assert met.value == 900
+    assert sum(r["n"] for r in out.collect()) == 2 * len(rows)
+
+
+def test_latest_rows_are_found_in_rows_worked_out_once(spark, narrow, counted):
+    df, met, rows = counted
+    marked = split.latest(df, 0.25, "b", ["id"])
+    assert met.value == 900
+    want = {r[0] for r in sorted(rows, key=lambda r: (-r[3], r[0]))[:225]}
+    assert {r["id"] for r in marked.where("is_test").collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 63])
+def test_parts_by_halving(spark, n):
+    cuts = [float(3 * i) for i in range(n)]
+    rows = spark.createDataFrame([(float(i),) for i in range(-2, 3 * n + 2)], "v double")
+    got = rows.select("v", core._part(F.col("v"), cuts, F.lit).alias("p")).collect()
+    assert all(r["p"] == sum(c < r["v"] for c in cuts) for r in got)
+
+
 def test_held_tables_are_let_go_unless_kept_before(spark):
     df = spark.range(10).selectExpr("id + 1 AS v")
     with pytest.raises(ZeroDivisionError), core.held(df):
