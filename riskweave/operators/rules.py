@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binning import quantiles
-from .core import best_first, distinct_counts, to_long, unused
+from .core import best_first, distinct_counts, held, to_long, unused
 from .encoders import FriedScale
 from .models import assemble, probability
 from .stats import rule_metrics
@@ -133,7 +133,8 @@ class RuleFit:
     The trees of a forest have random numbers of leaves around ``tree_size`` (`tree_sizes`), not deeper
     than ``depth``, unless ``random_sizes`` is off; boosted trees all have ``depth``. There are ``trees``
     of them or, where ``max_rules`` is given, as many as have so many leaves together
-    (``max_rules / tree_size`` of those of one depth). All their rules take part."""
+    (``max_rules / tree_size`` of those of one depth). All their rules take part. Label and columns are
+    kept during a fit, as forest, quantiles and regression read them again and again."""
 
     generator: str = "RandomForestClassifier"
     trees: int = 20
@@ -145,7 +146,13 @@ class RuleFit:
     random_sizes: bool = True
 
     def fit(self, df: DataFrame, label: str, columns: list[str]) -> RuleFit:
-        self.columns, filled = columns, df.fillna(-999, columns)
+        self.columns = columns
+        with held(df.select(label, *columns)) as rows:
+            self._fit(rows, label, columns)
+        return self
+
+    def _fit(self, df: DataFrame, label: str, columns: list[str]) -> None:
+        filled = df.fillna(-999, columns)
         if self.random_sizes and self.generator == "RandomForestClassifier":
             self.sizes = tree_sizes(self.trees, self.tree_size, self.max_rules, self.seed)
             self.rules = list(dict.fromkeys(r for rules in sized_forest(filled, columns, label, self.sizes, self.depth, self.seed) for r in rules))
@@ -157,7 +164,6 @@ class RuleFit:
         self.names = [f"__r{i}" for i in range(len(self.rules))] + columns
         self.support = [float(v or 0) for v in x.agg(*[F.avg(F.col(f"__r{i}").cast("double")) for i in range(len(self.rules))]).first()] if self.rules else []
         self.model = C.LogisticRegression(labelCol=label, regParam=self.reg, elasticNetParam=1.0).fit(assemble(x, self.names))
-        return self
 
     def _terms(self, df: DataFrame) -> DataFrame:
         flags = {f"__r{i}": F.coalesce(F.expr(r).cast("int"), F.lit(0)) for i, r in enumerate(self.rules)}

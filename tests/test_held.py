@@ -5,7 +5,7 @@ import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from riskweave.operators import binning, core, split, stats
+from riskweave.operators import binning, core, rules, split, stats
 
 
 @pytest.fixture
@@ -59,6 +59,12 @@ def test_latest_rows_are_found_in_rows_worked_out_once(spark, narrow, counted):
     assert {r["id"] for r in marked.where("is_test").collect()} == want
 
 
+def test_rules_are_fitted_on_rows_worked_out_once(spark, narrow, counted):
+    df, met, _ = counted
+    rules.RuleFit(trees=2, depth=2).fit(df, "y", ["a", "b"])
+    assert met.value == 900
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 8, 63])
 def test_parts_by_halving(spark, n):
     cuts = [float(3 * i) for i in range(n)]
