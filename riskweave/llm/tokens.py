@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Trailing signs that every supported pre-tokeniser splits off a run of letters.
@@ -40,6 +42,18 @@ class WordTokenizer:
         self.folds = "Lowercase" in str(self.model.normalizer)
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.before = self._before()
+
+    def _before(self) -> str | None:
+        """What the pre-tokeniser puts before a plain word that follows a space, where the model by itself
+        then gives such a word the library's ids; else None."""
+        pre, probes = self.model.pre_tokenizer, ("q", "the", "straightforwardly", "zqxjkvb", "internationalization")
+        found = {tuple(x for x, _ in pre.pre_tokenize_str(f" {w}")) for w in probes} if pre else set()
+        starts = {x[0].removesuffix(w) for w in probes for x in found if len(x) == 1 and x[0].endswith(w)}
+        if len(found) != len(probes) or (start := min(starts, key=len, default=None)) is None:
+            return None
+        same = all([t.id for t in self.model.model.tokenize(start + w)] == self.model.encode(f" {w}", add_special_tokens=False).ids for w in probes)
+        return start if same else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,6 +69,14 @@ class WordTokenizer:
             out += [ids[a:b] for a, b in zip(cut, cut[1:])] if len(cut) == len(part) + 1 else self._whole(part)
         return out
 
+    def _plain(self, cores: list[str]) -> list[bytes]:
+        """Ids of runs of ASCII letters that begin with a space each, by the library's model alone: neither
+        normalising nor splitting changes them, but for their case."""
+        split, start = self.model.model.tokenize, self.before
+        ids = [[t.id for t in split(start + (x[1:].lower() if self.folds else x[1:]))] for x in cores]
+        flat, ends = np.array([i for x in ids for i in x], "<u4").tobytes(), np.cumsum([0, *[4 * len(x) for x in ids]]).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, words: set[str]) -> None:
         known, cores = self.known, self.cores
         if len(known) > KNOWN_WORDS:
@@ -75,8 +97,15 @@ class WordTokenizer:
         if len(cores) > KNOWN_CORES:
             cores.clear()
         new = parts.difference(cores)
-        letters = [x for x in new if x[:1] == " " and x[1:].isalpha()]
-        rest = [x for x in new if x[:1] != " " or not x[1:].isalpha()]
+        plain, letters, rest = [], [], []
+        for x in new:
+            if x[:1] != " " or not x[1:].isalpha():
+                rest.append(x)
+            elif self.before is not None and x.isascii():
+                plain.append(x)
+            else:
+                letters.append(x)
+        cores.update(zip(plain, self._plain(plain), strict=True))
         cores.update(zip(letters, self._letters(letters), strict=True))
         cores.update(zip(rest, self._whole(rest), strict=True))
 
@@ -97,18 +126,36 @@ class WordTokenizer:
             if "Σ" not in text:  # a final sigma would depend on its neighbours
                 text = folded
             if RUN.search(text):
-                by_word.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+                by_word.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0")))
             else:
-                by_core.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0").split("\0")))
+                by_core.append((i, text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0")))
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         for found, known, learn in ((by_word, self.known, self._learn), (by_core, self.cores, self._learn_cores)):
-            learn(set().union(*[parts for _, parts in found]))
-            for i, parts in found:
-                out[i] = b"".join(map(known.__getitem__, parts))
+            if found:
+                for (i, _), ids in zip(found, _joined([text for _, text in found], known, learn), strict=True):
+                    out[i] = ids
         return out
 
 
+def _joined(texts: list[str], known: dict[str, bytes], learn: Callable[[set[str]], None]) -> list[bytes]:
+    """Ids of texts whose parts stand between ``\\0``: Arrow numbers the parts, each different one is looked
+    up once, and Numpy lays their ids side by side."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), "\0")
+    coded = parts.values.dictionary_encode()
+    words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    blobs = list(map(known.get, words))
+    if new := {w for w, x in zip(words, blobs) if x is None}:
+        learn(new)
+        blobs = [known[w] if x is None else x for w, x in zip(words, blobs)]
+    pool, n = np.frombuffer(b"".join(blobs), "<u4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    size, before = n[code], (np.cumsum(n) - n)[code]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    ids = pool[np.repeat(before - upto[:-1], size) + np.arange(upto[-1])]
+    ends = upto[parts.offsets.to_numpy()]
+    return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 
