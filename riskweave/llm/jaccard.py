@@ -281,15 +281,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.where(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-#: Pairs that are listed, and pairs whose sketches are compared, at once.
-_LISTED, _COMPARED = 1 << 22, 1 << 14
+#: Pairs that are listed at once, and 64-bit words of sketches that are compared at once.
+_LISTED, _COMPARED = 1 << 18, 1 << 19
 
 
 def _compare(num: int, den: int):
     """Pairs of outsiders and members of a bucket's block that the sketches cannot rule out.
 
-    A call gets the blocks of a batch and each of their documents' sketches once; a pair that
-    meets in many of the blocks is compared once, and a part of the sketch rules most pairs out.
+    A call gets the blocks of a batch and each of their documents' sketches once. Pairs are listed
+    outsider by outsider over all its blocks, a bounded number at once, so that a pair that meets
+    in many of them is compared once or, cut between two listings, twice; a part of the sketch
+    rules most pairs out.
     """
 
     def run(_: tuple, rows: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
@@ -297,23 +299,28 @@ def _compare(num: int, den: int):
         made = made.sort_values(["id", "up"], kind="stable", ignore_index=True)
         lists = made["sketch"].to_numpy()
         words = np.array([len(x) for x in lists], np.int64)
-        sketches = np.zeros((len(lists), (words.max(initial=0) + 1) // 2 * 2), np.int32)
-        for i, x in enumerate(lists):
-            sketches[i, : len(x)] = x
-        sketches = sketches.view(np.uint64)
+        line, sketches = np.zeros(len(lists), np.int64), {}
+        for w in np.unique(words).tolist():  # a table for each length: none is filled up to the longest
+            mine = np.flatnonzero(words == w)
+            line[mine] = np.arange(len(mine))
+            table = np.zeros((len(mine), (w + 1) // 2 * 2), np.int32)
+            for i, x in enumerate(lists[mine]):
+                table[i, :w] = x
+            sketches[w] = table.view(np.uint64)
         names, n = made["id"].to_numpy(), made["n"].to_numpy()
-        head = max(1, sketches.shape[1] // 4)
 
         def near(q, m):
-            most = (n[q] + n[m]) * (den - num) // (num + den)
-            for part in (slice(0, head), slice(None)):
-                for j in range(0, len(q), _COMPARED):
-                    x, y = q[j : j + _COMPARED], m[j : j + _COMPARED]
-                    ok = np.bitwise_count(sketches[x, part] ^ sketches[y, part]).sum(axis=1, dtype=np.int64) <= most[j : j + _COMPARED]
-                    q[j : j + _COMPARED] = np.where(ok, x, -1)
-                left = q >= 0
-                q, m, most = q[left], m[left], most[left]
-            out.append((names[q], names[m]))
+            for w in np.unique(words[q]).tolist():
+                table, mine = sketches[w], words[q] == w
+                x, y = q[mine], m[mine]
+                for width in (max(1, table.shape[1] // 4), table.shape[1]):
+                    ok, step = np.zeros(len(x), bool), max(1, _COMPARED // width)
+                    for j in range(0, len(x), step):
+                        a, b = x[j : j + step], y[j : j + step]
+                        differ = np.bitwise_count(table[line[a], :width] ^ table[line[b], :width]).sum(axis=1, dtype=np.int64)
+                        ok[j : j + step] = differ <= (n[a] + n[b]) * (den - num) // (num + den)
+                    x, y = x[ok], y[ok]
+                out.append((names[x], names[y]))
 
         # a repeated id has a sketch for each of its sets: all of them stand in its place
         place = made.reset_index(names="at")[["id", "up", "at"]]
@@ -323,20 +330,23 @@ def _compare(num: int, den: int):
         first = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(rows)))
         asked = np.add.reduceat(1 - side, first) if len(rows) else size
-        seen, lo = np.zeros(0, np.int64), 0
-        ends = np.cumsum(asked * (size - asked))
-        while lo < len(first):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _LISTED, "right")))
-            f, a, k = first[lo:hi], asked[lo:hi], (size - asked)[lo:hi]
-            block = np.repeat(np.arange(hi - lo), a * k)
-            local = np.arange(len(block)) - np.repeat(np.cumsum(a * k) - a * k, a * k)
-            q, m = f[block] + local // k[block], f[block] + a[block] + local % k[block]
-            ok = (comp[q] != comp[m]) & ((up[q] == 0) | (up[m] == 0)) & (words[at[q]] == words[at[m]])
+        # two outsiders of a block that are members there too meet from both sides: one is enough
+        block = np.repeat(np.arange(len(first)), size)
+        code, one = block * len(names) + at, side == 0
+        both = np.isin(code, np.intersect1d(code[one], code[~one]))
+        asking = np.flatnonzero(one)
+        asking = asking[np.argsort(at[asking], kind="stable")]
+        members = (size - asked)[block[asking]]
+        ends = np.cumsum(members)
+        for lo in range(0, int(members.sum()), _LISTED):
+            number = np.arange(lo, min(lo + _LISTED, int(ends[-1])))
+            turn = np.searchsorted(ends, number, "right")
+            q = asking[turn]
+            m = first[block[q]] + asked[block[q]] + number - (ends - members)[turn]
+            ok = (comp[q] != comp[m]) & ((up[q] == 0) | (up[m] == 0)) & (words[at[q]] == words[at[m]]) & ~(both[q] & both[m] & (at[m] < at[q]))
             q, m = at[q[ok]], at[m[ok]]
-            new = np.setdiff1d(np.minimum(q, m) * len(names) + np.maximum(q, m), seen)
-            seen = np.union1d(seen, new)
+            new = np.unique(np.minimum(q, m) * len(names) + np.maximum(q, m))
             near(new // max(len(names), 1), new % max(len(names), 1))
-            lo = hi
         a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 

@@ -20,6 +20,8 @@ ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u0130\u1680\u180e\u2000-\u200f\u2
 RUN = re.compile(r"[.,](?:(?<=[\W_][.,])|(?=[^\w\s]|_))")
 #: Words and runs of letters whose ids a worker remembers before it starts afresh.
 KNOWN_WORDS, KNOWN_CORES = 300_000, 1_200_000
+#: What it keeps of them once a task has ended, at most: a worker lives on through other steps.
+KEPT_WORDS, KEPT_CORES = 30_000, 100_000
 
 
 class WordTokenizer:
@@ -109,6 +111,13 @@ class WordTokenizer:
         cores.update(zip(letters, self._letters(letters), strict=True))
         cores.update(zip(rest, self._whole(rest), strict=True))
 
+    def rest(self) -> None:
+        """Gives back the memory of a task that has ended; few remembered words stay for the next."""
+        for known, most in ((self.known, KEPT_WORDS), (self.cores, KEPT_CORES)):
+            if len(known) > most:
+                known.clear()
+        pa.default_memory_pool().release_unused()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The little-endian unsigned 32-bit ids of each text; of none for null."""
         out: list[bytes] = [b""] * len(texts)
@@ -181,14 +190,17 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
 
         part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         tok = tokenizer(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                b = whole.slice(i, rows)
-                ids = [x + end for x in tok.ids(b.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))) if as_array else pa.array(ids, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), b.column(0), pa.array(n), column], ["part", "local_start", id_col, "n_tokens", "ids"])
-                at += int(ends[-1])
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, rows):
+                    b = whole.slice(i, rows)
+                    ids = [x + end for x in tok.ids(b.column(1).to_pylist())]
+                    n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                    ends = np.cumsum(n)
+                    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))) if as_array else pa.array(ids, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), b.column(0), pa.array(n), column], ["part", "local_start", id_col, "n_tokens", "ids"])
+                    at += int(ends[-1])
+        finally:
+            tok.rest()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"part int, local_start long, `{id_col}` {kind}, n_tokens long, ids {'array<int>' if as_array else 'binary'}")
